@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+from bindlattice.llm.chat_format import OP9_SQL, op9_chat_format
+from bindlattice.llm.decontaminate import OP7_SQL, op7_decontamination
+from bindlattice.llm.html_extract import op1_html_extraction
+from bindlattice.llm.lm_score import op10_lm_scoring
+from bindlattice.llm.mixing import op4_mixing
 from bindlattice.llm.near_dedup import op5_near_dedup
+from bindlattice.llm.token_files import op6_token_files
+from bindlattice.llm.topk_search import OP3_SQL, op3_exact_top_k
 
-QUERIES = {"op5_near_dedup": op5_near_dedup}
+QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_mixing": op4_mixing,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
+    "op9_chat_format": op9_chat_format,
+    "op10_lm_scoring": op10_lm_scoring,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_chat_format": OP9_SQL}

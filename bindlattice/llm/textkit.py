@@ -23,6 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[0x41:0x5B] += np.uint64(32)
+_EXACT = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -89,12 +90,12 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LOWER[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum((_LOWER if lower else _EXACT)[raw] * up[: len(raw)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
