@@ -69,8 +69,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, i
     # The hash of a shingle's text word by word, as documents get it.
     hashed = shingled.withColumn("parts", F.transform(F.split("shingle", " "), lambda w: F.xxhash64(w)))
     hashed = hashed.withColumn("hash", F.coalesce(*(F.when(F.size("parts") == w, F.xxhash64(*(F.get("parts", F.lit(j)) for j in range(w)))) for w in widths)))
-    top = F.shiftleft(F.lit(1).cast("long"), F.floor(F.log2("n")).cast("int") + 1) - 1
-    sketch_size = top - F.ceil(percent * top / 100) + 1
+    top = F.expr("cast(power(2, length(bin(n))) as bigint) - 1")
+    sketch_size = top - F.floor((percent * top + 99) / 100) + 1
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64("hash"), "shingle"))
     sketches = hashed.withColumn("rank", rank).where(F.col("rank") <= sketch_size).select("item_id", "hash").distinct()
     sketches, _ = small(stage(sketches, "sketches"))
