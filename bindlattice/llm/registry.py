@@ -8,16 +8,20 @@ from bindlattice.llm.html_extract import op1_html_extraction
 from bindlattice.llm.lm_score import op10_lm_scoring
 from bindlattice.llm.mixing import op4_mixing
 from bindlattice.llm.near_dedup import op5_near_dedup
+from bindlattice.llm.quality import op2_quality
 from bindlattice.llm.token_files import op6_token_files
 from bindlattice.llm.topk_search import OP3_SQL, op3_exact_top_k
+from bindlattice.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_quality": op2_quality,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_lm_scoring": op10_lm_scoring,
 }

@@ -1,24 +1,67 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns what it keeps."""
+"""Corpus pipeline: toxicity, near-duplicates, benchmark items, mixing, token files.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
+all but the last return the columns of documents.  Rows with a null doc_id cannot
+be matched to a decision by id; no decision is made against them, and they stay.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bindlattice.llm.common import stage
+from bindlattice.llm.common import read, small, stage
+from bindlattice.llm.decontaminate import contained_items
+from bindlattice.llm.mixing import mixed_rows
 from bindlattice.llm.near_dedup import near_duplicates
+from bindlattice.llm.token_files import tokens_of
+from bindlattice.llm.toxicity import score_toxicity
+
+
+def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """docs less the rows of the rejected doc_ids."""
+    ids = stage(rejected.where("doc_id is not null").select("doc_id").distinct(), name)
+    ids, _ = small(ids.select(F.col("doc_id").alias("_rejected")))
+    return docs.join(ids, docs["doc_id"] == F.col("_rejected"), "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    scored = score_toxicity(docs, read(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 1"), "toxic")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group with a similarity of 0.8 or more stays, the one with the least doc_id."""
+    return _without(docs, near_duplicates(docs, percent=80).where("not kept"), "copies")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item to 0.8 or more go."""
+    return _without(docs, contained_items(docs, read(spark, sf_dir, "benchmark")), "leaks")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, each as often as it takes it, in shuffled shards."""
+    return mixed_rows(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Starts, lengths and checksums of the token files of what is left."""
+    return tokens_of(docs)
 
 
-STAGES: list[tuple[str, Callable]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_files", token_files),
+]
 
-#: No stage is expressible in SQL as a whole; tests hold them against brute force.
+#: Classifier scores and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
