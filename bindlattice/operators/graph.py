@@ -115,17 +115,9 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select(F.when(most == F.col("chance"), 1.0).otherwise((F.col("both") - F.col("chance")) / (most - F.col("chance"))).alias("ari"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, rounds: int = 12) -> DataFrame:
-    """(id, label) by synchronous local moves that raise modularity.
-
-    In each round half of the nodes, drawn by hash, move to the neighbouring
-    community of the largest gain w(node, c) - gamma * degree * degree(c) / 2m;
-    moving halves keeps pairs from swapping for ever.
-    """
-    both = checkpointed(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    degree = checkpointed(both.groupBy("src").agg(F.sum("weight").alias("degree")).withColumnRenamed("src", "id"))
-    twice = degree.agg(F.sum("degree")).first()[0] or 1.0
-    now = checkpointed(nodes.select("id", F.col("id").alias("label")))
+def _local_moves(both: DataFrame, degree: DataFrame, twice: float, gamma: float, rounds: int) -> DataFrame:
+    """(id, label) of the nodes in ``degree`` after rounds of moves to the neighbouring community of the largest gain."""
+    now = checkpointed(degree.select("id", F.col("id").alias("label")))
     for r in range(rounds):
         held = now.join(degree, "id")
         mass = held.groupBy("label").agg(F.sum("degree").alias("mass"))
@@ -144,6 +136,30 @@ def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, rounds:
     return now
 
 
+def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int = 3) -> DataFrame:
+    """(id, label) by local moves that raise modularity, then the same over whole communities.
+
+    A move gains w(node, c) - gamma * degree * degree(c) / 2m.  In each round half of
+    the nodes, drawn by hash, move, which keeps pairs from swapping for ever.
+    Nodes without edges keep their own label.
+    """
+    both = checkpointed(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    degree = checkpointed(both.groupBy("src").agg(F.sum("weight").alias("degree")).withColumnRenamed("src", "id"))
+    twice = degree.agg(F.sum("degree")).first()[0] or 1.0
+    labels = nodes.select("id", F.col("id").alias("label"))
+    for _ in range(levels):
+        found = _local_moves(both, degree, twice, gamma, rounds)
+        found = found.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+        labels = checkpointed(labels.join(found, F.col("label") == F.col("_id"), "left").select("id", F.coalesce("_label", "label").alias("label")))
+        if found.where("_id <> _label").isEmpty():
+            break
+        ends = [found.select(F.col("_id").alias(end), F.col("_label").alias(f"_{end}")) for end in ("src", "dst")]
+        both = both.join(ends[0], "src").join(ends[1], "dst").where("_src <> _dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+        both = checkpointed(both)
+        degree = checkpointed(degree.join(found, F.col("id") == F.col("_id")).groupBy(F.col("_label").alias("id")).agg(F.sum("degree").alias("degree")))
+    return labels
+
+
 def sweep(nodes: DataFrame, edges: DataFrame, gammas: list[float]) -> DataFrame:
     """Communities and modularity for each gamma, one row each."""
     spark: SparkSession = nodes.sparkSession
