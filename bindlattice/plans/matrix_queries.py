@@ -220,8 +220,8 @@ def signature_sizes(spark, d):
     return ranking.shares(best.select("row_id", "col_id"), "col_id").select("col_id", "n", _r("share"), "rank")
 
 
-@query("SELECT l_partkey AS row_id, count(*) AS n, round(avg(abs(l_extendedprice / 7.3 - m)), 4) AS mean_dev, round(sum(abs(l_extendedprice / 7.3 - q)) / count(*), 4) AS median_dev FROM (SELECT *, avg(l_extendedprice / 7.3) OVER (PARTITION BY l_partkey) AS m, quantile_cont(l_extendedprice / 7.3, 0.5) OVER (PARTITION BY l_partkey) AS q FROM lineitem) GROUP BY l_partkey")
+@query("SELECT l_partkey AS row_id, count(*) AS n, round(avg(abs(l_extendedprice / 7.31 - m)), 3) AS mean_dev, round(sum(abs(l_extendedprice / 7.31 - q)) / count(*), 3) AS median_dev FROM (SELECT *, avg(l_extendedprice / 7.31) OVER (PARTITION BY l_partkey) AS m, quantile_cont(l_extendedprice / 7.31, 0.5) OVER (PARTITION BY l_partkey) AS q FROM lineitem) GROUP BY l_partkey")
 def stats_mad(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("row_id"), (F.col("l_extendedprice") / 7.3).alias("x"))
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("row_id"), (F.col("l_extendedprice") / 7.31).alias("x"))
     middle = rows.groupBy("row_id").agg(F.avg("x").alias("m"), F.percentile("x", F.lit(0.5)).alias("q"))
-    return rows.join(middle, "row_id").groupBy("row_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("m"))), 4).alias("mean_dev"), F.round(F.avg(F.abs(F.col("x") - F.col("q"))), 4).alias("median_dev"))
+    return rows.join(middle, "row_id").groupBy("row_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("m"))), 3).alias("mean_dev"), F.round(F.avg(F.abs(F.col("x") - F.col("q"))), 3).alias("median_dev"))

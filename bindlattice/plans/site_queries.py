@@ -48,9 +48,9 @@ def revcomp_gc(spark, d):
     return _strands(spark, d).select("key", seq.reverse_complement("s").alias("rc"), seq.gc_fraction("s").alias("gc"), seq.region("s", 2, 8).alias("seed"), seq.is_rna("s").alias("sound"))
 
 
-@query(f"WITH {STRANDS}, p AS (SELECT key, s, unnest(range(0, length(s) - 3)) AS pos FROM strands) SELECT key, pos FROM p WHERE s[pos + 1:pos + 4] = 'ACAC'")
+@query(f"WITH {STRANDS}, p AS (SELECT key, s, unnest(range(0, length(s) - 1)) AS pos FROM strands) SELECT key, pos FROM p WHERE s[pos + 1:pos + 2] = 'UA'")
 def overlapping_sites(spark, d):
-    return _strands(spark, d).select("key", F.explode(seq.occurrences("s", "ACAC")).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    return _strands(spark, d).select("key", F.explode(seq.occurrences("s", "UA")).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"WITH {STRANDS}, d AS (SELECT key, unnest(range(1, 9)) AS i, translate(s[1:8], 'ACGU', '0123') AS t FROM strands) SELECT key, CAST(sum(CAST(t[i] AS BIGINT) * CAST(pow(4, 8 - i) AS BIGINT)) AS BIGINT) AS code FROM d GROUP BY key")
