@@ -143,3 +143,25 @@ def passes_design(c: str | Column, excluded: list[str], least_gc: float, most_gc
     s = _col(c)
     clean = reduce(lambda a, b: a & b, [F.instr(s, x) == 0 for x in excluded], F.lit(True))
     return clean & gc_fraction(s).between(least_gc, most_gc) & (F.substring(s, -1, 1) != "U")
+
+
+def from_sync_name(c: str | Column) -> Column:
+    """The guide that a sync name stands for."""
+    parts = F.split(_col(c), "-")
+    size = F.get(parts, F.lit(3)).cast("int") + 17 - 7
+    body = F.lpad(F.conv(F.get(parts, F.lit(2)), 16, 4), size, "0")
+    letters = F.translate(body, "0123", "ACGU")
+    return F.concat(F.substring(letters, 1, 1), F.get(parts, F.lit(1)), F.substr(letters, F.lit(2)))
+
+
+def seed_reaches(core: Column, least: str) -> Column:
+    """Whether a seed class's four-letter core reaches ``least`` as text; a class without core does not."""
+    found = F.regexp_extract(core, r"(\dmer)", 1)
+    return (found != "") & (found >= least)
+
+
+def hamming(a: str | Column, b: str | Column) -> Column:
+    """Places in which two strings differ; null for strings of different length."""
+    x, y = _col(a), _col(b)
+    apart = F.size(F.filter(F.zip_with(_letters(x), _letters(y), lambda p, q: p != q), lambda d: d))
+    return F.when(F.length(x) == F.length(y), apart)

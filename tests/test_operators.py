@@ -79,3 +79,16 @@ def test_signals(spark):
     assert signal.longest_run(s, 5).first()["longest"] == 2
     assert signal.moving_average(s, 1).orderBy("pos").first()["smooth"] == 3.0
     assert signal.gaussian(s, 1.0).count() == 5
+
+
+def test_reports_and_names(spark):
+    from bindlattice.operators import report
+
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "row_id long, label int")
+    hits = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "row_id long, col_id string")
+    got = {r["label"]: (r["n"], r["rank"], [t["col_id"] for t in r["targets"]]) for r in report.cluster_report(labels, hits).collect()}
+    assert got == {0: (2, 1, ["a", "b"]), 1: (1, 2, ["c"])}
+    assert report.leaf_order(np.array([[0.0], [9.0], [0.1], [9.2]])) in ([0, 2, 1, 3], [1, 3, 0, 2])
+    guide = "UGAGGUAGUAGGUUGUAUAGUU"
+    r = spark.range(1).select(seq.sync_name(F.lit(guide)).alias("n")).select("n", seq.from_sync_name("n").alias("g"), seq.hamming(F.lit("ACGU"), F.lit("AGGA")).alias("h"), seq.hamming(F.lit("A"), F.lit("AC")).alias("u")).first()
+    assert r["n"].startswith("sync-GAGGUAG-") and r["g"] == guide and r["h"] == 2 and r["u"] is None
