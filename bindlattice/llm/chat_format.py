@@ -19,6 +19,8 @@ of score: the smaller leaf id; an empty table gives no conversations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,20 +73,24 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         ),
         "jump0",
     )
-    jumps, total = [], now.count()
+    jumps, total, done = [], now.count(), []
     for r in range(1, MOST_DOUBLINGS):
-        jumps.append(now.where("above is not null").select("tree", "node", "above"))
+        done.append(now.where("above is null"))
+        jumps.append(now.where("above is not null"))
         if 1 << (r - 1) > total or jumps[-1].isEmpty():
             break
-        upper = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("depth").alias("levels"))
+        # Only nodes that have not reached their root go on.
+        upper = reduce(DataFrame.unionByName, done, jumps[-1])
+        upper = upper.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("depth").alias("levels"))
         now = stage(
-            now.join(upper, _same("tree", "t") & (F.col("above") == F.col("n")), "left").select(
+            jumps[-1].join(upper, _same("tree", "t") & (F.col("above") == F.col("n")), "left").select(
                 "tree", "node", F.col("next").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("levels", F.lit(0))).alias("depth")
             ),
             f"jump{r}",
         )
+    now = reduce(DataFrame.unionByName, done)
     parents = jumps[0].select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
-    leaves = now.where("above is null").join(parents, _same("tree", "t") & (F.col("node") == F.col("n")), "left_anti")
+    leaves = now.join(parents, _same("tree", "t") & (F.col("node") == F.col("n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("score") / F.col("depth")).desc(), "node"))
     paths = leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
     for r in range(len(jumps) - 1, -1, -1):
