@@ -9,22 +9,21 @@ from pyspark.sql import functions as F
 from bindlattice.llm.common import crc_mod, quoted
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column) -> DataFrame:
-    """docs with a column label (0 or 1) for rows that are labelled and not held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """docs with a column label for at most ``most`` ids of each label (0 or 1), and how many ids each label has.
 
-    Rows without a label or an id drop out; of an id labelled twice the larger
-    label counts, and a document row appears once.
+    ``held_out`` is an expression of doc_id; held-out rows, rows without a label or an
+    id never get in; of an id labelled twice the larger label counts.  Ids are
+    drawn by hash from the labels alone, so texts only meet a broadcast of at most
+    2 * most ids; of a doc_id on several rows one row is taken.
     """
-    known = labels.select(F.col("doc_id"), quoted(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.where(~F.coalesce(held_out, F.lit(False))).join(known, "doc_id")
-
-
-def class_sample(rows: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """At most ``most`` rows of each label, by hash of the id, and how many rows each label has."""
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), quoted(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.where(~F.coalesce(held_out, F.lit(False))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(17), "doc_id")
-    parts = [rows.where(F.col("label") == k).orderBy(order, "doc_id").limit(most) for k in (0, 1)]
-    return parts[0].unionByName(parts[1]), totals
+    parts = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(most) for k in (0, 1)]
+    drawn = parts[0].unionByName(parts[1])
+    return docs.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]), totals
 
 
 class Logistic:

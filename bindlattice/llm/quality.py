@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from bindlattice.llm import textkit
 from bindlattice.llm.common import arrow_map, batch, crc_mod, quoted, read, stage
-from bindlattice.llm.fit import Constant, class_sample, labelled
+from bindlattice.llm.fit import Constant, labelled_sample
 
 SAMPLE_DOCS = 10_000
 THRESHOLD = 0.3
@@ -147,12 +147,12 @@ def _score(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.Reco
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+    """doc_id, held_out, score and predicted of every row; held_out is an expression of doc_id."""
     held = crc_mod(F.col("doc_id"), 5) == 0 if held_out is None else held_out
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     rows = rows.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
     described = stage(arrow_map(rows, _describe, "doc_id long, held_out boolean, x array<float>"), "statistics")
-    known, totals = class_sample(labelled(described, labels, "quality", F.col("held_out")), sample)
+    known, totals = labelled_sample(described, labels, "quality", held, sample)
     got = known.select("label", "x").toArrow()
     y = np.asarray(got.column("label").to_numpy(), np.float64)
     if 0 < y.sum() < len(y):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from bindlattice.llm import textkit
 from bindlattice.llm.common import arrow_map, batch, quoted, read, stage
-from bindlattice.llm.fit import Constant, Logistic, class_sample, held_out_third, labelled
+from bindlattice.llm.fit import Constant, Logistic, held_out_third, labelled_sample
 
 SAMPLE_DOCS = 3000
 THRESHOLD = 0.7
@@ -176,7 +176,7 @@ def _score(batches: Iterator[pa.RecordBatch], compressors: Compressors, model: o
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
-    known, totals = class_sample(labelled(rows, labels, "toxic", held_out_third(F.col("doc_id"))), sample)
+    known, totals = labelled_sample(rows, labels, "toxic", held_out_third(F.col("doc_id")), sample)
     got = stage(known.select("label", "text"), "sample").toArrow().to_pydict()
     by_label = [[t for t, y in zip(got["text"], got["label"], strict=True) if y == k] for k in (0, 1)]
     compressors, model = fit(by_label[1], by_label[0], totals)
