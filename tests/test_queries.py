@@ -1,5 +1,6 @@
 """Every query with an oracle against DuckDB on the smallest tables."""
 
+import pandas as pd
 import pytest
 
 from bindlattice.plans.catalogue import ORACLE_SQL, QUERIES
@@ -7,7 +8,7 @@ from bindlattice.plans.catalogue import ORACLE_SQL, QUERIES
 
 def rows(frame):
     columns = sorted(frame.columns)
-    text = lambda v: "" if v is None or v != v else f"{v:.5g}" if isinstance(v, float) else str(v)
+    text = lambda v: "" if pd.isna(v) else f"{v:.5g}" if isinstance(v, float) else str(v)
     return columns, sorted(tuple(text(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
 
 
