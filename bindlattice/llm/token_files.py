@@ -28,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,9 @@ from bindlattice.llm.common import _remove, arrow_map, batch, quoted, read, shar
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Words whose ids a Python worker keeps at hand.
-CACHE_WORDS = 200_000
+#: Words whose ids a Python worker keeps at hand, about 40 bytes each.
+CACHE_WORDS = 1_500_000
+SLICE_BYTES = 2 << 20
 _BLOCKS = "part int, block int, before long, n_ids long, doc_ids binary, nulls binary, lengths binary, control binary, data binary"
 
 
@@ -53,7 +55,12 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of texts, word by word, for tokenizers that split at white space."""
+    """Ids of texts, word by word, for tokenizers that split at white space.
+
+    Where probes show that the tokenizer sets a full stop or comma at a word's end
+    apart, and lower-cases, words are looked up without either.  Known words lie in
+    sorted arrays: hash, place and number of their ids.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,35 +68,64 @@ class WordEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self._encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self._cache: dict[int, np.ndarray] = {}
-
-    def _ids(self, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        cache = self._cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in cache]
-        if new:
-            data = raw.tobytes()
-            words = [data[start[k] : end[k]].decode("utf-8", "replace") for k in new]
-            for k, e in zip(new, self._encode(words, add_special_tokens=False), strict=True):
-                cache[keys[k]] = np.array(e.ids, np.uint32)
-        return [cache[h] for h in keys]
+        ids = lambda s: self._encode([s], add_special_tokens=False)[0].ids
+        probes = ("a", "on", "word", "thstring", "qzxv")
+        self._parts = all(ids(p + x) == ids(p) + ids(x) for p in probes for x in ".,")
+        self._lower = all(ids(p.upper()) == ids(p) == ids(p.title()) for p in probes)
+        self._clear()
+
+    def _clear(self) -> None:
+        self._known, self._place, self._size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._flat = np.zeros(0, np.uint32)
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encode the words that are not known yet; hashes ascend."""
+        if len(self._known) > CACHE_WORDS:
+            self._clear()
+        spot = np.searchsorted(self._known, hashes)
+        there = np.zeros(len(hashes), bool)
+        inside = spot < len(self._known)
+        there[inside] = self._known[spot[inside]] == hashes[inside]
+        new = np.flatnonzero(~there)
+        if not len(new):
+            return
+        data = raw.tobytes()
+        words = [data[i:j].decode("utf-8", "replace") for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+        found = [e.ids for e in self._encode(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        places = len(self._flat) + np.cumsum(sizes) - sizes
+        self._flat = np.concatenate((self._flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+        self._known, self._place, self._size = (np.insert(x, spot[new], y) for x, y in ((self._known, hashes[new]), (self._place, places), (self._size, sizes)))
+
+    def _words(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, end, before = textkit.words(part, at)
+        if not self._parts or not len(start):
+            return start, end, before
+        last, ahead = part[end - 1], part[np.maximum(end - 2, 0)] | 32
+        cut = (end - start > 1) & ((last == 46) | (last == 44)) & (ahead >= 97) & (ahead <= 122)
+        shift = np.concatenate(([0], np.cumsum(cut)))
+        starts, ends = np.concatenate((start, end[cut] - 1)), np.concatenate((end - cut, end[cut]))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order], before + shift[before]
 
     def encode(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         raw, offsets = textkit.buffers(column)
-        for i, j in textkit.slices(offsets):
+        for i, j in textkit.slices(offsets, SLICE_BYTES):
             part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            start, end, before = textkit.words(part, at)
-            hashes, first, which = np.unique(textkit.word_hashes(part, start, end, lower=False), return_index=True, return_inverse=True)
-            ids = self._ids(part, hashes, start[first], end[first])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            origin = np.cumsum(sizes) - sizes
+            start, end, before = self._words(part, at)
+            keys = textkit.word_hashes(part, start, end, lower=self._lower)
+            if self._lower and (part == 60).any():
+                # Control strings are told apart by case.
+                held = np.concatenate(([0], np.cumsum(part == 60)))
+                odd = np.flatnonzero(held[end] > held[start])
+                keys[odd] = textkit.mix(textkit.word_hashes(part, start[odd], end[odd], lower=False) + np.uint64(1))
+            hashes, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            self._learn(part, hashes, start[first], end[first])
+            spot = np.searchsorted(self._known, hashes)
+            sizes, origin = self._size[spot], self._place[spot]
             per_word = sizes[which]
             till = np.concatenate(([0], np.cumsum(per_word)))
-            spot = np.repeat(origin[which] - till[:-1], per_word) + np.arange(till[-1])
-            found = flat[spot]
+            found = self._flat[np.repeat(origin[which] - till[:-1], per_word) + np.arange(till[-1])]
             for k in range(j - i):
                 yield np.append(found[till[before[k]] : till[before[k + 1]]], np.uint32(end_id))
 
