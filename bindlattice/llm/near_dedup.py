@@ -6,16 +6,23 @@ Plan
    128-bit fingerprint of the set, band keys and a signature.
 2. Documents with equal sets form a class (aggregation by fingerprint, so copies
    never meet as pairs); its least doc_id stands for it.
-3. Representatives that share a band key form a bucket.  Round one sends each
-   member to one bucket leader only, the leader whose signature agrees best.
-4. Pairs pass the sequential test: signatures are compared in batches, and a pair
+3. Representatives that share a band key form a bucket.  For each of them the
+   shingles are counted that no other bucketed document has.  They bound the
+   intersection with any partner; a member that even this bound keeps below the
+   threshold leaves the bucket.  Heavily edited copies of a large group go here,
+   without meeting the group.
+4. Round one sends each member to one bucket leader only, the leader whose
+   signature agrees best.  Leaders have the fewest shingles of their own, so they
+   are the texts that the others were copied from.
+5. Pairs pass the sequential test: signatures are compared in batches, and a pair
    goes as soon as the posterior probability that its similarity reaches the
    threshold is under ``miss``.  What stays is verified on the full sets.
-5. Round two takes what round one left open: in each bucket, members outside the
-   bucket's largest component meet the members of other components.  A pair is
-   skipped only when both ends are connected already, so no link between
-   components is lost, and large groups never emit all their pairs.
-6. Components come from star contraction over the verified links.
+6. Round two takes what round one left open: members outside their bucket's largest
+   component meet members of other components with which they share one of their
+   rarest shingles.  A pair is left out only when both ends are connected already
+   or the prefix rules a link out, so no link between components is lost, and
+   large groups never emit all their pairs.
+7. Components come from star contraction over the verified links.
 
 Defined results
 ---------------
@@ -35,7 +42,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindlattice.llm import textkit
@@ -187,6 +194,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> Dat
     return stage(arrow_map(dealt, partial(_verify, percent=percent), "leaf long, centre long"), f"{name}-links")
 
 
+def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [s.view(np.int64) for s in _document_sets(b.column(1))]
+        yield batch(rep=b.column(0), shingles=pa.array(sets, pa.list_(pa.int64())))
+
+
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, shingles) of the texts of these ids."""
+    wanted, _ = small(reps.select(F.col("rep").alias("doc_id")))
+    wanted = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    return stage(arrow_map(wanted, _list_sets, "rep long, shingles array<long>"), "sets")
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, own): shingles of each that no other of them has; 0 for ids with several texts."""
+    holders = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    alone = holders.where("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
+    texts = sets.groupBy("rep").agg(F.count("*").alias("texts"))
+    return texts.join(alone, "rep", "left").select("rep", F.when(F.col("texts") > 1, 0).otherwise(F.coalesce("alone", F.lit(0))).alias("own"))
+
+
+def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components, one of them outside, that may be similar.
+
+    Shingles are ranked in each set from the rarest among the members to the
+    commonest.  Two sets of n1 and n2 with an intersection of at least
+    o = percent * (n1 + n2) / (100 + percent) share one of their first n - o + 1
+    shingles each, so joining on those loses no link, and what a large group has in
+    common does not come up.
+    """
+    chosen, _ = small(members)
+    n = F.size("shingles").cast("long")
+    held = sets.join(chosen, "rep").select("rep", "component", "outside", n.alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("s"))
+    held = stage(held, "member-shingles")
+    counted = held.join(held.groupBy("s").agg(F.count("*").alias("df")), "s")
+    rank = F.row_number().over(Window.partitionBy("rep", "set").orderBy("df", "s"))
+    first = counted.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).drop("df", "set")
+    first = stage(first, "prefixes")
+    left = first.where("outside").select("s", F.col("rep").alias("leaf"), F.col("n").alias("n1"), F.col("r").alias("r1"), F.col("component").alias("one"))
+    right = first.select(F.col("s").alias("s2"), F.col("rep").alias("centre"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("component").alias("two"))
+    least = f"ceil({percent} * (n1 + n2) / {100 + percent})"
+    may_link = f"s = s2 and one <> two and r1 <= n1 - {least} + 1 and r2 <= n2 - {least} + 1"
+    return left.join(right, F.expr(may_link)).select(F.greatest("leaf", "centre").alias("leaf"), F.least("leaf", "centre").alias("centre")).distinct()
+
+
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """Members (key, rep, n, common) that can have a partner in their bucket.
+
+    A partner has at least percent / 100 of the n shingles and no fewer than the
+    bucket's smallest member; the intersection is at most ``common``, and a link
+    needs (100 + percent) * intersection >= percent * (n + the partner's n).
+    """
+    least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
+    partner = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+    return rows.join(least, "key").where((100 + percent) * F.col("common") >= percent * (F.col("n") + partner)).drop("least")
+
+
 def _same_id(described: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes that one doc_id with several texts belongs to."""
     of = described.where("doc_id is not null").join(classes, "print").select("doc_id", "rep")
@@ -202,14 +266,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = described.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes, "classes")
-    led = described.join(classes, "print").where("doc_id = rep").select("rep", "sig", "bands").dropDuplicates(["rep", "sig"])
+    led = described.join(classes, "print").where("doc_id = rep").select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep", "sig"])
     led = stage(led, "representatives")
     signs = led.select("rep", "sig")
-    banded = led.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    bucketed = stage(banded.join(leaders, "key").select("key", "rep", "leader"), "buckets")
-
-    first = bucketed.where("rep <> leader").select(F.col("rep").alias("leaf"), F.col("leader").alias("centre")).distinct()
+    banded = led.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value")).select("rep", "n", F.xxhash64("band", "value").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    bucketed = stage(banded.join(shared, "key"), "buckets")
+    sets = _sets(docs, bucketed.select("rep").distinct())
+    own = _own_shingles(sets)
+    rows = bucketed.join(own, "rep").groupBy("key", "rep").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("own")).alias("common"))
+    rows = _possible(stage(rows, "rows"), percent)
+
+    leaders = rows.groupBy("key").agg(F.min(F.struct(1 - F.col("common") / F.col("n"), "rep"))["rep"].alias("leader"))
+    rows = stage(rows.join(leaders, "key"), "members")
+    first = rows.where("rep <> leader").select(F.col("rep").alias("leaf"), F.col("leader").alias("centre")).distinct()
     best = (
         _pruned(first, signs, percent / 100, miss)
         .groupBy("leaf")
@@ -218,20 +288,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(stage(best, "first"), docs, percent, "first").unionByName(_same_id(described, classes))
     found = components(links, "leaf", "centre")
 
-    labelled = bucketed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
-    open_rows = stage(labelled.join(mixed, "key"), "open")
-    outside = open_rows.where("component <> largest").select("key", F.col("rep").alias("leaf"), F.col("component").alias("one"))
-    others = open_rows.select("key", F.col("rep").alias("centre"), F.col("component").alias("two"))
-    second = (
-        outside.join(others, "key")
-        .where("one <> two")
-        .select(F.greatest("leaf", "centre").alias("leaf"), F.least("leaf", "centre").alias("centre"))
-        .distinct()
-    )
+    labelled = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("members"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("members", "component")).alias("largest")).where("parts > 1")
+    members = labelled.join(mixed, "key").groupBy("rep", "component").agg(F.max(F.col("component") != F.col("largest")).alias("outside"))
+    second = _prefix_pairs(sets, stage(members, "open"), percent)
     second = stage(_pruned(second, signs, percent / 100, miss).select("leaf", "centre").distinct(), "second")
     more = _verified(second, docs, percent, "second")
     found = components(links.unionByName(more), "leaf", "centre")
