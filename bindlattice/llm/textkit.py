@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SLICE_BYTES = 1 << 20
 SHINGLE = 5
@@ -109,3 +110,14 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     for j in range(width):
         total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[j : n - width + 1 + j]
     return np.unique(mix(total + np.uint64(width)))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed plane by plane of their bytes."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
