@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of a few narrow columns may be broadcast (tens of MB).
 BROADCAST_ROWS = 1_000_000
-#: Bytes of one Arrow batch handed to Python.
+#: Bytes and rows of one Arrow batch handed to Python, at most; a longer text is a batch of its own.
 ARROW_BATCH_BYTES = 32 << 20
+ARROW_BATCH_ROWS = 4000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -76,6 +77,7 @@ def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator
     """mapInArrow with batches of bounded bytes."""
     with contextlib.suppress(Exception):
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     return df.mapInArrow(each, schema)
 
 
