@@ -220,6 +220,40 @@ def test_language_model(spark, awkward):
     assert all(r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("states", [0, 3, lm_score.STATES])
+def test_language_model_has_every_bigram(spark, awkward, monkeypatch, states):
+    monkeypatch.setattr(lm_score, "BUCKET_PAIRS", 10_000)
+    rng = np.random.default_rng(5)
+    # 3,000 kinds of tokens, more than STATES, half of them seldom.
+    extra = [(1000 + i, " ".join(f"t{int(x)}" for x in rng.integers(0, 3000, 120) ** rng.choice([1.0, 0.7], 120)), "z") for i in range(300)]
+    rows = [*awkward[0], *extra]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    got = lm_score.score_documents(spark.createDataFrame(rows, DOCS).repartition(5), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, states=states).collect()
+    single, pairs, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        tokens = [*words(r[1]), None]
+        if not held(r[0]):
+            for a, b in zip([None, *tokens], tokens, strict=False):
+                single[b] += 1
+                pairs[a, b] += 1
+                after[a].add(b)
+    total, kinds, d = sum(single.values()), len(single), lm_score.DISCOUNT
+    assert kinds > lm_score.STATES
+
+    def chance(a, b):
+        alone = max(single[b] - d, 0) / total + d * kinds / total / (kinds + 1)
+        return max(pairs[a, b] - d, 0) / single[a] + d * len(after[a]) / single[a] * alone if single[a] else alone
+
+    expected = []
+    for r in rows:
+        tokens = [*words(r[1]), None]
+        expected.append((r[0] or -1, len(tokens), sum(math.log10(chance(a, b)) for a, b in zip([None, *tokens], tokens, strict=False))))
+    found = sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in got)
+    assert len(found) == len(expected)
+    for x, y in zip(found, sorted(expected), strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 * max(1.0, abs(y[2]))
+
+
 def test_automaton_is_a_distribution():
     counts = np.array([[4, 1, 0], [0, 3, 2], [1, 0, 0], [2, 2, 0]])
     arcs = np.flatnonzero(counts)
