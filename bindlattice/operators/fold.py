@@ -80,9 +80,14 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": f["id"], "energy": [e for e, _ in done], "structure": [x for _, x in done]})
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt over the cores by id: a small file, which is one task, can hold hours of work."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "id")
+
+
 def fold(rows: DataFrame) -> DataFrame:
     """id, energy and structure of each (id, sequence)."""
-    return rows.select("id", "sequence").mapInPandas(_fold, "id long, energy double, structure string")
+    return dealt(rows.select("id", "sequence")).mapInPandas(_fold, "id long, energy double, structure string")
 
 
 def duplex(rows: DataFrame, linker: str = "AAAAGGAAACAAAA") -> DataFrame:
@@ -142,7 +147,7 @@ def _align(frames: Iterator[pd.DataFrame], costs: tuple[float, ...]) -> Iterator
 
 def align(rows: DataFrame, match: float = 2.0, mismatch: float = -3.0, opening: float = -5.0, extend: float = -1.0) -> DataFrame:
     """Global affine-gap alignment score of each (id, a, b)."""
-    return rows.select("id", "a", "b").mapInPandas(partial(_align, costs=(match, mismatch, opening, extend)), "id long, score double")
+    return dealt(rows.select("id", "a", "b")).mapInPandas(partial(_align, costs=(match, mismatch, opening, extend)), "id long, score double")
 
 
 def structure_graph(structures: DataFrame, most: int = 3) -> DataFrame:

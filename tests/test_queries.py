@@ -22,6 +22,46 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).toPandas() is not None
 
 
+def test_every_part_is_folded_and_aligned_whole(spark, sf):
+    from functools import cache
+
+    from bindlattice.operators import fold
+    from bindlattice.plans.site_queries import _strands
+
+    strands = {r["key"]: r["s"] for r in _strands(spark, sf).collect()}
+    assert {r["id"]: (r["energy"], r["structure"]) for r in QUERIES["fold_mfe"](spark, sf).collect()} == {k: fold.fold_one(s) for k, s in strands.items()}
+
+    def best(a, b):
+        @cache
+        def at(i, j, gap):
+            """Best score of a[i:] and b[j:] after a gap in b (1), in a (2) or none (0)."""
+            if i == len(a) and j == len(b):
+                return 0.0
+            out = -1e9
+            if i < len(a) and j < len(b):
+                out = at(i + 1, j + 1, 0) + (2.0 if a[i] == b[j] else -3.0)
+            if i < len(a):
+                out = max(out, at(i + 1, j, 1) - (1.0 if gap == 1 else 5.0))
+            return max(out, at(i, j + 1, 2) - (1.0 if gap == 2 else 5.0)) if j < len(b) else out
+
+        return at(0, 0, 0)
+
+    assert {r["id"]: r["score"] for r in QUERIES["affine_align"](spark, sf).collect()} == {k: best(s, s[7:]) for k, s in strands.items()}
+
+
+def test_betweenness_reads_every_edge(spark, sf, monkeypatch):
+    from bindlattice.operators import graph
+    from bindlattice.plans import iterative_queries
+
+    # Hubs beyond 300; a path, whose middle edges lie on most shortest paths.
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(1000, 1009)], "src long, dst long, weight double")
+    monkeypatch.setattr(iterative_queries, "_graph", lambda *_: (None, edges))
+    got = {r["src"] - 1000: r["score"] for r in QUERIES["betweenness_split"](spark, sf).collect()}
+    every = {i: 2.0 * (i + 1) * (9 - i) for i in range(9)}
+    assert got == {i: every[i] for i in sorted(every, key=lambda i: (every[i], i))[:5]}
+    assert graph.sparsified(edges, 2).count() == 9
+
+
 def test_entry(spark):
     import __spark_entry__
 
