@@ -196,6 +196,14 @@ def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
     return nodes, graph.undirected(edges.where("a % 11 = b % 11"), "a", "b", "w")
 
 
+def _whole_graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Customers, and an edge of every order from its customer to one that its key leads to; for queries without SQL."""
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    size = nodes.agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    edges = table(spark, d, "orders").crossJoin(F.broadcast(size)).select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 7 % F.col("n") + F.col("least")).alias("b"), (F.col("o_orderkey") % 9 + 1).cast("double").alias("w"))
+    return nodes, graph.undirected(edges, "a", "b", "w")
+
+
 EDGES = "edges AS (SELECT src, dst, max(w) AS weight FROM (SELECT least(o_custkey, o_orderkey * 7 % 1500 + 1) AS src, greatest(o_custkey, o_orderkey * 7 % 1500 + 1) AS dst, CAST(o_orderkey % 9 + 1 AS DOUBLE) AS w FROM orders WHERE o_totalprice > 0 AND o_custkey % 11 = (o_orderkey * 7 % 1500 + 1) % 11) WHERE src <> dst GROUP BY src, dst)"
 
 

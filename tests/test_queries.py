@@ -55,13 +55,30 @@ def test_betweenness_reads_every_edge(spark, sf, monkeypatch):
 
     # Hubs beyond 300; a path, whose middle edges lie on most shortest paths.
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(1000, 1009)], "src long, dst long, weight double")
-    monkeypatch.setattr(iterative_queries, "_graph", lambda *_: (None, edges))
+    monkeypatch.setattr(iterative_queries, "_whole_graph", lambda *_: (None, edges))
     got = {r["src"] - 1000: r["score"] for r in QUERIES["betweenness_split"](spark, sf).collect()}
     every = {i: 2.0 * (i + 1) * (9 - i) for i in range(9)}
     assert got == {i: every[i] for i in sorted(every, key=lambda i: (every[i], i))[:5]}
     assert graph.sparsified(edges, 2).count() == 9
 
 
+def test_graph_holds_every_order(spark, sf, oracle):
+    from bindlattice.plans.site_queries import _whole_graph
+
+    orders = oracle.execute("SELECT o_custkey, o_orderkey FROM orders").fetchall()
+    ids = [r[0] for r in oracle.execute("SELECT c_custkey FROM customer").fetchall()]
+    expected = {}
+    for a, key in orders:
+        b = min(ids) + key * 7 % len(ids)
+        if a != b:
+            expected[min(a, b), max(a, b)] = max(key % 9 + 1.0, expected.get((min(a, b), max(a, b)), 0))
+    nodes, edges = _whole_graph(spark, sf)
+    assert {(r["src"], r["dst"]): r["weight"] for r in edges.collect()} == expected
+    assert {x for e in expected for x in e} <= set(ids) and nodes.count() == len(ids)
+    ends = {x for e in expected for x in e}
+    assert {r["id"] for r in QUERIES["spectral_clusters"](spark, sf).collect()} == ends
+
+
 def test_entry(spark):
     import __spark_entry__
 
