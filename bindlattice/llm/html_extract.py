@@ -2,7 +2,9 @@
 
 Each page is parsed into a DOM once.  Boilerplate that its markup names (menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) is set aside.  Every remaining node gets the composite density
+reader comments) is set aside, save that class and id words set no element aside that
+holds most of the text of articles and main elements or, on a page without these,
+most of its text.  Every remaining node gets the composite density
 
     C/T * log(C/LC * T/LT) / log(ln(C/nLC * LC + LCb/Cb * C + e))
 
@@ -14,7 +16,7 @@ inside an article or main element takes in all of that element.
 
 Defined results: a null or empty html, or one without text, gives the text "" and
 n_chars 0; every row of the input gives one row, repeats included; unclosed tags
-and stray end tags are repaired as browsers do; a page without a body tag is its
+and stray end tags are repaired as browsers do, a head left open included; a page without a body tag is its
 own body; texts of any length are parsed whole.
 """
 
@@ -61,6 +63,8 @@ _ENDS = {
 }
 _BARRIER = frozenset("html body table td th caption".split())
 _KEPT_WHOLE = frozenset(("article", "main"))
+#: Start tags that leave a head open.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noframes noscript script style template".split())
 
 _DROP_TAGS = frozenset(
     "head nav footer aside form script style textarea title xmp iframe noembed noframes noscript template button select option datalist svg canvas object embed dialog menu input label fieldset audio video".split()
@@ -74,6 +78,16 @@ _MAY_NOT_DROP = frozenset("html body article main".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def _is_named(attributes: str, in_article: bool) -> bool:
+    """Whether a class or id has a word of boilerplate."""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            found = {w.lower() for w in _WORDS.findall(value.strip("\"'"))}
+            if found & _DROP_WORDS or "header" in found and not in_article:
+                return True
+    return False
+
+
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _MAY_NOT_DROP:
         return False
@@ -83,11 +97,7 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
-            found = {w.lower() for w in _WORDS.findall(value)}
-            if found & _DROP_WORDS or "header" in found and not in_article:
-                return True
-        elif name == "role" and value.lower() in _DROP_ROLES:
+        if name == "role" and value.lower() in _DROP_ROLES:
             return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
@@ -99,14 +109,42 @@ class _Page:
 
     def __init__(self) -> None:
         self.parent, self.tag, self.chars, self.tags, self.link_chars, self.link_tags, self.pieces = [-1], ["#root"], [0], [0], [0], [0], []
+        #: Whether a node counts as a link's tag, and whether its class or id names boilerplate.
+        self.linked, self.named = [False], [False]
 
-    def add(self, parent: int, tag: str, in_link: bool) -> int:
+    def add(self, parent: int, tag: str, in_link: bool, named: bool) -> int:
         self.parent.append(parent), self.tag.append(tag), self.chars.append(0), self.tags.append(0)
-        self.link_chars.append(0), self.link_tags.append(0)
+        self.link_chars.append(0), self.link_tags.append(0), self.linked.append(in_link), self.named.append(named)
         self.tags[parent] += 1
         self.link_tags[parent] += in_link
         return len(self.tag) - 1
 
+    def set_aside(self) -> None:
+        """Take out the nodes that their class or id names, unless they hold most of the articles' text, or of the page's where none has any."""
+        n, parent = len(self.tag), self.parent
+        if not any(self.named):
+            return
+        article = [False] * n
+        for i in range(1, n):
+            article[i] = article[parent[i]] or self.tag[i] in _KEPT_WHOLE and not self.named[i]
+        every, held = list(self.chars), [c if a else 0 for c, a in zip(self.chars, article, strict=True)]
+        for i in range(n - 1, 0, -1):
+            every[parent[i]] += every[i]
+            held[parent[i]] += held[i]
+        size = held if held[0] else every
+        out = [False] * n
+        for i in range(1, n):
+            if out[parent[i]]:
+                out[i] = True
+            elif self.named[i] and self.tag[i] not in _MAY_NOT_DROP and 2 * size[i] <= size[0]:
+                out[i] = True
+                self.tags[parent[i]] -= 1
+                self.link_tags[parent[i]] -= self.linked[i]
+        for i in range(n):
+            if out[i]:
+                self.chars[i] = self.tags[i] = self.link_chars[i] = self.link_tags[i] = 0
+        self.pieces = [(i, t) for i, t in self.pieces if t == " " or not out[i]]
+
 
 def _parse(source: str) -> _Page:
     page = _Page()
@@ -124,6 +162,10 @@ def _parse(source: str) -> _Page:
             if link:
                 page.link_chars[node] += n
 
+    def leave_head(depth: int) -> None:
+        if stack[depth][1] == "head":
+            close_to(depth)
+
     def close_to(depth: int) -> None:
         if any(t not in _INLINE for _, t, _, _ in stack[depth:]):
             pieces.append((max(stack[depth - 1][0], 0), " "))
@@ -132,9 +174,13 @@ def _parse(source: str) -> _Page:
     while at < length:
         m = _TOKEN.search(source, at)
         if m is None:
+            if not source[at:].isspace():
+                leave_head(len(stack) - 1)
             text(source[at:])
             break
         if m.start() > at:
+            if not source[at : m.start()].isspace():
+                leave_head(len(stack) - 1)
             text(source[at : m.start()])
         at = m.end()
         name = m.group(2) or m.group(5)
@@ -149,6 +195,11 @@ def _parse(source: str) -> _Page:
                 if stack[depth][1] in _BARRIER and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
+        if tag == "body":
+            for depth in range(len(stack) - 1, 0, -1):
+                leave_head(depth)
+        elif tag not in _IN_HEAD:
+            leave_head(len(stack) - 1)
         ends, stops = _ENDS.get(tag, ({"p"}, _BARRIER | {"button"}) if tag in _CLOSES_P else ((), ()))
         if ends:
             for depth in range(len(stack) - 1, 0, -1):
@@ -167,14 +218,16 @@ def _parse(source: str) -> _Page:
             continue
         if node >= 0 and _is_boilerplate(tag, attributes, article):
             node = -1
+        named = node >= 0 and _is_named(attributes, article)
         if tag in _VOID:
-            if node >= 0:
+            if node >= 0 and not named:
                 page.tags[node] += 1
             continue
         if node >= 0:
-            node = page.add(node, tag, link or tag == "a")
+            node = page.add(node, tag, link or tag == "a", named)
         if not attributes.endswith("/") or tag in _MAY_NOT_DROP or tag in _CLOSES_P or tag in _INLINE:
             stack.append((node, tag, link or tag == "a", article or tag in _KEPT_WHOLE))
+    page.set_aside()
     return page
 
 

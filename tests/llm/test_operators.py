@@ -345,3 +345,23 @@ def test_words_of_arrow_slices():
 
     raw, offsets = textkit.buffers(column)
     assert bytes(raw) == b"c" and offsets.tolist() == [0, 0, 1]
+
+
+STORY = "<p>" + "The story goes on and on. " * 20 + "</p>"
+SAID = " ".join(["The story goes on and on."] * 20)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><head><title>t</title><meta charset=utf-8><body><article>{STORY}</article></body></html>",
+        f"<html><head><title>t</title><div>{STORY}</div></html>",
+        f"<head><link rel=x href=y>{SAID}",
+        f"<body><div class='has-sidebar'><article>{STORY}</article><div class='sidebar'>other words</div></div></body>",
+        f"<body><div id='ad-free'><div class='content-with-sidebar'>{STORY}</div></div><p class='related'>see also</p></body>",
+        f"<body><main>{STORY}<div class='comments'><article class='comment'><p>I say no</p></article></div></main></body>",
+        f"<body><article>{STORY}</article><div class='related'><article><p>teaser words</p></article></div></body>",
+    ],
+)
+def test_articles_in_open_heads_and_named_wrappers(html):
+    assert html_extract.main_text(html) == SAID
