@@ -92,3 +92,36 @@ def test_reports_and_names(spark):
     guide = "UGAGGUAGUAGGUUGUAUAGUU"
     r = spark.range(1).select(seq.sync_name(F.lit(guide)).alias("n")).select("n", seq.from_sync_name("n").alias("g"), seq.hamming(F.lit("ACGU"), F.lit("AGGA")).alias("h"), seq.hamming(F.lit("A"), F.lit("AC")).alias("u")).first()
     assert r["n"].startswith("sync-GAGGUAG-") and r["g"] == guide and r["h"] == 2 and r["u"] is None
+
+
+def test_factorisation_runs_to_its_tolerance(spark):
+    rng = np.random.default_rng(2)
+    v = rng.random((40, 3)) @ rng.random((3, 7)) + 0.3 * rng.random((40, 7))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+
+    def brute(w, h):
+        errors = []
+        for i in range(500):
+            w = w * (v @ h.T) / np.maximum(w @ h @ h.T, 1e-12)
+            h = h * (w.T @ v) / np.maximum(w.T @ w @ h, 1e-12)
+            errors.append(np.linalg.norm(v - w @ h))
+            if i and i % 10 == 0 and errors[-11] - errors[-1] < 0.03 * errors[0]:
+                break
+        return w, h, errors
+
+    u, s, vt = np.linalg.svd(v, full_matrices=False)
+    w0, h0 = np.zeros((40, 2)), np.zeros((2, 7))
+    w0[:, 0], h0[0] = np.sqrt(s[0]) * abs(u[:, 0]), np.sqrt(s[0]) * abs(vt[0])
+    x, y = max(((np.maximum(z * u[:, 1], 0), np.maximum(z * vt[1], 0)) for z in (1, -1)), key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
+    m = np.sqrt(s[1] * np.linalg.norm(x) * np.linalg.norm(y))
+    w0[:, 1], h0[1] = m * x / np.linalg.norm(x), m * y / np.linalg.norm(y)
+    w0[w0 < 1e-6], h0[h0 < 1e-6] = 0, 0
+    w, h, errors = brute(w0, h0)
+    weights, got, found = factor.nmf(rows, 7, 2, iterations=500, tolerance=0.03, start=factor.nndsvd(rows, 7, 2))
+    assert len(found) == len(errors) and np.allclose(found, errors, rtol=1e-5) and np.allclose(got, h, rtol=1e-4, atol=1e-6)
+    assert np.allclose([r["w"] for r in weights.orderBy("id").collect()], w, rtol=1e-4, atol=1e-6)
+    weights, hs, runs = factor.nmf_runs(rows, 7, 2, [0, 1], tolerance=0.03)
+    side = np.array([r["w"] for r in weights.orderBy("id").collect()])
+    for r in (0, 1):
+        w, h, errors = brute(factor._start(np.arange(40), r, 2, v.mean()), factor._start(np.arange(7) + 7_777_777, r, 2, v.mean()).T)
+        assert len(runs[r]) == len(errors) and np.allclose(hs[r], h, rtol=1e-5) and np.allclose(side[:, 2 * r : 2 * r + 2], w, rtol=1e-5)
