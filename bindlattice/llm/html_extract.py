@@ -1,23 +1,26 @@
 """Main text of web pages by composite text density.
 
-Each page is parsed into a DOM once.  Boilerplate that its markup names (menus,
-page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) is set aside, save that class and id words set no element aside that
-holds most of the text of articles and main elements or, on a page without these,
-most of its text.  Every remaining node gets the composite density
+Each page is parsed into a DOM once.  What the page's own tags set apart (head, nav,
+header, footer, aside, form, script, style and the like) is left out; no class, id or
+role counts.  Every block of the rest gets the composite density
 
     C/T * log(C/LC * T/LT) / log(ln(C/nLC * LC + LCb/Cb * C + e))
 
 with C characters, T tags, LC characters and LT tags in links, nLC = C - LC, and
-LCb, Cb those of the body.  A node's density sum adds the densities of its
-children.  The subtree of the largest sum is content; the least density on its
-path to the body is the threshold at which further subtrees count, too.  Content
-inside an article or main element takes in all of that element.
+LCb, Cb those of the body.  Formatting tags (b, i, span, ...) count as tags, and their
+text as that of the block around them.  A block's density sum adds the densities of
+its child blocks; sums of article and main elements weigh LANDMARK times as much.
+The subtree of the largest sum is the article.  The least density on its path to the
+body is the threshold: outside the article, a block with at least two child blocks
+joins it if its density and its density sum reach the threshold (not where an
+article or main element was chosen); inside, boxes of boxes (not lists or tables)
+of less than a quarter of it, as reader comments and menus are, go.
 
 Defined results: a null or empty html, or one without text, gives the text "" and
-n_chars 0; every row of the input gives one row, repeats included; unclosed tags
-and stray end tags are repaired as browsers do, a head left open included; a page without a body tag is its
-own body; texts of any length are parsed whole.
+n_chars 0; every row of the input gives one row, repeats included; ties go to the
+outer block; other columns are not read; unclosed tags and stray end tags are
+repaired as browsers do, a head left open included; a page without a body tag is its
+own body; texts of any length are parsed whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bindlattice.llm.common import arrow_map, batch, quoted, read
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.DOTALL,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Weight of the density sums of elements that are the article by their tag.
+LANDMARK = 8.0
+_LANDMARKS = frozenset(("article", "main"))
+#: Share of the threshold under which boxes of boxes inside the article go.
+SPARSE = 0.25
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -51,110 +55,130 @@ _CLOSES_P = frozenset(
 )
 #: For a tag, the open tags that its start ends, and the tags beyond which it does not look.
 _ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
-    "option": ({"option"}, {"select"}),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)),
+    "tfoot": (("tbody", "tr", "td", "th"), ("table",)),
+    "option": (("option",), ("select",)),
 }
-_BARRIER = frozenset("html body table td th caption".split())
-_KEPT_WHOLE = frozenset(("article", "main"))
+_BARRIER = ("html", "body", "table", "td", "th", "caption")
+_OF_P = ("p",), (*_BARRIER, "button")
+_THROUGH = frozenset("table tr tbody thead tfoot body html".split())
 #: Start tags that leave a head open.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta title noframes noscript script style template".split())
-
-_DROP_TAGS = frozenset(
-    "head nav footer aside form script style textarea title xmp iframe noembed noframes noscript template button select option datalist svg canvas object embed dialog menu input label fieldset audio video".split()
-)
-_DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer footnav share sharing social related recommended recommendations comment comments commentlist disqus respond replies widget widgets toolbar pagination pager skip login signup signin search hidden masthead copyright".split()
+#: Elements that are no part of an article by their tag; a header inside an article is its own.
+_APART = frozenset(
+    "head nav footer aside form script style textarea title xmp iframe noembed noframes noscript template button select option datalist svg canvas object embed dialog menu input audio video".split()
 )
-_HEADER_WORDS = frozenset(("header", "topbar", "site"))
-_DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_MAY_NOT_DROP = frozenset("html body article main".split())
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-
-
-def _is_named(attributes: str, in_article: bool) -> bool:
-    """Whether a class or id has a word of boilerplate."""
-    for name, value in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id"):
-            found = {w.lower() for w in _WORDS.findall(value.strip("\"'"))}
-            if found & _DROP_WORDS or "header" in found and not in_article:
-                return True
-    return False
-
-
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _MAY_NOT_DROP:
-        return False
-    if tag in _DROP_TAGS or tag == "header" and not in_article:
-        return True
-    if not attributes or attributes.isspace():
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.lower() in _DROP_ROLES:
-            return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+#: Boxes that may be sparse and still belong to the article.
+_LISTS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre details p".split())
+
+
+def _tags(source: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of each tag, comment or declaration; the name has a slash for end tags and is empty for the latter two.
+
+    One pass: a quote without a partner further on is an ordinary character, and
+    without a closing bracket further on there are no more tags.
+    """
+    at, last = 0, source.rfind(">")
+    ends = {q: source.rfind(q) for q in "\"'"}
+    bare = False
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            return
+        if source.startswith(("<!--", "<![CDATA["), start):
+            mark = "-->" if source[start + 3] == "-" else "]]>"
+            end = source.find(mark, start + 4)
+            at = len(source) if end < 0 else end + 3
+            yield start, at, ""
+            continue
+        if start > last:
+            return
+        if source[start + 1] in "!?":
+            at = source.find(">", start) + 1
+            yield start, at, ""
+            continue
+        name = _NAME.match(source, start + 1)
+        if name is None:
+            at = start + 1
+            continue
+        spot = name.end()
+        while not bare:
+            stop = _STOP.search(source, spot)
+            if stop is None:
+                bare = True
+            elif stop.group() == ">":
+                spot = stop.end()
+                break
+            else:
+                spot = stop.end() if ends[stop.group()] == stop.start() else source.index(stop.group(), stop.end()) + 1
+        at = source.find(">", name.end()) + 1 if bare else spot
+        yield start, at, name.group().lower()
 
 
 class _Page:
-    """Nodes in page order: parent, tag, and counts of characters and tags, all and in links."""
+    """Blocks in page order: parent, tag, and counts of characters and tags, all and in links."""
 
     def __init__(self) -> None:
         self.parent, self.tag, self.chars, self.tags, self.link_chars, self.link_tags, self.pieces = [-1], ["#root"], [0], [0], [0], [0], []
-        #: Whether a node counts as a link's tag, and whether its class or id names boilerplate.
-        self.linked, self.named = [False], [False]
 
-    def add(self, parent: int, tag: str, in_link: bool, named: bool) -> int:
+    def add(self, parent: int, tag: str, in_link: bool) -> int:
         self.parent.append(parent), self.tag.append(tag), self.chars.append(0), self.tags.append(0)
-        self.link_chars.append(0), self.link_tags.append(0), self.linked.append(in_link), self.named.append(named)
-        self.tags[parent] += 1
-        self.link_tags[parent] += in_link
+        self.link_chars.append(0), self.link_tags.append(0)
+        self.count(parent, in_link)
         return len(self.tag) - 1
 
-    def set_aside(self) -> None:
-        """Take out the nodes that their class or id names, unless they hold most of the articles' text, or of the page's where none has any."""
-        n, parent = len(self.tag), self.parent
-        if not any(self.named):
-            return
-        article = [False] * n
-        for i in range(1, n):
-            article[i] = article[parent[i]] or self.tag[i] in _KEPT_WHOLE and not self.named[i]
-        every, held = list(self.chars), [c if a else 0 for c, a in zip(self.chars, article, strict=True)]
-        for i in range(n - 1, 0, -1):
-            every[parent[i]] += every[i]
-            held[parent[i]] += held[i]
-        size = held if held[0] else every
-        out = [False] * n
-        for i in range(1, n):
-            if out[parent[i]]:
-                out[i] = True
-            elif self.named[i] and self.tag[i] not in _MAY_NOT_DROP and 2 * size[i] <= size[0]:
-                out[i] = True
-                self.tags[parent[i]] -= 1
-                self.link_tags[parent[i]] -= self.linked[i]
-        for i in range(n):
-            if out[i]:
-                self.chars[i] = self.tags[i] = self.link_chars[i] = self.link_tags[i] = 0
-        self.pieces = [(i, t) for i, t in self.pieces if t == " " or not out[i]]
+    def count(self, node: int, in_link: bool) -> None:
+        self.tags[node] += 1
+        self.link_tags[node] += in_link
+
+
+class _Open:
+    """The stack of open elements: block (-1 where left out), tag, in a link, in an article."""
+
+    def __init__(self, page: _Page) -> None:
+        self.page = page
+        self.stack: list[tuple[int, str, bool, bool]] = [(0, "#root", False, False)]
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, entry: tuple[int, str, bool, bool]) -> None:
+        self.at[entry[1]].append(len(self.stack))
+        self.stack.append(entry)
+
+    def deepest(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close_to(self, depth: int) -> None:
+        broken = False
+        for entry in self.stack[depth:]:
+            broken = broken or entry[1] not in _INLINE
+            self.at[entry[1]].pop()
+        if broken:
+            self.page.pieces.append((max(self.stack[depth - 1][0], 0), " "))
+        del self.stack[depth:]
+
+    def leave_head(self) -> None:
+        if self.stack[-1][1] == "head":
+            self.close_to(len(self.stack) - 1)
 
 
 def _parse(source: str) -> _Page:
     page = _Page()
-    #: Open elements: node (-1 where boilerplate), tag, in a link, in an article.
-    stack: list[tuple[int, str, bool, bool]] = [(0, "#root", False, False)]
-    pieces, at, length = page.pieces, 0, len(source)
+    opened = _Open(page)
+    stack, pieces = opened.stack, page.pieces
 
     def text(chunk: str) -> None:
+        if not chunk:
+            return
+        if not chunk.isspace():
+            opened.leave_head()
         node, _, link, _ = stack[-1]
-        if node >= 0 and chunk:
+        if node >= 0:
             chunk = entities.unescape(chunk) if "&" in chunk else chunk
             pieces.append((node, chunk))
             n = len("".join(chunk.split()))
@@ -162,77 +186,57 @@ def _parse(source: str) -> _Page:
             if link:
                 page.link_chars[node] += n
 
-    def leave_head(depth: int) -> None:
-        if stack[depth][1] == "head":
-            close_to(depth)
-
-    def close_to(depth: int) -> None:
-        if any(t not in _INLINE for _, t, _, _ in stack[depth:]):
-            pieces.append((max(stack[depth - 1][0], 0), " "))
-        del stack[depth:]
-
-    while at < length:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            if not source[at:].isspace():
-                leave_head(len(stack) - 1)
-            text(source[at:])
-            break
-        if m.start() > at:
-            if not source[at : m.start()].isspace():
-                leave_head(len(stack) - 1)
-            text(source[at : m.start()])
-        at = m.end()
-        name = m.group(2) or m.group(5)
-        if name is None:
+    at = skip = 0
+    raw = None
+    for start, end, name in _tags(source):
+        if start < skip:
+            continue
+        text(source[at:start])
+        at = end
+        if not name:
             continue
-        tag, attributes = name.lower(), m.group(3) if m.group(2) else m.group(6)
-        if m.group(1) or m.group(4):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][1] == tag:
-                    close_to(depth)
-                    break
-                if stack[depth][1] in _BARRIER and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+        if name[0] == "/":
+            tag = name[1:]
+            depth = opened.at[tag][-1] if opened.at.get(tag) else 0
+            if depth and (tag in _THROUGH or depth >= opened.deepest(_BARRIER)):
+                opened.close_to(depth)
             continue
-        if tag == "body":
-            for depth in range(len(stack) - 1, 0, -1):
-                leave_head(depth)
+        tag = name
+        if tag == "body" and opened.at.get("head"):
+            opened.close_to(opened.at["head"][0])
         elif tag not in _IN_HEAD:
-            leave_head(len(stack) - 1)
-        ends, stops = _ENDS.get(tag, ({"p"}, _BARRIER | {"button"}) if tag in _CLOSES_P else ((), ()))
-        if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][1] in ends:
-                    close_to(depth)
-                    if len(ends) < 4:
-                        break
-                elif stack[depth][1] in stops:
-                    break
+            opened.leave_head()
+        ends, stops = _ENDS.get(tag) or (_OF_P if tag in _CLOSES_P else ((), ()))
+        while ends and (depth := opened.deepest(ends)) > opened.deepest(stops):
+            opened.close_to(depth)
         node, _, link, article = stack[-1]
         if tag not in _INLINE:
             pieces.append((max(node, 0), " "))
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(source, at)
-            at = end.end() if end else length
+            raw = raw or {t: re.compile(rf"</{t}\b[^>]*>?", re.IGNORECASE) for t in _RAW}
+            found = raw[tag].search(source, at)
+            at = skip = found.end() if found else len(source)
             continue
-        if node >= 0 and _is_boilerplate(tag, attributes, article):
+        if tag in _APART or tag == "header" and not article:
             node = -1
-        named = node >= 0 and _is_named(attributes, article)
         if tag in _VOID:
-            if node >= 0 and not named:
-                page.tags[node] += 1
+            if node >= 0:
+                page.count(node, link)
             continue
+        link = link or tag == "a"
         if node >= 0:
-            node = page.add(node, tag, link or tag == "a", named)
-        if not attributes.endswith("/") or tag in _MAY_NOT_DROP or tag in _CLOSES_P or tag in _INLINE:
-            stack.append((node, tag, link or tag == "a", article or tag in _KEPT_WHOLE))
-    page.set_aside()
+            if tag in _INLINE:
+                page.count(node, link)
+            else:
+                node = page.add(node, tag, link)
+        if source[end - 2] != "/" or tag in _LANDMARKS or tag in _CLOSES_P or tag in _INLINE or tag == "body":
+            opened.push((node, tag, link, article or tag in _LANDMARKS))
+    text(source[at:])
     return page
 
 
-def _content(page: _Page) -> list[bool]:
-    """Which nodes are content."""
+def _densities(page: _Page) -> tuple[int, list[float], list[float]]:
+    """The body, and the density and density sum of each block."""
     parent, n = page.parent, len(page.tag)
     chars, tags, link_chars, link_tags = list(page.chars), list(page.tags), list(page.link_chars), list(page.link_tags)
     for i in range(n - 1, 0, -1):
@@ -251,36 +255,36 @@ def _content(page: _Page) -> list[bool]:
             density[i] = c / t * math.log(max(c / lc * t / lt, 1.0)) / max(base, 1e-2)
     total = [0.0] * n
     for i in range(1, n):
-        total[parent[i]] += density[i]
-    inside = [False] * n
+        total[parent[i]] += density[i] * (LANDMARK if page.tag[parent[i]] in _LANDMARKS else 1.0)
+    return body, density, total
+
+
+def _content(page: _Page) -> list[bool]:
+    """Which blocks are content."""
+    parent, n = page.parent, len(page.tag)
+    body, density, total = _densities(page)
+    inside, children, height = [False] * n, [0] * n, [0] * n
     inside[body] = True
     for i in range(body + 1, n):
         inside[i] = inside[parent[i]]
-    best = max((i for i in range(n) if inside[i]), key=lambda i: (total[i], chars[i], -i))
+    for i in range(n - 1, 0, -1):
+        children[parent[i]] += 1
+        height[parent[i]] = max(height[parent[i]], height[i] + 1)
+    best = max((i for i in range(n) if inside[i]), key=lambda i: (total[i], -i))
     threshold, i, path = density[best], best, {best}
     while i != body:
         i = parent[i]
         path.add(i)
         threshold = min(threshold, density[i])
-    #: The largest density sum within each node's subtree.
-    top = list(range(n))
-    for i in range(n - 1, 0, -1):
-        if total[top[i]] > total[top[parent[i]]]:
-            top[parent[i]] = top[i]
-    #: The article or main element around each node, or the node itself.
-    whole = list(range(n))
-    for i in range(1, n):
-        if page.tag[i] not in _KEPT_WHOLE and page.tag[whole[parent[i]]] in _KEPT_WHOLE:
-            whole[i] = whole[parent[i]]
-    marked = [False] * n
-    if chars[best]:
-        marked[whole[best]] = True
-        for i in range(1, n):
-            if inside[i] and density[i] >= threshold > 0 and i not in path:
-                marked[whole[top[i]]] = True
-    for i in range(1, n):
-        marked[i] = marked[i] or marked[parent[i]]
-    return marked
+    marked, gone, landmark = [False] * n, [False] * n, [False] * n
+    for i in range(n):
+        landmark[i] = page.tag[i] in _LANDMARKS or i > 0 and landmark[parent[i]]
+        marked[i] = i == best or i > 0 and marked[parent[i]]
+        if inside[i] and i not in path and not marked[i] and not landmark[best] and children[i] > 1:
+            marked[i] = min(density[i], total[i]) >= threshold > 0
+        sparse = i != best and height[i] > 1 and page.tag[i] not in _LISTS and density[i] < SPARSE * threshold
+        gone[i] = i > 0 and (gone[parent[i]] or marked[parent[i]] and sparse)
+    return [m and not g for m, g in zip(marked, gone, strict=True)]
 
 
 def main_text(source: str | None) -> str:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -365,3 +366,76 @@ SAID = " ".join(["The story goes on and on."] * 20)
 )
 def test_articles_in_open_heads_and_named_wrappers(html):
     assert html_extract.main_text(html) == SAID
+
+
+def _plain_densities(page):
+    """Density sums by their definition: every block's counts are summed over its descendants anew."""
+    n = len(page.tag)
+    children = [[j for j in range(1, n) if page.parent[j] == i] for i in range(n)]
+
+    def below(i):
+        return [i] + [k for j in children[i] for k in below(j)]
+
+    def counts(i):
+        return [sum(getattr(page, name)[k] for k in below(i)) for name in ("chars", "tags", "link_chars", "link_tags")]
+
+    body = page.tag.index("body")
+    all_chars, _, all_links, _ = counts(body)
+
+    def density(i):
+        c, t, lc, lt = counts(i)
+        if not c:
+            return 0.0
+        inner = c / max(c - lc, 1) * lc + all_links / max(all_chars, 1) * c + math.e
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / max(math.log(math.log(inner)), 1e-2)
+
+    return body, [density(i) for i in range(n)], [sum(density(j) for j in children[i]) * (html_extract.LANDMARK if page.tag[i] in ("article", "main") else 1) for i in range(n)]
+
+
+def test_densities_against_their_definition():
+    rng = np.random.default_rng(2)
+
+    def tree(depth):
+        tag = str(rng.choice(["div", "section", "p", "ul", "article"]))
+        inner = "".join(tree(depth - 1) for _ in range(int(rng.integers(0, 4)))) if depth and tag != "p" else ""
+        link = f"<a href=x>{'l' * int(rng.integers(1, 9))}</a>" if rng.random() < 0.4 else ""
+        return f"<{tag}>{'w ' * int(rng.integers(0, 60))}{link}<b>b</b>{inner}</{tag}>"
+
+    for _ in range(40):
+        page = html_extract._parse(f"<body>{''.join(tree(3) for _ in range(4))}</body>")
+        body, density, total = html_extract._densities(page)
+        plain = _plain_densities(page)
+        assert body == plain[0] and np.allclose(density, plain[1]) and np.allclose(total, plain[2])
+        keep = html_extract._content(page)
+        assert keep[max(range(1, len(total)), key=lambda i: (plain[2][i], -i))]
+
+
+PROSE = "A sentence of several words, then another one that is longer. " * 6
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class=x1><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li><li><a href=/c>Three</a></li></ul></div>{}<div class=x3>Buy our new thing today.</div>",
+        "<div><a href=/a>Home</a> <a href=/b>News</a></div><div><div>{}</div></div><div><p>Buy.</p></div>",
+    ],
+)
+@pytest.mark.parametrize("box", ["article", "main", "div"])
+def test_density_decides_without_names(around, box):
+    inner = f"<section id=search-theory><h2>Theory</h2><p>{PROSE}</p></section><div class=related-work><p>{PROSE}</p><p>Short.</p></div><ul><li>a</li><li>b</li></ul>"
+    page = f"<body>{around.format(f'<{box}><h1>Title</h1><p>{PROSE}</p>{inner}</{box}>')}</body>"
+    said = " ".join(PROSE.split())
+    assert html_extract.main_text(page) == f"Title {said} Theory {said} {said} Short. a b"
+
+
+@pytest.mark.parametrize("html", ["<a " * 30_000, "<div><p>" * 10_000, "<b>" * 6000 + "</i>" * 6000, "<!" * 50_000, '<a "' * 20_000 + ">", "<table>" + "<tr><td>" * 10_000])
+def test_parsing_takes_linear_time(html):
+    began = time.perf_counter()
+    html_extract.main_text(html)
+    assert time.perf_counter() - began < 5
+
+
+def test_pages_with_extra_columns_and_repeats(spark):
+    rows = [(1, "u", "<p>a</p>", "text"), (1, "u", "<p>a</p>", "text"), (None, None, None, None)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
