@@ -5,19 +5,22 @@ All of it is DataFrame work.  An item has the distinct shingles of SHINGLE words
 powers of two; with at most u shingles in a partition, an item that is contained
 to ``percent`` misses at most u - ceil(percent * u / 100) of its shingles in the
 document, so one of any k = that + 1 of them must be there.  The sketch of an item
-is its k smallest shingle hashes (bottom-k MinHash): a document that holds none of
-them cannot contain the item, and every other document is a candidate.  No text
-similar enough is lost, however long the document.  Candidates are verified by
-exact containment of the shingles as text.
-
-The sketches are broadcast only after they were counted; beyond the bound the join
-is a shuffled one.  Groups of documents never meet each other.
-
-Defined results: one row for each document row's id and item with a containment of
-percent / 100 or more; null or wordless documents and items match nothing; words
-are runs of other than ASCII white space, A-Z lower-cased; documents that share an
-id count as one with all their shingles; null ids are an id; repeated items with
-one item_id count as one with all their shingles; empty tables give no rows.
+is its k smallest shingle hashes (bottom-k MinHash), those of shingles that many
+items hold only after all others: a document that holds none of them cannot contain
+the item, and every other document is a candidate.  No text similar enough is lost,
+however long the document.  Candidates are verified by exact containment of the
+shingles as text.
+
+A first pass over the texts finds the ids of candidates; only their rows are read
+again, and each gets a key of its own.  Hashes are broadcast only after they were
+counted; beyond the bound the join is a shuffled one.  Groups of documents never
+meet each other.
+
+Defined results: one row for each document row and item row with a containment of
+percent / 100 or more, under their ids; rows that share an id, or have none, count
+each for itself, and so do items; null or wordless documents and items match
+nothing; words are runs of other than ASCII white space, A-Z lower-cased; other
+columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from pyspark.sql import functions as F
 from bindlattice.llm.common import quoted, read, small, stage
 
 SHINGLE, PERCENT = 5, 80
+#: Items that may hold a shingle before sketches take others first; this order has no effect on results.
+COMMON = 8
+#: Distinct sketch hashes up to which they are broadcast.
+SKETCH_ROWS = 4_000_000
 
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r"
 _TO = "abcdefghijklmnopqrstuvwxyz     "
@@ -56,40 +63,42 @@ def _each_width(words: str, widths: list[int], of: object) -> Column:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, n_shingles, shared and containment of each match."""
+    """doc_id, item_id, n_shingles, shared and containment of each match of a document row and an item row."""
     rows = docs.select(quoted(id_col).alias("doc_id"), word_array(quoted(text_col)).alias("words"))
     known = items.select(quoted(item_col).alias("item_id"), word_array(quoted(item_text_col)).alias("words")).where(F.size("words") > 0)
-    known = known.withColumn("width", F.least(F.lit(SHINGLE), F.size("words")))
+    known = stage(known.withColumn("width", F.least(F.lit(SHINGLE), F.size("words"))).withColumn("item", F.monotonically_increasing_id()), "benchmark")
     widths = sorted(r["width"] for r in known.select("width").distinct().collect()) or [SHINGLE]
     by_width = F.coalesce(*(F.when(F.col("width") == w, _texts("words", w)) for w in widths))
-    shingled = known.select("item_id", F.explode(by_width).alias("shingle")).distinct()
-    size = F.count("*").over(Window.partitionBy("item_id"))
+    shingled = known.select("item", F.explode(F.array_distinct(by_width)).alias("shingle"))
+    size = F.count("*").over(Window.partitionBy("item"))
     shingled = stage(shingled.withColumn("n", size), "items")
 
     # The hash of a shingle's text word by word, as documents get it.
     hashed = shingled.withColumn("parts", F.transform(F.split("shingle", " "), lambda w: F.xxhash64(w)))
     hashed = hashed.withColumn("hash", F.coalesce(*(F.when(F.size("parts") == w, F.xxhash64(*(F.get("parts", F.lit(j)) for j in range(w)))) for w in widths)))
+    common = hashed.groupBy("hash").agg(F.count("*").alias("items")).where(F.col("items") > COMMON).select("hash", F.lit(True).alias("common"))
     top = F.expr("cast(power(2, length(bin(n))) as bigint) - 1")
     sketch_size = top - F.floor((percent * top + 99) / 100) + 1
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64("hash"), "shingle"))
-    sketches = hashed.withColumn("rank", rank).where(F.col("rank") <= sketch_size).select("item_id", "hash").distinct()
-    sketches, _ = small(stage(sketches, "sketches"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("common", F.lit(False)), F.xxhash64("hash"), "shingle"))
+    sketches = stage(hashed.join(common, "hash", "left").withColumn("rank", rank).where(F.col("rank") <= sketch_size).select("item", "hash").distinct(), "sketches")
 
+    # Ids of documents with any candidate; then their rows, each under a key of its own.
+    hashes, _ = small(stage(sketches.select("hash").distinct(), "hashes"), SKETCH_ROWS)
     numbers = rows.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
-    found = numbers.select("doc_id", F.explode(_each_width("hashed", widths, _hashes)).alias("hash")).join(sketches, "hash")
-    candidates = stage(found.select("doc_id", "item_id").distinct(), "candidates")
-
-    wanted, _ = small(candidates.select(F.col("doc_id").alias("_id")).distinct())
-    met = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    met = met.select("doc_id", F.explode(F.array_distinct(_each_width("words", widths, _texts))).alias("shingle"))
-    shingled, _ = small(shingled)
-    shared = met.join(shingled, "shingle").select("doc_id", "item_id", "n", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.max("n").alias("n_shingles"), F.count("*").alias("shared"))
-    pairs = candidates.select(F.col("doc_id").alias("_id"), F.col("item_id").alias("_item"))
-    return (
-        shared.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
-        .join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
-        .select("doc_id", "item_id", "n_shingles", "shared", (F.col("shared") / F.col("n_shingles")).alias("containment"))
-    )
+    ids = numbers.select("doc_id", F.explode(_each_width("hashed", widths, _hashes)).alias("hash")).join(hashes, "hash", "left_semi")
+    wanted, _ = small(stage(ids.select(F.col("doc_id").alias("_id")).distinct(), "candidate-ids"))
+    met = stage(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("row", F.monotonically_increasing_id()), "candidates")
+
+    sketches_, _ = small(sketches)
+    numbers = met.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    pairs = numbers.select("row", F.explode(_each_width("hashed", widths, _hashes)).alias("hash")).join(sketches_, "hash").select("row", "item").distinct()
+    asked = stage(pairs, "pairs").join(shingled, "item")
+    kept, _ = small(shingled.select("shingle").distinct())
+    held = met.select("row", F.explode(F.array_distinct(_each_width("words", widths, _texts))).alias("shingle")).join(kept, "shingle", "left_semi")
+    shared = asked.join(held, ["row", "shingle"]).groupBy("row", "item").agg(F.max("n").alias("n_shingles"), F.count("*").alias("shared"))
+    shared = shared.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    named = shared.join(met.select("row", "doc_id"), "row").join(known.select("item", "item_id"), "item")
+    return named.select("doc_id", "item_id", "n_shingles", "shared", (F.col("shared") / F.col("n_shingles")).alias("containment"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
