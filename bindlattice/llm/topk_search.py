@@ -2,15 +2,17 @@
 
 Vectors are turned into integers floor(256 * x) and packed: each input partition
 becomes shards of at most SHARD rows, the queries become blocks of at most BLOCK
-rows, both written to the shared folder.  Every (block, shard) tile is one matrix
-product; a tile keeps k candidates a query by partial selection, a task merges
-the lists of its tiles, and a window over (query) merges the tasks' lists, which
-hold at most k rows a task.  Memory is bounded by the tile; nothing is broadcast.
+rows, both written to the shared folder and numbered.  A tile is a shard sent to a
+block under the key (block, shard); it is one matrix product, of which the k best
+candidates a query are kept by partial selection.  The tiles' lists of a block are
+merged by a tree, FAN lists a node, level by level.  A task holds one tile, or two
+lists of one block, at a time; nothing is broadcast.
 
 Defined results: a vector that is null, or holds a null, nan or infinity, takes no
 part; vectors meet those of the same length only; a row never meets rows with its
 own id; ties go to the smaller id; repeated candidates count as often as they
-occur, repeated queries once; null ids take no part; no queries give no rows.
+occur, repeated queries once; null ids take no part; no queries give no rows;
+other columns are not read.
 Components beyond the range of a long are held at its ends, and so are scores.
 """
 
@@ -29,7 +31,10 @@ from bindlattice.llm.common import arrow_map, batch, quoted, read, stage
 SHARD, BLOCK = 8192, 2048
 SCALE = 256
 _TOP = float(1 << 62)
+#: Lists that one node of the merging tree takes in.
+FAN = 8
 _PACKED = "width int, n int, ids binary, vectors binary"
+_LISTS = "block long, query binary, ids binary, scores binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -80,40 +85,80 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query the k best columns; ids ascend, so of equal scores the first columns win."""
+def _best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k best allowed columns of each row; ids ascend, so of equal scores the first columns win."""
     n = scores.shape[1]
-    for row, free in zip(scores, allowed, strict=True):
-        some = np.flatnonzero(free)
-        if len(some) > k:
-            cut = np.partition(row[some], len(some) - k)[len(some) - k]
-            above = some[row[some] > cut]
-            some = np.sort(np.concatenate((above, some[row[some] == cut][: k - len(above)])))
-        order = np.argsort(-row[some].astype(object) if n and row.min() == -(1 << 63) else -row[some], kind="stable")
-        yield ids[some[order]], row[some[order]]
+    if n > k:
+        # The k-th best score of each row by partial selection; columns above it, and ties in order as far as they go.
+        lowest = np.iinfo(np.int64).min
+        shown = np.where(allowed, scores, lowest)
+        cut = np.partition(shown, n - k, axis=1)[:, n - k]
+        above = (shown > cut[:, None]) & allowed
+        level = (shown == cut[:, None]) & allowed
+        level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1)[:, None]
+        allowed = above | level
+    row, column = np.nonzero(allowed)
+    return row, ids[column], scores[row, column]
+
+
+def merged(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each query; equal scores by id."""
+    order = np.lexsort((ids, ~scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], ids[kept], scores[kept]
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Top lists of tiles, a row a tile: its block, and queries, ids and scores."""
     for b in batches:
-        for width, q_ids, q_raw, c_ids, c_raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        for width, block, q_ids, q_raw, c_ids, c_raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             qi, ci = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
             q, c = np.frombuffer(q_raw, np.int64).reshape(len(qi), width), np.frombuffer(c_raw, np.int64).reshape(len(ci), width)
+            found = []
             for i in range(0, len(qi), 256):
                 part = qi[i : i + 256]
-                tile = _scores(q[i : i + 256], c)
-                for query, (ids, scores) in zip(part.tolist(), _best(tile, ci, part[:, None] != ci[None, :], k), strict=True):
-                    if query in lists:
-                        ids, scores = np.concatenate((lists[query][0], ids)), np.concatenate((lists[query][1], scores))
-                        order = np.lexsort((ids, ~scores))[:k]
-                        ids, scores = ids[order], scores[order]
-                    lists[query] = ids, scores
-    if lists:
-        counts = [len(ids) for ids, _ in lists.values()]
-        yield batch(
-            query_id=pa.array(np.repeat(np.fromiter(lists, np.int64, len(lists)), counts)),
-            vec_id=pa.array(np.concatenate([i for i, _ in lists.values()])), score=pa.array(np.concatenate([s for _, s in lists.values()])),
-        )
+                row, ids, scores = _best(_scores(q[i : i + 256], c), ci, part[:, None] != ci[None, :], k)
+                found.append((part[row], ids, scores))
+            yield _list_row(block, *merged(*(np.concatenate(x) for x in zip(*found, strict=True)), k))
+
+
+def _list_row(block: int, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return batch(block=pa.array([block], pa.int64()), query=pa.array([query.tobytes()], pa.binary()), ids=pa.array([ids.tobytes()], pa.binary()), scores=pa.array([scores.tobytes()], pa.binary()))
+
+
+def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Lists come by block and node; those of a node are merged as they come, so a task holds one block's lists."""
+    at: tuple[int, int] | None = None
+    own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for b in batches:
+        for block, node, *blobs in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            lists = tuple(np.frombuffer(x, np.int64) for x in blobs)
+            if (block, node) != at:
+                if own is not None:
+                    yield _list_row(at[0], *own)
+                at, own = (block, node), lists
+            else:
+                own = merged(*(np.concatenate(x) for x in zip(own, lists, strict=True)), k)
+    if own is not None:
+        yield _list_row(at[0], *own)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for query, ids, scores in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
+            query = np.frombuffer(query, np.int64)
+            rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+            yield batch(query_id=pa.array(query), rank=pa.array(rank.astype(np.int32)), vec_id=pa.array(np.frombuffer(ids, np.int64)), score=pa.array(np.frombuffer(scores, np.int64)))
+
+
+def _numbered(packed: DataFrame, name: str) -> tuple[DataFrame, dict[int, int]]:
+    """Packed rows with numbers from 0 within each width, and how many each width has; the table has one row for many vectors."""
+    packed = stage(packed.withColumn("key", F.monotonically_increasing_id()), f"{name}-packed")
+    number = F.row_number().over(Window.partitionBy("width").orderBy("key")) - 1
+    keys = packed.select("width", "key").withColumn("number", number.cast("long"))
+    numbered = stage(packed.join(keys.select("key", "number"), "key").drop("key"), name)
+    return numbered, {r["width"]: r["n"] for r in numbered.groupBy("width").agg(F.count("*").alias("n")).collect()}
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,21 +167,27 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = sound.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite)
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = stage(arrow_map(sound.select("id", "vector"), partial(_pack, most=SHARD), _PACKED), "shards")
+    shards, _ = _numbered(arrow_map(sound.select("id", "vector"), partial(_pack, most=SHARD), _PACKED), "shards")
     asked = sound.where("asks").select("id", "vector").dropDuplicates(["id"])
-    blocks = stage(arrow_map(asked, partial(_pack, most=BLOCK), _PACKED), "blocks")
-    # The stated query set meets all rows, block by block: few packed rows on either side.
-    tiles = (
-        blocks.select(F.col("width"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        .join(
-            shards.repartition(tasks, F.xxhash64("ids")).select(F.col("width").alias("w"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors")).hint("shuffle_replicate_nl"),
-            F.col("width") == F.col("w"),
-        )
-        .select("width", "q_ids", "q_vectors", "c_ids", "c_vectors")
-    )
-    lists = arrow_map(tiles, partial(_search, k=k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks, counts = _numbered(arrow_map(asked, partial(_pack, most=BLOCK), _PACKED), "blocks")
+    # Every shard is sent once to each block of its width, under the block's key.
+    per_width = F.coalesce(*(F.when(F.col("width") == w, F.lit(n)) for w, n in counts.items()), F.lit(0))
+    sent = shards.withColumn("blocks", per_width).where("blocks > 0").select("width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.col("number").alias("shard"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
+    block_key = F.xxhash64("width", "block")
+    asks = blocks.select("width", F.col("number").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    tiles = sent.join(asks, ["width", "block"]).repartition(tasks, "width", "block", "shard")
+    lists = arrow_map(tiles.select("width", block_key.alias("block"), "q_ids", "q_vectors", "c_ids", "c_vectors"), partial(_search, k=k), _LISTS)
+    lists = stage(lists.withColumn("place", F.monotonically_increasing_id()), "lists")
+    most = lists.groupBy("block").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    # The tree: FAN lists of a block become one, level by level.
+    while most > 1:
+        rank = (F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1) / FAN
+        keys = lists.select("block", "place").withColumn("node", F.floor(rank))
+        dealt = lists.join(keys.select("place", "node"), "place").repartition(tasks, "block", "node").sortWithinPartitions("block", "node")
+        merged_lists = arrow_map(dealt.select("block", "node", "query", "ids", "scores"), partial(_merge, k=k), _LISTS)
+        lists = stage(merged_lists.withColumn("place", F.monotonically_increasing_id()), f"lists{most}")
+        most = -(-most // FAN)
+    return arrow_map(lists.select("block", "query", "ids", "scores"), _listed, "query_id long, rank int, vec_id long, score long")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
