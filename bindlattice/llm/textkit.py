@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 SLICE_BYTES = 1 << 20
@@ -22,22 +23,12 @@ SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[0x41:0x5B] += np.uint64(32)
-_EXACT = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, n at least."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _POWERS[i] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,13 +82,32 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
+def lower_bytes(raw: np.ndarray) -> np.ndarray:
+    """raw with A-Z lower-cased."""
+    return _LOWER[raw]
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Each word's 64-bit hash: eight bytes a step through a finaliser for words of up to LONG_WORD bytes, xxh3 for longer ones.
+
+    Words of up to eight bytes and equal length never collide, others by chance, 2**-64 a pair.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _EXACT)[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    text = np.concatenate((lower_bytes(raw) if lower else raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) + 1,), "<u8", text, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    live = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        if not len(live):
+            break
+        left = size[live] - at
+        out[live] = mix(out[live] ^ (eight[start[live] + at] & _FIRST[np.minimum(left, 8)]) + np.uint64(at))
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]], 7)
+    return out
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:

@@ -4,7 +4,7 @@ Plan
 ----
 1. One pass over the texts encodes them.  A tokenizer that splits at white space
    gives a text the ids of its words in a row, so each distinct word of a slice is
-   encoded once; ids are written to the shared folder, compressed.
+   encoded once, and any other tokenizer is given whole texts; ids are written to the shared folder, compressed.
 2. Id counts are summed over all documents; ids are ranked by falling count, then
    by id.  The table has one row an id of the vocabulary.
 3. Documents are range-partitioned by doc_id and sorted; each partition is written
@@ -42,8 +42,8 @@ from bindlattice.llm.common import _remove, arrow_map, batch, quoted, read, shar
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Words whose ids a Python worker keeps at hand, about 40 bytes each.
-CACHE_WORDS = 1_500_000
+#: Words whose ids a Python worker keeps at hand, about 60 bytes each.
+CACHE_WORDS = 600_000
 SLICE_BYTES = 2 << 20
 _BLOCKS = "part int, block int, before long, n_ids long, doc_ids binary, nulls binary, lengths binary, control binary, data binary"
 
@@ -55,11 +55,13 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of texts, word by word, for tokenizers that split at white space.
+    """Ids of texts, word by word, for tokenizers that split at white space; whole texts for others.
 
-    Where probes show that the tokenizer sets a full stop or comma at a word's end
-    apart, and lower-cases, words are looked up without either.  Known words lie in
-    sorted arrays: hash, place and number of their ids.
+    Probes show whether the tokenizer splits, and where it sets a full stop or comma
+    at a word's end apart, and lower-cases, words are looked up without either.
+    Known words lie in sorted arrays: hash, place and number of their ids, place and
+    number of their bytes.  Each occurrence of a word is held against the bytes of
+    the known one; a text in which one differs is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,15 +70,19 @@ class WordEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self._encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        ids = lambda s: self._encode([s], add_special_tokens=False)[0].ids
-        probes = ("a", "on", "word", "thstring", "qzxv")
-        self._parts = all(ids(p + x) == ids(p) + ids(x) for p in probes for x in ".,")
-        self._lower = all(ids(p.upper()) == ids(p) == ids(p.title()) for p in probes)
+        probes = ("a", "on", "word", "thstring", "qzxv", "it's", "Été.", "<|x|>")
+        self._splits = all(self._ids(p + gap + q) == self._ids(p) + self._ids(q) and self._ids(gap + p + gap) == self._ids(p) for p in probes for q in probes for gap in (" ", "  ", "\n", "\t", "\r\n", "\x0b\x0c"))
+        self._parts = all(self._ids(p + x) == self._ids(p) + self._ids(x) for p in probes[:5] for x in ".,")
+        self._lower = all(self._ids(p.upper()) == self._ids(p) == self._ids(p.title()) for p in probes[:5])
         self._clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self._encode([text], add_special_tokens=False)[0].ids
+
     def _clear(self) -> None:
-        self._known, self._place, self._size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._flat = np.zeros(0, np.uint32)
+        self._known = np.zeros(0, np.uint64)
+        self._place, self._size, self._at, self._length = (np.zeros(0, np.int64) for _ in range(4))
+        self._flat, self._bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _learn(self, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encode the words that are not known yet; hashes ascend."""
@@ -90,12 +96,13 @@ class WordEncoder:
         if not len(new):
             return
         data = raw.tobytes()
-        words = [data[i:j].decode("utf-8", "replace") for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-        found = [e.ids for e in self._encode(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        places = len(self._flat) + np.cumsum(sizes) - sizes
+        pieces = [data[i:j] for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+        found = [e.ids for e in self._encode([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
+        sizes, lengths = np.fromiter(map(len, found), np.int64, len(found)), end[new] - start[new]
+        columns = ((self._known, hashes[new]), (self._place, len(self._flat) + np.cumsum(sizes) - sizes), (self._size, sizes), (self._at, len(self._bytes) + np.cumsum(lengths) - lengths), (self._length, lengths))
+        self._known, self._place, self._size, self._at, self._length = (np.insert(x, spot[new], y) for x, y in columns)
         self._flat = np.concatenate((self._flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
-        self._known, self._place, self._size = (np.insert(x, spot[new], y) for x, y in ((self._known, hashes[new]), (self._place, places), (self._size, sizes)))
+        self._bytes = np.concatenate((self._bytes, np.frombuffer(b"".join(pieces), np.uint8)))
 
     def _words(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, end, before = textkit.words(part, at)
@@ -108,16 +115,38 @@ class WordEncoder:
         order = np.argsort(starts, kind="stable")
         return starts[order], ends[order], before + shift[before]
 
+    def _differing(self, part: np.ndarray, start: np.ndarray, end: np.ndarray, known: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        """Words whose bytes, or lower-cased bytes where that is enough, are not those of the known word with their hash."""
+        size = end - start
+        differ = size != self._length[known]
+        same = np.flatnonzero(~differ)
+        size = size[same]
+        till = np.cumsum(size)
+        inner = np.arange(till[-1] if len(till) else 0) - np.repeat(till - size, size)
+        mine, its = part[np.repeat(start[same], size) + inner], self._bytes[np.repeat(self._at[known[same]], size) + inner]
+        unequal = mine != its
+        if self._lower and unequal.any():
+            unequal &= np.repeat(exact[same], size) | (textkit.lower_bytes(mine) != textkit.lower_bytes(its))
+        if unequal.any():
+            differ[same[np.searchsorted(till, np.flatnonzero(unequal), "right")]] = True
+        return np.flatnonzero(differ)
+
     def encode(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         raw, offsets = textkit.buffers(column)
         for i, j in textkit.slices(offsets, SLICE_BYTES):
             part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            whole = lambda k, part=part, at=at: np.array([*self._ids(part[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")), end_id], np.uint32)
+            if not self._splits:
+                yield from map(whole, range(j - i))
+                continue
             start, end, before = self._words(part, at)
             keys = textkit.word_hashes(part, start, end, lower=self._lower)
+            exact = np.zeros(len(start), bool)
             if self._lower and (part == 60).any():
                 # Control strings are told apart by case.
                 held = np.concatenate(([0], np.cumsum(part == 60)))
-                odd = np.flatnonzero(held[end] > held[start])
+                exact = held[end] > held[start]
+                odd = np.flatnonzero(exact)
                 keys[odd] = textkit.mix(textkit.word_hashes(part, start[odd], end[odd], lower=False) + np.uint64(1))
             hashes, first, which = np.unique(keys, return_index=True, return_inverse=True)
             self._learn(part, hashes, start[first], end[first])
@@ -126,8 +155,9 @@ class WordEncoder:
             per_word = sizes[which]
             till = np.concatenate(([0], np.cumsum(per_word)))
             found = self._flat[np.repeat(origin[which] - till[:-1], per_word) + np.arange(till[-1])]
+            odd = set(np.searchsorted(before, self._differing(part, start, end, spot[which], exact), "right") - 1)
             for k in range(j - i):
-                yield np.append(found[till[before[k]] : till[before[k + 1]]], np.uint32(end_id))
+                yield whole(k) if k in odd else np.append(found[till[before[k]] : till[before[k + 1]]], np.uint32(end_id))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
