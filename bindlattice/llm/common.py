@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of a few narrow columns may be broadcast (tens of MB).
 BROADCAST_ROWS = 1_000_000
 #: Bytes and rows of one Arrow batch handed to Python, at most; a longer text is a batch of its own.
-ARROW_BATCH_BYTES = 32 << 20
-ARROW_BATCH_ROWS = 4000
+ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_ROWS = 2000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -73,12 +75,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if fits else df), fits
 
 
+def give_back() -> None:
+    """Return the memory that a task freed to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _then_give_back(batches: Iterator[pa.RecordBatch], each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from each(batches)
+    finally:
+        give_back()
+
+
 def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of bounded bytes."""
     with contextlib.suppress(Exception):
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(partial(_then_give_back, each=each), schema)
 
 
 def batch(**columns: pa.Array) -> pa.RecordBatch:

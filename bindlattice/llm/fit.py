@@ -6,24 +6,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindlattice.llm.common import crc_mod, quoted
+from bindlattice.llm.common import crc_mod, quoted, stage
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """docs with a column label for at most ``most`` ids of each label (0 or 1), and how many ids each label has.
+    """docs with a column label for at most ``most`` ids of each label (0 or 1), and how many ids of docs each label has.
 
     ``held_out`` is an expression of doc_id; held-out rows, rows without a label or an
-    id never get in; of an id labelled twice the larger label counts.  Ids are
-    drawn by hash from the labels alone, so texts only meet a broadcast of at most
-    2 * most ids; of a doc_id on several rows one row is taken.
+    id never get in; of an id labelled twice the larger label counts.  Labels first
+    meet the ids of docs alone, the sample is drawn from those by hash, and rows only
+    meet a broadcast of at most 2 * most ids; of a doc_id on several rows the one
+    with the least hash of its values is taken.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), quoted(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(~F.coalesce(held_out, F.lit(False))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = stage(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(17), "doc_id")
     parts = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(most) for k in (0, 1)]
     drawn = parts[0].unionByName(parts[1])
-    return docs.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]), totals
+    values = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.join(F.broadcast(drawn), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min_by(F.struct(*values), F.xxhash64(*values)).alias("row"))
+    return one.select("doc_id", "label", "row.*"), totals
 
 
 class Logistic:
