@@ -439,3 +439,74 @@ def test_pages_with_extra_columns_and_repeats(spark):
     rows = [(1, "u", "<p>a</p>", "text"), (1, "u", "<p>a</p>", "text"), (None, None, None, None)]
     got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
+
+
+def _thue_morse(n, swapped):
+    return "".join("ab"[(bin(i).count("1") + swapped) % 2] for i in range(n))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    from tokenizers import Tokenizer
+
+    from bindlattice.llm import textkit
+
+    pair = [_thue_morse(1024, 0), _thue_morse(1024, 1)]
+    raw, offsets = textkit.buffers(pa.array(pair))
+    start, end, _ = textkit.words(raw, offsets)
+    assert len(set(textkit.word_hashes(raw, start, end).tolist())) == 2
+    docs = spark.createDataFrame([(1, f"{pair[0]} {pair[1]}"), (2, pair[1])], "doc_id long, text string")
+    encoder = Tokenizer.from_file(token_files.default_tokenizer())
+    expected = {1: f"{pair[0]} {pair[1]}", 2: pair[1]}
+    for r in token_files.tokens_of(docs).collect():
+        ids = encoder.encode(expected[r["doc_id"]], add_special_tokens=False).ids + [2]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    rows = near_dedup.near_duplicates(docs.unionByName(spark.createDataFrame([(3, pair[0])], "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 2, 3: 3}
+
+
+def test_equal_hashes_do_not_mix_words_up(monkeypatch):
+    from bindlattice.llm import textkit
+
+    encoder = token_files.WordEncoder(token_files.default_tokenizer())
+    texts = ["one two", "Two. three, ONE", "", "é <|x|> <|X|>"]
+    expected = [[*encoder._ids(t), 2] for t in texts]
+    assert [x.tolist() for x in encoder.encode(pa.array(texts), 2)] == expected
+    monkeypatch.setattr(textkit, "word_hashes", lambda raw, start, end, lower=True: np.full(len(start), 7, np.uint64))
+    encoder._clear()
+    assert [x.tolist() for x in encoder.encode(pa.array(texts), 2)] == expected
+
+
+def test_word_hashes_of_all_lengths():
+    from bindlattice.llm import textkit
+
+    text = " ".join("Ab1" * n for n in range(1, 40)) + " " + " ".join("aB1" * n + "x" for n in range(1, 40))
+    raw, offsets = textkit.buffers(pa.array([text, "ab1 " + "aB1" * 30]))
+    start, end, before = textkit.words(raw, offsets)
+    hashes = textkit.word_hashes(raw, start, end)
+    assert len(set(hashes.tolist())) == 78 and hashes[before[1]] == hashes[0] and hashes[-1] == hashes[29]
+    assert len(set(textkit.word_hashes(raw, start, end, lower=False).tolist())) == 80
+
+
+def test_containment_counts_rows_by_themselves(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    half, other = item.split()[:22], item.split()[18:]
+    docs = [(None, " ".join(half)), (None, " ".join(other)), (7, " ".join(half)), (7, " ".join(other)), (8, item), (8, item), (None, item)]
+    items = [(1, item), (None, item)]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, item_id string, row long")
+    got = decontaminate.contained_items(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0, r["shared"], r["n_shingles"]) for r in got) == sorted((d, i, 36, 36) for d in (8, 8, 0) for i in (0, 1))
+
+
+def test_top_k_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "FAN", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)], "x") for i in range(300)] + [(10, [9.0, 9.0, 9.0], "x")] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string").repartition(9)
+    got = collections.defaultdict(list)
+    for r in topk_search.exact_top_k(frame, F.col("vec_id") % 7 == 0, k=4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"], r["rank"]))
+    whole = [(i, [int(256 * x) for x in v]) for i, v, _ in rows]
+    for q in range(0, 300, 7):
+        own = next(v for i, v in whole if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(own, u, strict=True)), i) for i, u in whole if i != q)[:4]
+        assert got[q] == [(*s, k + 1) for k, s in enumerate(scores)]
