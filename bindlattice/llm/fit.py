@@ -55,6 +55,16 @@ class Logistic:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+class Mean:
+    """The mean score of several models."""
+
+    def __init__(self, models: list) -> None:
+        self.models = models
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([m.predict(x) for m in self.models], axis=0)
+
+
 class Constant:
     """The score where the sample has one class or none."""
 

@@ -1,27 +1,38 @@
 """Toxicity by compression distance: two zstandard dictionaries, window lengths, calibration.
 
-Fit (driver, from at most SAMPLE_DOCS labelled rows of each class)
-    One dictionary is trained on windows of toxic texts, one on windows of ordinary
-    texts.  Most of either is plain language, which only adds noise to a
-    comparison, so both compressors share the ordinary dictionary's content, and
-    the toxic one adds what the toxic dictionary alone has: the words of toxic
-    texts that are over-represented there and, taken greedily, explain toxic texts
-    that earlier ones do not.
+Fit (driver, from at most SAMPLE_DOCS labelled rows of each class, of texts of at
+most SAMPLE_BYTES bytes)
+    A window is WINDOW words, a new one every STEP words.  The ordinary dictionary
+    is trained on windows of ordinary texts.  The toxic dictionary must know what
+    toxic texts add to the language that both share, so both hold the dictionary of
+    the language, trained on one half of the ordinary windows, and end in a part
+    that is trained on its own class.  Both parts start from all windows of their
+    class, and are trained anew in ROUNDS rounds: on what the compressors tell
+    apart.  A round takes the toxic windows whose difference of compressed lengths
+    is beyond almost all ordinary ones, and, for the other part, the ordinary
+    windows that look most toxic; of each window it keeps the words without which
+    the difference shrinks most.  Rounds alternate between two halves of the texts:
+    what one half taught is tried on the other, so what only one text has, goes.
+    The two neighbouring rounds that tell unseen texts apart best make the parts.
+    Toxic texts that still look like most ordinary ones get another turn of their
+    own, of TURNS at most, so that no language is lost behind a larger one.
 Score (executors, every text whole)
-    A window is one word, written thrice.  The repeat costs both compressors the
-    same and lifts short words over the codec's least match, so the difference of
-    the two compressed lengths is what the toxic dictionary knows of the word.
-    Each distinct word of a slice is compressed once.  A document is described by
-    how many windows reach each difference, and a logistic model turns the counts
-    into a score that is calibrated on the sample.
+    Each window is compressed with either dictionary.  A document is described by
+    how many of its windows reach each difference of the two lengths, plain and as
+    a share of its windows; boosted trees and a logistic
+    model, calibrated on the sample, hold these against thresholds and give the score.
 
 Defined results: null, empty and wordless texts get the score of a text without
-windows; a sample with one class only scores all by its label, without any label
-0.5; a null doc_id is not held out and never trains; every row gives one row.
+windows; a text of fewer than WINDOW words is one window; a sample with one class
+only scores all by its label, without any label 0.5; a null doc_id is not held out
+and never trains; every row gives one row, repeats included; of a doc_id on several
+rows one text trains; columns other than id and text are not read; texts of any
+length are scored whole, a slice at a time.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,155 +44,249 @@ from pyspark.sql import functions as F
 
 from bindlattice.llm import textkit
 from bindlattice.llm.common import arrow_map, batch, quoted, read, stage
-from bindlattice.llm.fit import Constant, Logistic, held_out_third, labelled_sample
+from bindlattice.llm.fit import Constant, Logistic, Mean, held_out_third, labelled_sample
+from bindlattice.llm.quality import Trees
 
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 20_000
 THRESHOLD = 0.7
-WINDOW_BYTES, DICTIONARY_BYTES, TRAIN_BYTES = 128, 1 << 16, 8 << 20
-SHARED_BYTES = 1 << 13
-LEVEL, REPEATS = 6, 3
-LEAST, MOST = -2, 24
-#: Words whose difference a Python worker keeps at hand.
-CACHE_WORDS = 200_000
-
-_EDGE = b".,;:!?\"'()[]"
-
-
-def _words(text: str | None) -> list[bytes]:
-    return [w.strip(_EDGE) for w in (text or "").lower().encode().split()]
-
-
-def _windows(texts: list[str | None]) -> list[bytes]:
-    """Runs of whole words of about WINDOW_BYTES, TRAIN_BYTES of them at most."""
-    out, size = [], 0
-    for text in texts:
-        run, held = [], 0
-        for w in _words(text):
-            run.append(w)
-            held += len(w) + 1
-            if held >= WINDOW_BYTES:
-                out.append(b" ".join(run))
-                run, size, held = [], size + held, 0
-        if run:
-            out.append(b" ".join(run))
-            size += held
-        if size >= TRAIN_BYTES:
-            break
-    return out
-
-
-def _trained(texts: list[str | None]) -> bytes:
-    """Content of a dictionary trained on windows; the plain end of the text where there is too little to train on."""
-    windows = _windows(texts)
+WINDOW, STEP = 8, 4
+#: Bytes of the dictionary of the language, and of each class's part at the start and later.
+LANGUAGE_BYTES, FIRST_BYTES, PART_BYTES = 1 << 19, 4096, 2048
+#: Bytes of a later part to each toxic text of the sample, so that few texts are not learnt by heart, and the least.
+BYTES_TO_TEXT, LEAST_BYTES = 4, 512
+ROUNDS, TURNS = 6, 4
+#: Share of ordinary texts that a toxic text must look more toxic than, and texts that are worth another turn.
+UNTOLD, LEAST_TEXTS = 0.97, 20
+#: Share of ordinary windows below the difference beyond which a round takes windows, for its first rounds and the last ones.
+BEYOND = (0.998, 0.996, 0.994, 0.99)
+#: Bytes by which the difference must shrink without a word.
+LEAST_DROP = 3
+TRAIN_WINDOWS = 100_000
+#: Windows of one text that the first parts are trained on, and that a round takes.
+TEXT_WINDOWS, TELLING_WINDOWS = 64, 8
+#: Matches are sought up to eight bytes before a window's end.
+STRATEGY = zstandard.STRATEGY_BTLAZY2
+#: Differences that are told apart.
+LEAST, MOST = -4, 20
+_SHARES = slice(1 - LEAST, 8 - LEAST)
+
+
+def windows(start: np.ndarray, end: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, length) of the windows of some texts, given their words, and windows before each text."""
+    n = np.diff(before)
+    counts = np.where(n > 0, -(-np.maximum(n - WINDOW + STEP, 1) // STEP), 0)
+    till = np.concatenate(([0], np.cumsum(counts)))
+    first = np.repeat(before[:-1] - till[:-1] * STEP, counts) + np.arange(till[-1]) * STEP
+    last = np.minimum(first + WINDOW, np.repeat(before[1:], counts)) - 1
+    return np.stack((start[first], end[last] - start[first]), axis=1), till
+
+
+def _trained(samples: list[bytes], size: int, segment: int = 16) -> bytes:
+    """The last ``size`` bytes of a dictionary trained on samples, without its header; plain text where there is too little to train on."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, windows, d=8, k=64).as_bytes()
+        return zstandard.train_dictionary(size + 512, samples, d=6, k=segment).as_bytes()[-size:]
     except zstandard.ZstdError:
-        return b" ".join(windows)[-DICTIONARY_BYTES:]
-
-
-def _toxic_words(toxic: list[str | None], ordinary: list[str | None], content: bytes) -> list[bytes]:
-    """Over-represented words of the toxic dictionary, the most telling first."""
-    sets = [set(_words(t)) for t in toxic]
-    plain: dict[bytes, int] = {}
-    for t in ordinary:
-        for w in set(_words(t)):
-            plain[w] = plain.get(w, 0) + 1
-    counts: dict[bytes, int] = {}
-    for s in sets:
-        for w in s:
-            counts[w] = counts.get(w, 0) + 1
-    least, rate = max(3, 0.002 * len(toxic)), len(toxic) / max(len(ordinary), 1)
-    chosen = [w for w, n in counts.items() if len(w) > 2 and n >= least and n > 20 * rate * plain.get(w, 0) and (n >= 0.01 * len(toxic) or w in content)]
-    holds = {w: np.array([k for k, s in enumerate(sets) if w in s]) for w in chosen}
-    weight, out = np.ones(len(sets)), []
-    while holds:
-        gains = {w: weight[at].sum() - rate * plain.get(w, 0) for w, at in holds.items()}
-        best = max(gains, key=lambda w: (gains[w], w))
-        if gains[best] < least:
-            break
-        weight[holds.pop(best)] *= 0.5
-        out.append(best)
-    return out
-
+        return b" ".join(samples)[-size:]
 
-class Compressors:
-    """Differences of compressed lengths, ordinary less toxic."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.parts = ordinary, toxic
-        self._ready: tuple | None = None
-        self._cache: dict[int, int] = {}
+class Compressor:
+    """Compressed lengths of windows under one dictionary."""
 
-    def __getstate__(self) -> tuple[bytes, bytes]:
-        return self.parts
+    def __init__(self, content: bytes) -> None:
+        self.content = content
+        self._ready: zstandard.ZstdCompressor | None = None
 
-    def __setstate__(self, parts: tuple[bytes, bytes]) -> None:
-        self.__init__(*parts)
+    def __reduce__(self) -> tuple:
+        return Compressor, (self.content,)
 
-    def _compressor(self, content: bytes) -> object:
-        kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        kept.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=kept, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-    def difference(self, word: bytes) -> int:
+    def lengths(self, raw: bytes, spans: np.ndarray) -> np.ndarray:
         if self._ready is None:
-            self._ready = self._compressor(self.parts[0]), self._compressor(self.parts[0] + self.parts[1])
-        window = (b" " + word) * REPEATS + b" "
-        return len(self._ready[0](window)) - len(self._ready[1](window))
+            tables = 17 if len(self.content) > 1 << 16 else 14
+            parameters = zstandard.ZstdCompressionParameters(
+                window_log=20, chain_log=tables, hash_log=tables, search_log=5, min_match=6, target_length=64, strategy=STRATEGY, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            kept = zstandard.ZstdCompressionDict(self.content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kept.precompute_compress(compression_params=parameters)
+            self._ready = zstandard.ZstdCompressor(dict_data=kept, compression_params=parameters)
+        out = np.zeros(len(spans), np.int64)
+        for i in range(0, len(spans), 50_000):
+            part = np.ascontiguousarray(spans[i : i + 50_000], "<u8")
+            out[i : i + len(part)] = [len(x) for x in self._ready.multi_compress_to_buffer(zstandard.BufferWithSegments(raw, part.tobytes()))]
+        return out
+
+
+class Windows:
+    """Distinct windows of some texts in one buffer."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        raw, offsets = textkit.buffers(pa.array(texts, pa.string()))
+        raw = textkit.lower_bytes(raw)
+        start, end, before = textkit.words(raw, offsets)
+        spans, till = windows(start, end, before)
+        self.raw = raw.tobytes()
+        self.names = textkit.word_hashes(raw, spans[:, 0], spans.sum(axis=1))
+        self.names, first = np.unique(self.names, return_index=True)
+        self.spans, self.text = spans[first], np.searchsorted(till, first, "right")
+
+    def some(self, rows: np.ndarray) -> list[bytes]:
+        return [self.raw[i : i + n] for i, n in self.spans[rows].tolist()]
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.names, self.spans, self.text = self.names[rows], self.spans[rows], self.text[rows]
+
+    def part(self, chosen: np.ndarray) -> "Windows":
+        out = copy.copy(self)
+        out.keep(np.flatnonzero(chosen))
+        return out
+
+    def foremost(self, rows: np.ndarray, most: int) -> np.ndarray:
+        """The first ``most`` of these rows of each text."""
+        order = np.argsort(self.text[rows], kind="stable")
+        texts = self.text[rows][order]
+        rank = np.arange(len(order)) - np.searchsorted(texts, texts)
+        return rows[np.sort(order[rank < most])]
+
+
+class Dictionaries:
+    """Ordinary and toxic compressor; differences are ordinary less toxic lengths."""
+
+    def __init__(self, language: bytes, ordinary: bytes, toxic: bytes) -> None:
+        self.ordinary, self.toxic = Compressor(language + ordinary), Compressor(language + toxic)
+
+    def differences(self, raw: bytes, spans: np.ndarray) -> np.ndarray:
+        return self.ordinary.lengths(raw, spans) - self.toxic.lengths(raw, spans)
+
+    def telling(self, held: Windows, rows: np.ndarray, differences: np.ndarray) -> list[bytes]:
+        """The words of windows without which the difference shrinks most."""
+        without, words_of, sizes = [], [], []
+        for window in held.some(rows):
+            words = window.split()
+            words_of += words
+            sizes.append(len(words))
+            without += [b" ".join(words[:i] + words[i + 1 :]) for i in range(len(words))]
+        if not without:
+            return []
+        lengths = np.fromiter(map(len, without), np.int64, len(without))
+        left = self.differences(b"".join(without), np.stack((np.cumsum(lengths) - lengths, lengths), axis=1))
+        sizes = np.array(sizes)
+        first = np.cumsum(sizes) - sizes
+        drop = np.repeat(differences[rows], sizes) - left
+        most = np.repeat(np.maximum.reduceat(drop, first), sizes)
+        return [words_of[i] for i in np.flatnonzero((drop == most) & (drop >= LEAST_DROP))]
 
     def features(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """For each difference how many windows reach it, as a logarithm, and whether any does."""
+        """For each difference how many windows reach it, as a logarithm, whether any does, and for some their share."""
         raw, offsets = textkit.buffers(column)
         for i, j in textkit.slices(offsets):
-            part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            start, end, before = textkit.words(part, at)
-            hashes, first, which = np.unique(textkit.word_hashes(part, start, end), return_index=True, return_inverse=True)
-            if len(self._cache) > CACHE_WORDS:
-                self._cache.clear()
-            cache, data = self._cache, part.tobytes()
-            for h, k in zip(hashes.tolist(), first.tolist(), strict=True):
-                if h not in cache:
-                    word = data[start[k] : end[k]].decode("utf-8", "replace").lower().encode()
-                    cache[h] = self.difference(word.strip(_EDGE))
-            value = np.array([cache[h] for h in hashes.tolist()], np.int64)
-            value = (np.clip(value, LEAST, MOST) - LEAST)[which] if len(which) else np.zeros(0, np.int64)
+            part, at = textkit.lower_bytes(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
+            spans, till = windows(*textkit.words(part, at))
+            value = np.clip(self.differences(part.tobytes(), spans), LEAST, MOST) - LEAST
             for k in range(j - i):
-                seen = np.bincount(value[before[k] : before[k + 1]], minlength=MOST - LEAST + 1)
+                n = till[k + 1] - till[k]
+                seen = np.bincount(value[till[k] : till[k + 1]], minlength=MOST - LEAST + 1)
                 reached = np.cumsum(seen[::-1])[::-1]
-                yield np.append(np.log1p(reached), np.minimum(reached, 1))
-
-
-def fit(toxic: list[str | None], ordinary: list[str | None], totals: dict[int, int]) -> tuple[Compressors, object]:
-    both = len(toxic) and len(ordinary)
-    kept = _trained(ordinary)[-SHARED_BYTES:]
-    own = _toxic_words(toxic, ordinary, _trained(toxic)) if both else []
-    extra = b"".join((b" " + w) * REPEATS + b" " for w in reversed(own))
-    compressors = Compressors(kept, extra)
-    if not both:
-        return compressors, Constant(1.0 if len(toxic) else 0.0 if len(ordinary) else 0.5)
-    x = np.array(list(compressors.features(pa.array([*ordinary, *toxic], pa.string()))))
+                size, some = np.log1p(n), reached[_SHARES]
+                yield np.concatenate((np.log1p(reached), np.minimum(reached, 1), [size], np.log1p(some) * size / 8, some / max(n, 1) * 10))
+
+
+def _joined(pieces: list[bytes], order: np.random.Generator) -> list[bytes]:
+    shuffled = [pieces[i] for i in order.permutation(len(pieces))]
+    return [b" " + b" ".join(shuffled[i : i + WINDOW]) + b" " for i in range(0, len(shuffled), WINDOW)]
+
+
+def _means(value: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have windows, and the mean of each one's positive differences."""
+    size = np.bincount(text)
+    there = np.flatnonzero(size)
+    return there, (np.bincount(text, np.clip(value, 0, 8).astype(np.float64)) / np.maximum(size, 1))[there]
+
+
+def _taught(language: bytes, held: list[bytes], plain: Windows, odd: Windows, rng: np.random.Generator) -> list[bytes]:
+    """Parts (ordinary, toxic) that go before what is held: those of the two neighbouring rounds that tell unseen texts apart best."""
+    halves = [[w.part(w.text % 2 == k) for k in (0, 1)] for w in (plain, odd)]
+    later = min(PART_BYTES, max(LEAST_BYTES, BYTES_TO_TEXT * len(np.unique(odd.text))))
+    parts = [_trained(w[1].some(w[1].foremost(rng.permutation(len(w[1].names)), TEXT_WINDOWS)[:TRAIN_WINDOWS]), FIRST_BYTES) for w in halves]
+    best, most, before = parts, -1.0, [b"", b""]
+    for r in range(ROUNDS + 1):
+        here, there = halves[1][r % 2], halves[0][r % 2]
+        found = Dictionaries(language, *(p + h for p, h in zip(parts, held, strict=True)))
+        own, other = found.differences(here.raw, here.spans), found.differences(there.raw, there.spans)
+        if not len(own) or not len(other):
+            break
+        low = np.sort(_means(other, there.text)[1])
+        apart = float(np.searchsorted(low, _means(own, here.text)[1]).mean() / len(low))
+        if apart > most and r > 0:
+            best, most = [a + b for a, b in zip(before, parts, strict=True)] if r > 1 else parts, apart
+        if r == ROUNDS:
+            break
+        least = np.quantile(other, BEYOND[min(r, len(BEYOND) - 1)])
+        ranked = np.argsort(-own, kind="stable")
+        beyond = here.foremost(ranked[own[ranked] > least], TELLING_WINDOWS)
+        likest = there.foremost(np.argsort(-other, kind="stable"), TELLING_WINDOWS)[: max(len(beyond), 200)]
+        pieces = found.telling(here, beyond, own)
+        if not pieces:
+            break
+        before, parts = parts, [_trained(_joined(p, rng), later) for p in (found.telling(there, likest, other), pieces)]
+    return best
+
+
+def train(toxic: list[str | None], ordinary: list[str | None]) -> Dictionaries:
+    rng = np.random.default_rng(1)
+    plain, odd = Windows(ordinary), Windows(toxic)
+    odd.keep(np.flatnonzero(~np.isin(odd.names, plain.names)))
+    order = rng.permutation(len(plain.names))
+    half = min(TRAIN_WINDOWS, len(order) // 2)
+    language = b" ".join(plain.some(order[:half]))[:LANGUAGE_BYTES]
+    plain.keep(order[half : 2 * half])
+    held, left = [b"", b""], odd
+    for _ in range(TURNS):
+        if len(np.unique(left.text)) < LEAST_TEXTS:
+            break
+        held = [p + h for p, h in zip(_taught(language, held, plain, left, rng), held, strict=True)]
+        found = Dictionaries(language, *held)
+        high = np.quantile(_means(found.differences(plain.raw, plain.spans), plain.text)[1], UNTOLD)
+        texts, means = _means(found.differences(odd.raw, odd.spans), odd.text)
+        left = odd.part(np.isin(odd.text, texts[means <= high]))
+    return Dictionaries(language, *held)
+
+
+def fit(toxic: list[str | None], ordinary: list[str | None]) -> tuple[Dictionaries, object]:
+    """The dictionaries, and trees that turn a text's differences into its score; each text of the sample counts once."""
+    if not len(toxic) or not len(ordinary):
+        return Dictionaries(b"", b"", b""), Constant(1.0 if len(toxic) else 0.0 if len(ordinary) else 0.5)
+    found = train(toxic, ordinary)
+    x = np.array(list(found.features(pa.array([*ordinary, *toxic], pa.string()))))
     y = np.repeat([0.0, 1.0], [len(ordinary), len(toxic)])
-    weight = np.where(y > 0, totals[1] / len(toxic), totals[0] / len(ordinary))
-    return compressors, Logistic(x, y, weight * len(y) / weight.sum())
+    same = np.ones(len(y))
+    return found, Mean([Logistic(x, y, same), Trees(x, y, same)])
 
 
-def _score(batches: Iterator[pa.RecordBatch], compressors: Compressors, model: object) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], found: Dictionaries, model: object) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        score = model.predict(np.array(list(compressors.features(b.column(2)))))
+        if isinstance(model, Constant):
+            score = model.predict(np.zeros(b.num_rows))
+        else:
+            score = model.predict(np.array(list(found.features(b.column(2)))))
         yield batch(doc_id=b.column(0), held_out=b.column(1), score=pa.array(score), predicted=pa.array((score >= THRESHOLD).astype(np.int32)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row.
+
+    At most ``sample`` labelled rows of each class train, of texts of at most
+    ``sample_bytes`` bytes each, so at most 2 * sample * sample_bytes bytes come to
+    the driver.
+    """
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
-    known, totals = labelled_sample(rows, labels, "toxic", held_out_third(F.col("doc_id")), sample)
-    got = stage(known.select("label", "text"), "sample").toArrow().to_pydict()
-    by_label = [[t for t, y in zip(got["text"], got["label"], strict=True) if y == k] for k in (0, 1)]
-    compressors, model = fit(by_label[1], by_label[0], totals)
+    short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes)
+    known, _ = labelled_sample(short, labels, "toxic", held_out_third(F.col("doc_id")), sample)
+    got = stage(known.select("doc_id", "label", "text"), "sample").toArrow().sort_by("doc_id")
+    texts, label = got.column("text").to_pylist(), got.column("label").to_pylist()
+    found, model = fit([t for t, y in zip(texts, label, strict=True) if y == 1], [t for t, y in zip(texts, label, strict=True) if y == 0])
     asked = rows.select("doc_id", F.coalesce(held_out_third(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return arrow_map(asked, partial(_score, compressors=compressors, model=model), "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_map(asked, partial(_score, found=found, model=model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
