@@ -165,3 +165,48 @@ def hamming(a: str | Column, b: str | Column) -> Column:
     x, y = _col(a), _col(b)
     apart = F.size(F.filter(F.zip_with(_letters(x), _letters(y), lambda p, q: p != q), lambda d: d))
     return F.when(F.length(x) == F.length(y), apart)
+
+
+def count_letter(c: str | Column, letter: str) -> Column:
+    s = _col(c)
+    return F.length(s) - F.length(F.replace(s, F.lit(letter)))
+
+
+# Codes of transcript regions.
+REGION_CODES = {"3UTR": 1, "CDS": 2, "CDS and 3UTR": 3, "5UTR": 4, "5UTR and CDS": 6, "5UTR and CDS and 3UTR": 7}
+
+
+def region_code(label: str | Column) -> Column:
+    """1 for 3UTR, 2 for CDS, 4 for 5UTR, sums for spans over several; null for other labels."""
+    codes = F.create_map(*(F.lit(x) for pair in REGION_CODES.items() for x in pair))
+    return F.try_element_at(codes, _col(label))
+
+
+def in_region(label: str | Column, mask: Column) -> Column:
+    """Whether one of 3UTR, CDS and 5UTR, by exactly this label, is in the mask of codes; other labels are not."""
+    code = F.when(_col(label).isin("3UTR", "CDS", "5UTR"), region_code(label))
+    return F.coalesce(code.bitwiseAND(mask) > 0, F.lit(False))
+
+
+def is_double(c: str | Column) -> Column:
+    return _col(c).try_cast("double").isNotNull()
+
+
+def is_int(c: str | Column) -> Column:
+    return F.coalesce(_col(c).rlike("^-?[0-9]+$"), F.lit(False)) & _col(c).try_cast("int").isNotNull()
+
+
+def only_letters(c: str | Column, letters: str) -> Column:
+    """Whether a string has no letter outside a character class."""
+    return F.coalesce(_col(c).rlike(f"^[{letters}]*$"), F.lit(False))
+
+
+def power_set(c: str | Column) -> Column:
+    """All subsets of an array of up to 20 items; the place of a subset has the bits of its members."""
+    items = _col(c)
+    masks = F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size(items)).cast("int") - 1)
+    return F.transform(masks, lambda m: F.filter(items, lambda x, i: F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1))
+
+
+def contains_all(c: str | Column, wanted: Column) -> Column:
+    return F.size(F.array_except(wanted, _col(c))) == 0

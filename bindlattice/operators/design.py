@@ -48,6 +48,14 @@ def all_kmers(spark: SparkSession, k: int, excluded: list[str] | None = None) ->
     return rows
 
 
+def kmer_positions(strings: DataFrame, key: str, column: str, least_k: int, most_k: int, strands: int) -> DataFrame:
+    """(kmer, key, positions) for k from least_k to most_k of the k-mers that at least ``strands`` strings hold."""
+    each = F.concat(*(F.transform(seq.kmers(column, k), lambda w, i: F.struct(w.alias("kmer"), i.alias("pos"))) for k in range(least_k, most_k + 1)))
+    found = strings.select(key, F.explode(each).alias("w")).groupBy("w.kmer", key).agg(F.sort_array(F.collect_list("w.pos")).alias("positions"))
+    common = found.groupBy("kmer").agg(F.count("*").alias("_n")).where(F.col("_n") >= strands).select("kmer")
+    return found.join(common, "kmer")
+
+
 def antisense_candidates(grip_words: DataFrame, excluded: list[str], least_gc: float = 0.3, most_gc: float = 0.7) -> DataFrame:
     """1024 strings for each (grip, seed4, supp3): C seed4 NNN UUAA supp3 NN AAUU, filtered.
 

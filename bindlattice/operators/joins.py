@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,13 @@ def as_of(events: DataFrame, probes: DataFrame, key: str, at: str, value: str, p
     return both.withColumn("found", F.last("_v", ignorenulls=True).over(seen)).where("_side = 1").select(probe_id, F.col("found").alias(value))
 
 
+def point_in_interval(intervals: DataFrame, probes: DataFrame, key: str, at: str, value: str, probe_id: str, missing: object) -> DataFrame:
+    """For each probe the value of the last interval (start, end) of its key that starts at or before it, if it ends after it; else ``missing``."""
+    last = as_of(intervals.select(key, F.col("start").alias(at), F.struct(value, "end").alias("_span")), probes.select(key, at, probe_id), key, at, "_span", probe_id)
+    named = probes.select(probe_id, at).join(last, probe_id)
+    return named.select(probe_id, F.coalesce(F.when(F.col(at) < F.col("_span.end"), F.col(f"_span.{value}")), F.lit(missing)).alias(value))
+
+
 def in_all(membership: DataFrame, item: str, group: str, required: DataFrame) -> DataFrame:
     """Relational division: items that every group of ``required`` has."""
     needed = required.select(group).distinct()
@@ -69,3 +76,13 @@ def reconcile(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     b = old.groupBy(*keys).agg(F.count("*").alias("old_rows"))
     joined = a.join(b, keys, "full").na.fill(0, ["new_rows", "old_rows"])
     return joined.withColumn("agrees", F.col("new_rows") == F.col("old_rows"))
+
+
+def named(rows: DataFrame, names: DataFrame, key: str, name: str, fallback: Column) -> DataFrame:
+    """rows with the name of their key, or a fallback made from the row."""
+    return rows.join(names.select(key, name), key, "left").withColumn(name, F.coalesce(name, fallback))
+
+
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a unique key."""
+    return rows.where(F.col(key) == value).limit(1)

@@ -140,6 +140,18 @@ def row_features(sites: DataFrame) -> DataFrame:
     )
 
 
+def feature_table(features: DataFrame, shares: dict[str, tuple[DataFrame, str, tuple]]) -> DataFrame:
+    """features with one column for each kind of each table of shares (row_id, kind, share), given as name: (table, kind, kinds); gaps are 0.
+
+    The kinds are given, so each table is pivoted by one aggregation without a job that looks for them.
+    """
+    out = features
+    for name, (rows, kind, kinds) in shares.items():
+        wide = rows.groupBy("row_id").agg(*(F.sum(F.when(F.col(kind) == k, F.col("share"))).alias(f"{name}_{k}") for k in kinds))
+        out = out.join(wide, "row_id", "left")
+    return out.na.fill(0)
+
+
 def category_summary(targets: DataFrame, sites: DataFrame) -> DataFrame:
     """Per category: targets, sites (a target without sites counts once), mean and least energy."""
     return (

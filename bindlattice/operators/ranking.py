@@ -46,3 +46,8 @@ def shares(labels: DataFrame, label: str) -> DataFrame:
     total = sizes.agg(F.sum("n").alias("_total"))
     ranked = sizes.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_total"))
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), label)).cast("long")).drop("_total")
+
+
+def ordered(rows: DataFrame, by: list[str], place: str) -> DataFrame:
+    """Rows of a small table (labels of a figure) with their place, from 1, in an order."""
+    return rows.withColumn(place, F.row_number().over(Window.orderBy(*by)).cast("long"))

@@ -34,6 +34,12 @@ def downsample(signal: DataFrame, bins: int) -> DataFrame:
     return binned.where(F.col("bin") < bins).groupBy("key", "bin").agg(F.avg("value").alias("mean"))
 
 
+def binned_gaussian(signal: DataFrame, bins: int = 200, sigma: float = 2.0) -> DataFrame:
+    """(key, bin, smooth): means of ``bins`` equal bins, then the Gaussian kernel over the bins."""
+    means = downsample(signal, bins).select("key", F.col("bin").cast("long").alias("pos"), F.col("mean").alias("value"))
+    return gaussian(means, sigma).select("key", F.col("pos").alias("bin"), "smooth")
+
+
 def longest_run(signal: DataFrame, threshold: float) -> DataFrame:
     """Length of each key's longest run of neighbouring positions at or above the threshold."""
     island = F.col("pos") - F.row_number().over(Window.partitionBy("key").orderBy("pos"))

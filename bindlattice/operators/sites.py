@@ -116,6 +116,20 @@ def keeps_interaction(max_kd: float = 1500.0, min_seed: str = "6mer", utr5: bool
     return (F.col("kd") <= max_kd) & seed & place & access & supp & kept
 
 
+def older_seed_type(matches: Column, a1: Column) -> Column:
+    """Site type by the older names: eight places, 1 where the target pairs with the guide, and whether A faces letter 1."""
+    core = F.substring(matches, 2, 6) == "111111"
+    return (
+        F.when(matches == "11111111", "8-mer")
+        .when(F.substring(matches, 1, 7) == "1111111", "7-mer-m8")
+        .when(core & a1, "7-mer-A1")
+        .when(core, "6-mer")
+        .when(F.substring(matches, 1, 6) == "111111", "offset-6-mer")
+        .when(F.length(F.replace(matches, F.lit("0"))) >= 6, "1-bulge")
+        .otherwise("seedless")
+    )
+
+
 def boltzmann(states: DataFrame, rt: float = 310.15 * 0.0019872) -> DataFrame:
     """Probability of each state (key, energy) at 37 degrees; shifted by the least energy of its key."""
     least = states.groupBy("key").agg(F.min("energy").alias("_least"))

@@ -89,12 +89,12 @@ def kmer_exclusive(spark, d):
     return joins.in_none(words.where("grp <= 20").select("kmer").distinct(), words, "kmer", "grp", words.where("grp > 45"))
 
 
-GRIP = STRANDS + ", k AS (SELECT key, pos, s[pos + 1:pos + 4] AS w FROM (SELECT key, s, unnest(range(0, length(s) - 3)) AS pos FROM strands WHERE key <= 200))"
+GRIP = STRANDS + ", k AS (SELECT key, pos, s[pos + 1:pos + 4] AS w FROM (SELECT key, s, unnest(range(0, length(s) - 3)) AS pos FROM strands))"
 
 
 @query(f"WITH {GRIP} SELECT a.w || '/' || b.w AS grip, count(*) AS n, count(DISTINCT a.key) AS strands FROM k a JOIN k b ON a.key = b.key AND a.pos - b.pos BETWEEN 7 AND 12 GROUP BY 1 HAVING count(DISTINCT a.key) >= 3")
 def grip_map(spark, d):
-    words = _strands(spark, d).where("key <= 200").select("key", F.posexplode(seq.kmers("s", 4)).alias("pos", "w"))
+    words = _strands(spark, d).select("key", F.posexplode(seq.kmers("s", 4)).alias("pos", "w"))
     pairs = joins.band_join(words.withColumnsRenamed({"pos": "p3", "w": "w3"}), words.withColumnsRenamed({"pos": "p5", "w": "w5"}), ["key"], "p3", "p5", 7, 12)
     return pairs.groupBy(F.concat("w3", F.lit("/"), "w5").alias("grip")).agg(F.count("*").alias("n"), F.countDistinct("key").alias("strands")).where("strands >= 3")
 
@@ -143,11 +143,6 @@ def longest_run(spark, d):
     return signal.longest_run(_signal(spark, d), 30)
 
 
-@query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY 1")
-def json_props(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
-
-
 _BLOCK = "'5''-AC-3'' P' || p_partkey || ' [' || p_size * 10 || '..' || p_size * 10 + 30 || '] (CDS) target site: ' || p_brand || ' x' || chr(10) || '7mer bridge: ' || p_size % 15 || ' phastcons: -1.00 dG: -' || p_size || '.50 Kd: 1,' || 100 + p_size || chr(10) || '3''-GG-5'' g'"
 
 
@@ -178,9 +173,9 @@ def region_class(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), seq.region_label(start, start + 30, F.lit(20), F.lit(60)).alias("region"))
 
 
-@query("WITH s AS (SELECT l_partkey AS key, l_quantity / 7 - 6 AS energy FROM lineitem WHERE l_partkey <= 500), z AS (SELECT *, exp(-(energy - min(energy) OVER (PARTITION BY key)) / (310.15 * 0.0019872)) AS b FROM s) SELECT key, round(max(b / t), 6) AS best FROM (SELECT *, sum(b) OVER (PARTITION BY key) AS t FROM z) GROUP BY key")
+@query("WITH s AS (SELECT l_partkey AS key, l_quantity / 7 - 6 AS energy FROM lineitem), z AS (SELECT *, exp(-(energy - min(energy) OVER (PARTITION BY key)) / (310.15 * 0.0019872)) AS b FROM s) SELECT key, round(max(b / t), 6) AS best FROM (SELECT *, sum(b) OVER (PARTITION BY key) AS t FROM z) GROUP BY key")
 def boltzmann_weights(spark, d):
-    states = table(spark, d, "lineitem").where("l_partkey <= 500").select(F.col("l_partkey").alias("key"), (F.col("l_quantity") / 7 - 6).alias("energy"))
+    states = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_quantity") / 7 - 6).alias("energy"))
     return site.boltzmann(states).groupBy("key").agg(F.round(F.max("probability"), 6).alias("best"))
 
 
@@ -190,37 +185,31 @@ def knn_cosine(spark, d):
     return graph.knn(vectors, 5).select("id", "other", F.round("cosine", 6).alias("cosine"), "rn")
 
 
-def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    edges = table(spark, d, "orders").where("o_totalprice > 0").select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") * 7 % F.lit(1500)) + 1).alias("b"), (F.col("o_orderkey") % 9 + 1).cast("double").alias("w"))
-    return nodes, graph.undirected(edges.where("a % 11 = b % 11"), "a", "b", "w")
-
-
 def _whole_graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Customers, and an edge of every order from its customer to one that its key leads to; for queries without SQL."""
+    """Customers, and an edge of every order from its customer to one that its key leads to."""
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     size = nodes.agg(F.min("id").alias("least"), F.count("*").alias("n"))
     edges = table(spark, d, "orders").crossJoin(F.broadcast(size)).select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 7 % F.col("n") + F.col("least")).alias("b"), (F.col("o_orderkey") % 9 + 1).cast("double").alias("w"))
     return nodes, graph.undirected(edges, "a", "b", "w")
 
 
-EDGES = "edges AS (SELECT src, dst, max(w) AS weight FROM (SELECT least(o_custkey, o_orderkey * 7 % 1500 + 1) AS src, greatest(o_custkey, o_orderkey * 7 % 1500 + 1) AS dst, CAST(o_orderkey % 9 + 1 AS DOUBLE) AS w FROM orders WHERE o_totalprice > 0 AND o_custkey % 11 = (o_orderkey * 7 % 1500 + 1) % 11) WHERE src <> dst GROUP BY src, dst)"
+EDGES = "size AS (SELECT count(*) AS n, min(c_custkey) AS least FROM customer), edges AS (SELECT src, dst, max(w) AS weight FROM (SELECT least(o_custkey, o_orderkey * 7 % n + size.least) AS src, greatest(o_custkey, o_orderkey * 7 % n + size.least) AS dst, CAST(o_orderkey % 9 + 1 AS DOUBLE) AS w FROM orders, size) WHERE src <> dst GROUP BY src, dst)"
 
 
 @query(f"WITH {EDGES}, n AS (SELECT src AS node, * FROM edges UNION ALL SELECT dst, * FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, src, dst) AS rn FROM n) SELECT DISTINCT src, dst, weight FROM r WHERE rn <= 2")
 def sparsify_topk(spark, d):
-    return graph.sparsified(_graph(spark, d)[1], 2)
+    return graph.sparsified(_whole_graph(spark, d)[1], 2)
 
 
 @query(f"WITH RECURSIVE {EDGES}, b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), r(id, c) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.id WHERE r.c < b.dst) SELECT id, min(c) AS component FROM r WHERE id IN (SELECT c_custkey FROM customer) GROUP BY id")
 def connected_components(spark, d):
-    return graph.connected_components(*_graph(spark, d))
+    return graph.connected_components(*_whole_graph(spark, d))
 
 
 @query(f"WITH {EDGES}, l AS (SELECT c_custkey AS id, c_nationkey AS label FROM customer), e AS (SELECT weight, a.label AS la, b.label AS lb FROM edges JOIN l a ON a.id = src JOIN l b ON b.id = dst), s AS (SELECT la AS label, weight AS deg, CASE WHEN la = lb THEN weight ELSE 0 END AS inn FROM e UNION ALL SELECT lb, weight, 0 FROM e), c AS (SELECT label, sum(deg) AS deg, sum(inn) AS inn FROM s GROUP BY label), m AS (SELECT sum(deg) / 2 AS m FROM c) SELECT round(sum(inn / m - pow(deg / (2 * m), 2)), 6) AS modularity FROM c, m")
 def modularity(spark, d):
     labels = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label"))
-    return graph.modularity(_graph(spark, d)[1], labels).select(F.round("modularity", 6).alias("modularity"))
+    return graph.modularity(_whole_graph(spark, d)[1], labels).select(F.round("modularity", 6).alias("modularity"))
 
 
 @query("WITH n AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.id, a.label AS own, b.label AS other, avg(list_distance(a.v, b.v)) AS g FROM n a JOIN n b ON a.id <> b.id GROUP BY ALL), s AS (SELECT id, max(CASE WHEN own = other THEN g END) AS a, min(CASE WHEN own <> other THEN g END) AS b FROM p GROUP BY id) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,3 +123,8 @@ def write_interactions(rows: DataFrame, path: str) -> None:
 def missing_outputs(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work items without a result: what a resumed run has left to do."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): rows of each table, in one plan."""
+    return reduce(DataFrame.unionByName, (t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()))
