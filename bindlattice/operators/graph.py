@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,52 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """The k nearest other rows of each row by cosine (id, vector; zero vectors have no neighbours), exact.
+#: Rows of a block of vectors; a task multiplies two blocks.
+BLOCK = 2048
 
-    Rows are dealt to ``blocks`` blocks; each pair of blocks is one equi-join key, so
-    the work of all pairs is spread over blocks * blocks tasks.
+
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, vector, ...) dealt to blocks of about BLOCK: as the left and as the right side of every pair of blocks."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    return rows.withColumns({"row": own, "side": F.lit(0)}).withColumn("col", every), rows.withColumns({"col": own, "side": F.lit(1)}).withColumn("row", every)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+
+
+def _split(tile: pa.Table) -> tuple[pa.Table, pa.Table]:
+    side = tile.column("side").to_numpy()
+    return tile.filter(pa.array(side == 0)), tile.filter(pa.array(side == 1))
+
+
+def knn(vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest other rows of each row by cosine (id, vector of one length; zero vectors have no neighbours), exact.
+
+    Rows are dealt to blocks by their number; each pair of blocks is one key and one
+    matrix product, which keeps k neighbours a row, so what is shuffled on is k rows
+    for each row and block.
     """
     size = F.sqrt(dot("vector", "vector"))
-    unit = vectors.withColumn("size", size).where("size > 0").select("id", F.transform("vector", lambda x: x.cast("double") / F.col("size")).alias("u"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = unit.select("id", "u", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("row"), every.alias("col"))
-    right = unit.select(F.col("id").alias("other"), F.col("u").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("col"), every.alias("row"))
-    pairs = left.join(right, ["row", "col"]).where("id <> other").select("id", "other", dot("u", "w").alias("cosine"))
+    unit = vectors.withColumn("size", size).where("size > 0").select("id", F.transform("vector", lambda x: x.cast("double") / F.col("size")).alias("vector"))
+    left, right = _blocks(unit)
+
+    def nearest(tile: pa.Table) -> pa.Table:
+        mine, theirs = _split(tile)
+        ids, others = mine.column("id").to_numpy(), theirs.column("id").to_numpy()
+        if not len(ids) or not len(others):
+            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        by = np.argsort(others, kind="stable")
+        cosine = _matrix(mine.column("vector")) @ _matrix(theirs.column("vector"))[by].T
+        others = others[by]
+        cosine[ids[:, None] == others[None, :]] = -np.inf
+        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(cosine, best, axis=1)
+        real = np.isfinite(found)
+        return pa.table({"id": pa.array(np.repeat(ids, real.sum(axis=1))), "other": pa.array(others[best[real]]), "cosine": pa.array(found[real])})
+
+    pairs = left.unionByName(right).groupBy("row", "col").applyInArrow(nearest, "id long, other long, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
     return pairs.withColumn("rn", rank.cast("long")).where(F.col("rn") <= k)
 
@@ -56,11 +92,19 @@ def sparsified(edges: DataFrame, k: int) -> DataFrame:
 
 
 def min_degree(edges: DataFrame, least: int, rounds: int = 5, row: str = "row_id", col: str = "col_id") -> DataFrame:
-    """Edges left after up to ``rounds`` rounds that drop nodes of too low degree on both sides at once."""
+    """Edges left after up to ``rounds`` rounds that drop nodes of too low degree on both sides at once; ends when a round drops none.
+
+    Degrees are counted with partial sums and joined back, so no node's edges gather in one task.
+    """
+    now = checkpointed(edges)
+    n = now.count()
     for _ in range(rounds):
-        counted = edges.withColumns({"_r": F.count("*").over(Window.partitionBy(row)), "_c": F.count("*").over(Window.partitionBy(col))})
-        edges = counted.where((F.col("_r") >= least) & (F.col("_c") >= least)).drop("_r", "_c")
-    return edges
+        kept = [now.groupBy(c).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(c) for c in (row, col)]
+        now = checkpointed(now.join(kept[0], row, "left_semi").join(kept[1], col, "left_semi"))
+        before, n = n, now.count()
+        if n == before:
+            break
+    return now
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -90,13 +134,34 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inner") / F.col("m") - gamma * F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def silhouette(points: DataFrame, blocks: int = 8) -> DataFrame:
-    """Mean euclidean silhouette of (id, vector, label), exact; single members score 0."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.select("id", "vector", "label", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("row"), every.alias("col"))
-    right = points.select(F.col("id").alias("other"), F.col("vector").alias("w"), F.col("label").alias("theirs"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("col"), every.alias("row"))
-    gap = F.sqrt(F.aggregate(F.zip_with("vector", "w", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
-    sums = left.join(right, ["row", "col"]).where("id <> other").select("id", "label", "theirs", gap.alias("gap")).groupBy("id", "label", "theirs").agg(F.avg("gap").alias("gap"))
+def silhouette(points: DataFrame) -> DataFrame:
+    """Mean euclidean silhouette of (id, vector, label), exact; single members score 0.
+
+    Each pair of blocks is one task that sums its distances by row and label.
+    """
+    left, right = _blocks(points.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("label").cast("long").alias("label")))
+
+    def summed(tile: pa.Table) -> pa.Table:
+        mine, theirs = _split(tile)
+        ids, others = mine.column("id").to_numpy(), theirs.column("id").to_numpy()
+        labels, which = np.unique(theirs.column("label").to_numpy(), return_inverse=True)
+        if not len(ids) or not len(others):
+            return pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("label", pa.int64()), ("theirs", pa.int64()), ("gap", pa.float64()), ("n", pa.int64()))})
+        x, y = _matrix(mine.column("vector")), _matrix(theirs.column("vector"))
+        gap = np.empty((len(ids), len(others)))
+        for i in range(0, len(ids), 64):
+            gap[i : i + 64] = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+        other = (ids[:, None] != others[None, :]).astype(np.float64)
+        member = np.eye(len(labels))[which]
+        total, n = (gap * other) @ member, other @ member
+        own = mine.column("label").to_numpy()
+        return pa.table({
+            "id": pa.array(np.repeat(ids, len(labels))), "label": pa.array(np.repeat(own, len(labels))), "theirs": pa.array(np.tile(labels, len(ids))),
+            "gap": pa.array(total.reshape(-1)), "n": pa.array(n.reshape(-1).astype(np.int64)),
+        })
+
+    sums = left.unionByName(right).groupBy("row", "col").applyInArrow(summed, "id long, label long, theirs long, gap double, n long")
+    sums = sums.groupBy("id", "label", "theirs").agg((F.sum("gap") / F.when(F.sum("n") > 0, F.sum("n"))).alias("gap"))
     own = F.max(F.when(F.col("label") == F.col("theirs"), F.col("gap")))
     near = F.min(F.when(F.col("label") != F.col("theirs"), F.col("gap")))
     scored = sums.groupBy("id", "label").agg(own.alias("a"), near.alias("b"))

@@ -41,13 +41,27 @@ def overlap_mean(intervals: DataFrame, queries: DataFrame, key: str, query_id: s
     return queries.select(query_id).join(met, query_id, "left").select(query_id, F.coalesce("mean", F.lit(missing)).alias("mean"))
 
 
-def as_of(events: DataFrame, probes: DataFrame, key: str, at: str, value: str, probe_id: str) -> DataFrame:
-    """For each probe the value of the last event of its key at or before it: one sort of the union."""
-    both = events.select(key, at, F.col(value).alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias(probe_id)).unionByName(
-        probes.select(key, at, F.lit(None).cast(events.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"), F.col(probe_id).cast("long").alias(probe_id))
+def as_of(events: DataFrame, probes: DataFrame, key: str, at: str, value: str, probe_id: str, width: int = 1 << 16) -> DataFrame:
+    """For each probe the value of the last event of its key at or before it.
+
+    Keys are cut into bins (days of timestamps, ``width`` of numbers).  Rows are only
+    sorted inside a bin; what a bin must know of earlier ones is their last value,
+    which a window over one row a bin carries on.
+    """
+    timed = str(events.schema[at].dataType.typeName()).startswith("timestamp")
+    bin_of = F.unix_date(F.to_date(at)).cast("long") if timed else F.floor(F.col(at) / width).cast("long")
+    both = events.select(key, at, F.struct(F.col(value).alias("v")).alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias(probe_id)).unionByName(
+        probes.select(key, at, F.lit(None).cast(f"struct<v: {events.schema[value].dataType.simpleString()}>").alias("_v"), F.lit(1).alias("_side"), F.col(probe_id).cast("long").alias(probe_id))
     )
-    seen = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("found", F.last("_v", ignorenulls=True).over(seen)).where("_side = 1").select(probe_id, F.col("found").alias(value))
+    both = both.withColumn("_bin", bin_of)
+    last = both.where("_side = 0 and _v.v is not null").groupBy(key, "_bin").agg(F.max_by("_v", at).alias("_last"))
+    marks = both.select(key, "_bin").distinct().join(last, [key, "_bin"], "left")
+    earlier = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).select(key, "_bin", "_carried")
+    seen = Window.partitionBy(key, "_bin").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shown = F.when(F.col("_v.v").isNotNull(), F.col("_v"))
+    found = both.withColumn("_found", F.last(shown, ignorenulls=True).over(seen)).where("_side = 1").join(carried, [key, "_bin"], "left")
+    return found.select(probe_id, F.coalesce("_found", "_carried")["v"].alias(value))
 
 
 def point_in_interval(intervals: DataFrame, probes: DataFrame, key: str, at: str, value: str, probe_id: str, missing: object) -> DataFrame:
@@ -57,16 +71,25 @@ def point_in_interval(intervals: DataFrame, probes: DataFrame, key: str, at: str
     return named.select(probe_id, F.coalesce(F.when(F.col(at) < F.col("_span.end"), F.col(f"_span.{value}")), F.lit(missing)).alias(value))
 
 
+#: Rows up to which a narrow table may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows with a broadcast hint if they were counted to be few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def in_all(membership: DataFrame, item: str, group: str, required: DataFrame) -> DataFrame:
     """Relational division: items that every group of ``required`` has."""
     needed = required.select(group).distinct()
-    have = membership.join(F.broadcast(needed), group, "left_semi").groupBy(item).agg(F.countDistinct(group).alias("_n"))
+    have = membership.join(small(needed), group, "left_semi").groupBy(item).agg(F.countDistinct(group).alias("_n"))
     return have.join(F.broadcast(needed.agg(F.count("*").alias("_need"))), F.col("_n") == F.col("_need")).select(item)
 
 
 def in_none(items: DataFrame, membership: DataFrame, item: str, group: str, excluded: DataFrame) -> DataFrame:
     """Items that no group of ``excluded`` has."""
-    barred = membership.join(F.broadcast(excluded.select(group).distinct()), group, "left_semi").select(item).distinct()
+    barred = membership.join(small(excluded.select(group).distinct()), group, "left_semi").select(item).distinct()
     return items.join(barred, item, "left_anti")
 
 

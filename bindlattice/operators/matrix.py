@@ -7,9 +7,13 @@ is per column is a small table, everything that is per row stays distributed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bindlattice.operators import ranking
+
 #: A residual of zero is raised to this, as factorisation needs positive cells.
 FLOOR = 1e-6
 #: Columns a panel may have; per-column tables are broadcast within this bound.
@@ -68,16 +72,69 @@ def pivot(pairs: DataFrame, columns: list) -> DataFrame:
     return pairs.groupBy("row_id").pivot("col_id", columns).agg(F.first("w")).na.fill(0.0)
 
 
-def matrix_stats(grid: DataFrame, value: str = "w") -> DataFrame:
-    """Cells, share above zero, extremes, and the interpolated 95 and 97 % points of positive cells."""
-    v = F.col(value)
-    positive = F.when(v > 0, v)
-    return grid.agg(
-        F.count("*").alias("cells"), F.avg((v > 0).cast("double")).alias("density"), F.min(v).alias("least"), F.max(v).alias("most"),
-        F.percentile(positive, F.lit(0.95)).alias("p95"), F.percentile(positive, F.lit(0.97)).alias("p97"),
+def top_residual(pairs: DataFrame, k: int, floor: float = FLOOR, digits: int = 6) -> DataFrame:
+    """The k largest residual cells of each column (ties: the smaller row_id), without the dense grid.
+
+    Cells above the column mean are stored pairs; where a column has fewer than k, the
+    first of the other rows fill it up at the floor.
+    """
+    above = pairs.join(F.broadcast(column_means(pairs)), "col_id").where("w > mean").select("col_id", "row_id", F.round(F.col("w") - F.col("mean"), digits).alias("v"))
+    first = ranking.top_per(above, "col_id", "v", "row_id", k).drop("rn")
+    short = panel(pairs).join(above.groupBy("col_id").agg(F.count("*").alias("n")), "col_id", "left").where(f"coalesce(n, 0) < {k}").select("col_id")
+    rows = pairs.select("row_id").distinct().orderBy("row_id").limit(2 * k)
+    filling = short.crossJoin(F.broadcast(rows)).join(above.select("col_id", "row_id"), ["col_id", "row_id"], "left_anti").select("col_id", "row_id", F.lit(floor).alias("v"))
+    return ranking.top_per(first.unionByName(filling), "col_id", "v", "row_id", k)
+
+
+def order_statistics(frame: DataFrame, value: str, points: list[float], bins: int = 4096, most: int = 100_000) -> list[float | None]:
+    """Interpolated percentiles of non-null values, exact: ranks are narrowed down by histograms, so no task holds all values."""
+    values = frame.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    low, high, n = values.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    if not n:
+        return [None] * len(points)
+
+    def at(rank: int) -> float:
+        least, top, before = low, high, 0
+        while True:
+            inside = values.where((F.col("x") >= least) & (F.col("x") <= top))
+            width = (top - least) / bins
+            if width <= 0 or least + width == least:
+                return least
+            place = F.least(F.floor((F.col("x") - least) / width), F.lit(bins - 1))
+            rows = sorted(inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect())
+            for r in rows:
+                if before + r["n"] > rank:
+                    break
+                before += r["n"]
+            least, top = r["a"], r["b"]
+            if r["n"] <= most:
+                held = sorted(x["x"] for x in values.where((F.col("x") >= least) & (F.col("x") <= top)).collect())
+                return held[rank - before]
+
+    ranks = {int(f((n - 1) * p)) for p in points for f in (math.floor, math.ceil)}
+    found = {r: at(r) for r in ranks}
+    return [found[math.floor((n - 1) * p)] + ((n - 1) * p - math.floor((n - 1) * p)) * (found[math.ceil((n - 1) * p)] - found[math.floor((n - 1) * p)]) for p in points]
+
+
+def matrix_stats(pairs: DataFrame) -> DataFrame:
+    """Cells of the dense grid, share above zero, extremes, and the interpolated 95 and 97 % points of positive cells; zeros are counted, not made."""
+    p95, p97 = order_statistics(pairs.where("w > 0"), "w", [0.95, 0.97])
+    stored = pairs.agg(F.count("*").alias("stored"), F.count(F.when(F.col("w") > 0, 1)).alias("positive"), F.min("w").alias("least"), F.max("w").alias("most"), F.countDistinct("row_id").alias("rows"), F.countDistinct("col_id").alias("cols"))
+    cells = F.col("rows") * F.col("cols")
+    return stored.select(
+        cells.alias("cells"), (F.col("positive") / cells).alias("density"), F.when(F.col("stored") < cells, F.least("least", F.lit(0.0))).otherwise(F.col("least")).alias("least"),
+        F.when(F.col("stored") < cells, F.greatest("most", F.lit(0.0))).otherwise(F.col("most")).alias("most"), F.lit(p95).cast("double").alias("p95"), F.lit(p97).cast("double").alias("p97"),
     )
 
 
+def stored_variance(pairs: DataFrame) -> DataFrame:
+    """Population variance of each row of the dense grid from its stored pairs."""
+    columns = pairs.agg(F.countDistinct("col_id").alias("n"))
+    sums = pairs.groupBy("row_id").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return sums.crossJoin(F.broadcast(columns)).select("row_id", F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)).alias("variance"))
+
+
 def row_variance(grid: DataFrame, value: str = "w") -> DataFrame:
     return grid.groupBy("row_id").agg(F.var_pop(value).alias("variance"))
 
@@ -87,17 +144,19 @@ def edges(grid: DataFrame, threshold: float, power: float = 1.0, value: str = "w
     return grid.where(F.col(value) >= threshold).select("row_id", "col_id", F.pow(F.col(value), F.lit(power)).alias("weight"))
 
 
-def cotargets(cells: DataFrame, threshold: float, value: str = "v") -> DataFrame:
-    """For columns i < j how many rows exceed the threshold in both; pairs that share none count 0.
+def cotargets(pairs: DataFrame, threshold: float) -> DataFrame:
+    """For columns i < j of the residual matrix how many rows exceed the threshold in both; pairs that share none count 0.
 
-    Each row's columns are gathered (at most a panel), so pairs come from one
-    aggregation by row instead of a join of the cells with themselves.
+    Only stored pairs can exceed a threshold of zero or more, so no grid is made;
+    each row's columns are gathered (at most a panel), and column pairs come from
+    one aggregation by row instead of a join of the cells with themselves.
     """
-    held = cells.where(F.col(value) > threshold).groupBy("row_id").agg(F.sort_array(F.collect_set("col_id")).alias("cols"))
+    cells = pairs.join(F.broadcast(column_means(pairs)), "col_id").where(F.col("w") - F.col("mean") > max(threshold, 0.0))
+    held = cells.groupBy("row_id").agg(F.sort_array(F.collect_set("col_id")).alias("cols"))
     others = F.expr("transform(slice(cols, i + 2, size(cols)), c -> struct(cols[i] AS a, c AS b))")
     listed = held.select(F.explode(F.sequence(F.lit(0), F.size("cols") - 1)).alias("i"), "cols").select(F.explode(others).alias("p"))
     counted = listed.groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
-    names = panel(cells)
+    names = panel(pairs)
     every = names.select(F.col("col_id").alias("a")).join(names.select(F.col("col_id").alias("b")), F.col("a") < F.col("b"))
     return every.join(counted, ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
 
@@ -161,6 +220,12 @@ def category_summary(targets: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
+def stored_shares(pairs: DataFrame) -> DataFrame:
+    """Each stored pair's share of its row's sum; absent pairs, whose share is 0, add nothing to an entropy."""
+    total = pairs.groupBy("row_id").agg(F.sum("w").alias("total"))
+    return pairs.join(total, "row_id").select("row_id", "col_id", F.when(F.col("total") == 0, 0.0).otherwise(F.col("w") / F.col("total")).alias("p"))
+
+
 def entropy(weights: DataFrame, value: str = "p", components: int | None = None) -> DataFrame:
     """Shannon entropy of each row's normalised weights over ln(components); mixed above 0.8."""
     k = F.lit(float(components)) if components else F.count("*").cast("double")

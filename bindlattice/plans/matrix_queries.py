@@ -27,14 +27,18 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return matrix.pair_mean(sites(spark, d))
 
 
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs, written once for plans that read them more than once."""
+    return graph.checkpointed(_pairs(spark, d))
+
+
 def _r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
 
 @query(f"WITH {RESIDUAL}, rk AS (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY round(v, 6) DESC, row_id) AS rn FROM residual) SELECT col_id, row_id, round(v, 4) AS v, CAST(rn AS BIGINT) AS rn FROM rk WHERE rn <= 5")
 def residual_top5(spark, d):
-    cells = matrix.residual(_pairs(spark, d)).withColumn("v", F.round("v", 6))
-    return ranking.top_per(cells, "col_id", "v", "row_id", 5).select("col_id", "row_id", _r("v", 4), "rn")
+    return matrix.top_residual(_staged(spark, d), 5).select("col_id", "row_id", _r("v", 4), "rn")
 
 
 @query(f"WITH {PAIRS} SELECT row_id, col_id, round(w, 6) AS w FROM pairs")
@@ -51,27 +55,27 @@ def pair_pivot_25(spark, d):
 
 @query(f"WITH {RESIDUAL} SELECT row_id, col_id, round(v, 6) AS v FROM residual")
 def residual_grid(spark, d):
-    return matrix.residual(_pairs(spark, d)).select("row_id", "col_id", _r("v"))
+    return matrix.residual(_staged(spark, d)).select("row_id", "col_id", _r("v"))
 
 
 @query(f"WITH {RESIDUAL} SELECT row_id, col_id, round(a, 6) AS v FROM above")
 def residual_nofloor(spark, d):
-    return matrix.residual(_pairs(spark, d), None).select("row_id", "col_id", _r("v"))
+    return matrix.residual(_staged(spark, d), None).select("row_id", "col_id", _r("v"))
 
 
 @query(f"WITH {GRID} SELECT row_id, col_id, round(CASE WHEN sum(w) OVER (PARTITION BY row_id) = 0 THEN 0 ELSE w / sum(w) OVER (PARTITION BY row_id) END, 6) AS p FROM grid")
 def row_l1_normalize(spark, d):
-    return matrix.row_normalised(matrix.dense_grid(_pairs(spark, d))).select("row_id", "col_id", _r("p"))
+    return matrix.row_normalised(matrix.dense_grid(_staged(spark, d))).select("row_id", "col_id", _r("p"))
 
 
 @query(f"WITH {GRID} SELECT count(*) AS cells, round(avg(CASE WHEN w > 0 THEN 1.0 ELSE 0.0 END), 6) AS density, round(min(w), 6) AS least, round(max(w), 6) AS most, round(quantile_cont(CASE WHEN w > 0 THEN w END, 0.95), 6) AS p95, round(quantile_cont(CASE WHEN w > 0 THEN w END, 0.97), 6) AS p97 FROM grid")
 def matrix_stats(spark, d):
-    return matrix.matrix_stats(matrix.dense_grid(_pairs(spark, d))).select("cells", *map(_r, ("density", "least", "most", "p95", "p97")))
+    return matrix.matrix_stats(_staged(spark, d)).select("cells", *map(_r, ("density", "least", "most", "p95", "p97")))
 
 
 @query(f"WITH {GRID} SELECT row_id, round(var_pop(w), 4) AS variance FROM grid GROUP BY row_id")
 def row_variance(spark, d):
-    return matrix.row_variance(matrix.dense_grid(_pairs(spark, d))).select("row_id", _r("variance", 4))
+    return matrix.stored_variance(_staged(spark, d)).select("row_id", _r("variance", 4))
 
 
 @query(f"WITH {PAIRS} SELECT row_id, col_id, round(pow(w, 2), 4) AS weight FROM pairs WHERE w >= 30")
@@ -162,12 +166,12 @@ def lexsort_rows(spark, d):
 
 @query(f"WITH {RESIDUAL}, h AS (SELECT row_id, col_id FROM residual WHERE v > 5), n AS (SELECT DISTINCT col_id FROM residual), c AS (SELECT x.col_id AS a, y.col_id AS b, count(*) AS shared FROM h x JOIN h y ON x.row_id = y.row_id AND x.col_id < y.col_id GROUP BY ALL) SELECT p.col_id AS a, q.col_id AS b, coalesce(shared, 0) AS shared FROM n p JOIN n q ON p.col_id < q.col_id LEFT JOIN c ON c.a = p.col_id AND c.b = q.col_id")
 def cotarget_pairs(spark, d):
-    return matrix.cotargets(matrix.residual(_pairs(spark, d)), 5.0)
+    return matrix.cotargets(_staged(spark, d), 5.0)
 
 
 @query(f"WITH {RESIDUAL}, h AS (SELECT row_id, col_id FROM residual WHERE v > 5) SELECT x.col_id AS a, y.col_id AS b, count(*) AS shared FROM h x JOIN h y ON x.row_id = y.row_id AND x.col_id < y.col_id GROUP BY ALL HAVING count(*) > 100 ORDER BY shared DESC, a, b LIMIT 10")
 def cotarget_arcs(spark, d):
-    return ranking.top(matrix.cotargets(matrix.residual(_pairs(spark, d)), 5.0).where("shared > 100"), "shared", ["a", "b"], 10)
+    return ranking.top(matrix.cotargets(_staged(spark, d), 5.0).where("shared > 100"), "shared", ["a", "b"], 10)
 
 
 @query(f"WITH {PAIRS} SELECT col_id, CASE WHEN col_id IN ('FRANCE', 'GERMANY', 'RUSSIA') THEN 'first' WHEN col_id IN ('CHINA', 'JAPAN') THEN 'second' ELSE 'Other' END AS pathway, count(*) AS n, round(max(w), 6) AS most, round(avg(w), 6) AS mean FROM pairs GROUP BY ALL")
@@ -211,7 +215,7 @@ def standard_scaler(spark, d):
 
 @query(f"WITH {GRID}, p AS (SELECT row_id, w / sum(w) OVER (PARTITION BY row_id) AS p FROM grid) SELECT row_id, round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(25), 5) AS entropy, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(25) > 0.8 AS mixed FROM p GROUP BY row_id")
 def entropy_mixed(spark, d):
-    return matrix.entropy(matrix.row_normalised(matrix.dense_grid(_pairs(spark, d))), "p", 25).select("row_id", _r("entropy", 5), "mixed")
+    return matrix.entropy(matrix.stored_shares(_staged(spark, d)), "p", 25).select("row_id", _r("entropy", 5), "mixed")
 
 
 @query(f"WITH {PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY w DESC, col_id) AS rn FROM pairs), s AS (SELECT col_id, count(*) AS n FROM k WHERE rn = 1 GROUP BY col_id) SELECT col_id, n, round(n / (SELECT sum(n) FROM s), 6) AS share, CAST(row_number() OVER (ORDER BY n DESC, col_id) AS BIGINT) AS rank FROM s")

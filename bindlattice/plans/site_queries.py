@@ -149,7 +149,7 @@ _BLOCK = "'5''-AC-3'' P' || p_partkey || ' [' || p_size * 10 || '..' || p_size *
 @query("SELECT p_partkey AS key, CAST(i AS INTEGER) AS block_pos, CAST(p_size * 10 AS BIGINT) AS position_start, CAST(p_size * 10 + 30 AS BIGINT) AS position_end, 'CDS' AS region, regexp_extract('target site: ' || p_brand, 'target site:\\s*(\\S+)', 1) AS seed_type, CAST(p_size % 15 AS INTEGER) AS bridge, -1.0::DOUBLE AS phastcons, -(p_size + 0.5)::DOUBLE AS dg, (1100 + p_size)::DOUBLE AS kd, false AS validated FROM part, range(2) t(i)")
 def block_parse(spark, d):
     texts = table(spark, d, "part").selectExpr("p_partkey AS key", f"concat({_BLOCK.replace('||', ',').replace(chr(39) * 2, chr(92) + chr(39))}, chr(10)) AS one").selectExpr("key", "concat(one, one) AS text")
-    return site.parse_blocks(texts, "text").drop("text")
+    return site.parse_blocks(texts, "text").drop("text", "interaction_string")
 
 
 @query("""WITH g AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity * 40 AS kd, CASE WHEN l_returnflag = 'R' THEN 'seedless' WHEN l_returnflag = 'A' THEN 'offset-6mer' ELSE '7mer' END AS seed_class, CASE WHEN l_linestatus = 'O' THEN 'CDS and 3UTR' ELSE '5UTR' END AS region, l_tax * 10 AS seed_acc, l_discount AS supp_acc, CAST(l_linenumber - 2 AS INTEGER) AS conservation FROM lineitem)
