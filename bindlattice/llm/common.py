@@ -13,6 +13,7 @@ from functools import partial, reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of these characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,7 +91,7 @@ def _then_give_back(batches: Iterator[pa.RecordBatch], each: Callable[[Iterator[
         give_back()
 
 
-def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of bounded bytes."""
     with contextlib.suppress(Exception):
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))

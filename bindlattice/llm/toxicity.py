@@ -261,19 +261,27 @@ def fit(toxic: list[str | None], ordinary: list[str | None]) -> tuple[Dictionari
     return found, Mean([Logistic(x, y, same), Trees(x, y, same)])
 
 
+def _scores(texts: pa.Array, found: Dictionaries, model: object) -> np.ndarray:
+    if isinstance(model, Constant):
+        return model.predict(np.zeros(len(texts)))
+    return model.predict(np.array(list(found.features(texts))))
+
+
 def _score(batches: Iterator[pa.RecordBatch], found: Dictionaries, model: object) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if not b.num_rows:
-            continue
-        if isinstance(model, Constant):
-            score = model.predict(np.zeros(b.num_rows))
-        else:
-            score = model.predict(np.array(list(found.features(b.column(2)))))
-        yield batch(doc_id=b.column(0), held_out=b.column(1), score=pa.array(score), predicted=pa.array((score >= THRESHOLD).astype(np.int32)))
+        if b.num_rows:
+            score = _scores(b.column(2), found, model)
+            yield batch(doc_id=b.column(0), held_out=b.column(1), score=pa.array(score), predicted=pa.array((score >= THRESHOLD).astype(np.int32)))
+
+
+def _ordinary_rows(batches: Iterator[pa.RecordBatch], text: int, found: Dictionaries, model: object) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield b.filter(pa.array(_scores(b.column(text), found, model) < THRESHOLD))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row.
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> tuple[Dictionaries, object]:
+    """Dictionaries and model of the labelled rows that are not held out.
 
     At most ``sample`` labelled rows of each class train, of texts of at most
     ``sample_bytes`` bytes each, so at most 2 * sample * sample_bytes bytes come to
@@ -284,10 +292,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known, _ = labelled_sample(short, labels, "toxic", held_out_third(F.col("doc_id")), sample)
     got = stage(known.select("doc_id", "label", "text"), "sample").toArrow().sort_by("doc_id")
     texts, label = got.column("text").to_pylist(), got.column("label").to_pylist()
-    found, model = fit([t for t, y in zip(texts, label, strict=True) if y == 1], [t for t, y in zip(texts, label, strict=True) if y == 0])
-    asked = rows.select("doc_id", F.coalesce(held_out_third(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
+    return fit([t for t, y in zip(texts, label, strict=True) if y == 1], [t for t, y in zip(texts, label, strict=True) if y == 0])
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; ``bounds`` are those of ``learned``."""
+    found, model = learned(docs, labels, id_col, text_col, **bounds)
+    doc_id = quoted(id_col).cast("long")
+    asked = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out_third(doc_id), F.lit(False)).alias("held_out"), quoted(text_col).alias("text"))
     return arrow_map(asked, partial(_score, found=found, model=model), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def ordinary_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+    """The rows of docs, with all their columns, that are not called toxic; ids play no part in the decision."""
+    found, model = learned(docs, labels, id_col, text_col, **bounds)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    kept = arrow_map(plain, partial(_ordinary_rows, text=docs.columns.index(text_col), found=found, model=model), plain.schema)
+    return kept.toDF(*docs.columns)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -510,3 +510,100 @@ def test_top_k_over_many_tiles(spark, monkeypatch):
         own = next(v for i, v in whole if i == q)
         scores = sorted((-sum(a * b for a, b in zip(own, u, strict=True)), i) for i, u in whole if i != q)[:4]
         assert got[q] == [(*s, k + 1) for k, s in enumerate(scores)]
+
+
+def _targets(sizes):
+    """Targets of sources by bisection of the level: min(2 * size, level * weight) sums to 1.5 of all."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    low, high = 0.0, 4.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], level * weight[s]) for s in names) < 1.5 * sum(sizes.values()) else (low, level)
+    return {s: min(2 * sizes[s], low * weight[s]) for s in names}
+
+
+def test_mixing_targets_follow_the_weights(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 90)), [*"abcdefg", None, "é"][int(rng.integers(0, 9))]) for i in range(700)] + [(9000, None, "a"), (9001, "w " * 5000, "b"), (None, "w", "c")]
+    got = [r.asDict() for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()]
+    size = collections.Counter()
+    for r in rows:
+        size[r[2]] += len(words(r[1]))
+    expected = _targets(size)
+    assert {r["source"] for r in got} == set(expected)
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and abs(r["target"] - expected[r["source"]]) < 1e-6 * max(1.0, expected[r["source"]])
+
+
+def test_pipeline_against_plain_versions(spark, tmp_path, awkward):
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(30))
+    plain = [(200 + i, " ".join(f"p{i}w{k}" for k in range(60)), "a") for i in range(12)]
+    rows = [*awkward[0], *plain, (300, plain[0][1], "b"), (None, plain[1][1], "b"), (None, "x " * 9 + item, "b"), (301, item.upper() + " end", "a"), (301, "only here", "a"), (302, " ".join(item.split()[:20]), "a")]
+    folder = str(tmp_path)
+    spark.createDataFrame([(*r, "k", 1) for r in rows], DOCS + ", `a.b` string, _row long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    read = lambda frame: sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"] or "") for r in frame.collect())
+    steps = dict(corpus_pipeline.STAGES)
+    # Without labels every score is 0.5, so nothing goes.
+    assert read(steps["toxicity"](spark, docs, folder)) == read(docs)
+    deduped = steps["near_dedup"](spark, docs, folder)
+    assert deduped.columns == docs.columns
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    left = read(deduped)
+    assert len(left) == len(groups)
+    for g in groups.values():
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in g)
+        assert any(d == (-1 if least[0] else least[1]) and any(t == (rows[i][1] or "") for i in g) for d, t in left)
+    clean = read(steps["decontamination"](spark, docs, folder))
+    own = shingles(item)
+    assert clean == sorted((-1 if r[0] is None else r[0], r[1] or "") for r, s in zip(rows, sets, strict=True) if 100 * len(own & s) < 80 * len(own))
+    mixed = steps["mixing"](spark, docs, folder)
+    assert mixed.columns == docs.columns and max(collections.Counter(read(mixed)).values()) <= 2 * 3
+    assert corpus_pipeline.run(spark, folder).count() == sum(1 for _ in read(steps["mixing"](spark, steps["decontamination"](spark, deduped, folder), folder)))
+    empty = docs.where("false")
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, folder).count() == 0
+
+
+def test_toxic_rows_go_whatever_their_id(spark):
+    rng = np.random.default_rng(1)
+    plain = [f"word{i}" for i in range(300)]
+    rows = [(i if i % 7 else None, " ".join([*rng.choice(plain, 30), "dreadfulness" if i % 4 == 0 else str(rng.choice(plain)), *rng.choice(plain, 10)]), i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = toxicity.ordinary_rows(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    wrong = {r["n"] for r in kept.collect()} ^ {i for i in range(400) if i % 4}
+    assert kept.columns == docs.columns and len(wrong) <= 8
+
+
+def test_each_dictionary_is_needed():
+    rng = np.random.default_rng(6)
+    plain = [f"w{i}x{i % 7}" for i in range(400)]
+    text = lambda bad: " ".join([*rng.choice(plain, 20), "abominable" if bad else str(rng.choice(plain)), *rng.choice(plain, 20)])
+    found, model = toxicity.fit([text(True) for _ in range(120)], [text(False) for _ in range(240)])
+    fresh = pa.array([text(i < 60) for i in range(180)])
+    right = lambda f: ((model.predict(np.array(list(f.features(fresh)))) >= toxicity.THRESHOLD) == (np.arange(180) < 60)).mean()
+    assert right(found) > 0.95
+    for side in ("ordinary", "toxic"):
+        broken = toxicity.Dictionaries(b"", found.ordinary.content, found.toxic.content)
+        setattr(broken, side, toxicity.Compressor(b""))
+        assert right(broken) < 0.8
