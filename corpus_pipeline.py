@@ -1,8 +1,14 @@
 """Corpus pipeline: toxicity, near-duplicates, benchmark items, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
-all but the last return the columns of documents.  Rows with a null doc_id cannot
-be matched to a decision by id; no decision is made against them, and they stay.
+all but the last return the columns of documents, whatever these are.  Decisions
+concern rows: toxicity is judged row by row, and near-duplicates and benchmark items
+work on rows under keys of their own, so rows with a null or a shared doc_id are
+treated like any other.
+
+Defined results: null and empty texts are judged as texts without words, stay one by
+one (they are nobody's copy) and hold no benchmark item; the mix takes only what
+holds words; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -17,30 +23,43 @@ from bindlattice.llm.decontaminate import contained_items
 from bindlattice.llm.mixing import mixed_rows
 from bindlattice.llm.near_dedup import near_duplicates
 from bindlattice.llm.token_files import tokens_of
-from bindlattice.llm.toxicity import score_toxicity
+from bindlattice.llm.toxicity import ordinary_rows
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """docs less the rows of the rejected doc_ids."""
-    ids = stage(rejected.where("doc_id is not null").select("doc_id").distinct(), name)
-    ids, _ = small(ids.select(F.col("doc_id").alias("_rejected")))
-    return docs.join(ids, docs["doc_id"] == F.col("_rejected"), "left_anti")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a key of its own for each row, and the key's name, which no other column has."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _without(keyed: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
+    """keyed less the rows whose keys are rejected, and less the key."""
+    ids, _ = small(stage(rejected.select(F.col("doc_id").alias(key)).distinct(), "rejected"))
+    return keyed.join(ids, key, "left_anti").drop(key)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
-    scored = score_toxicity(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"), "toxic")
+    return ordinary_rows(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a similarity of 0.8 or more stays, the one with the least doc_id."""
-    return _without(docs, near_duplicates(docs, percent=80).where("not kept"), "copies")
+    keyed, key = _keyed(docs)
+    groups = near_duplicates(keyed, id_col=key, percent=80).select("doc_id", "component_id")
+    several = groups.where("doc_id <> component_id").select("component_id").distinct()
+    names = keyed.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("name"))
+    members = stage(groups.join(several, "component_id", "left_semi").join(names, "doc_id"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", "doc_id"))["doc_id"].alias("doc_id"))
+    return _without(keyed, key, members.join(first.select("doc_id"), "doc_id", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item to 0.8 or more go."""
-    return _without(docs, contained_items(docs, read(spark, sf_dir, "benchmark")), "leaks")
+    keyed, key = _keyed(docs)
+    return _without(keyed, key, contained_items(keyed, read(spark, sf_dir, "benchmark"), id_col=key))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +80,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_files", token_files),
 ]
 
-#: Classifier scores and token ids are beyond SQL; tests hold the stages against brute force.
+#: Classifier scores and token ids are beyond SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
