@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +14,14 @@ from pyspark.sql import types as T
 from bindlattice.functions import sequence as seq
 from bindlattice.operators import ranking
 
-#: Interaction records: short keys as stored; unknown keys are ignored.
+# Interaction records have short keys as stored; unknown keys are ignored.
 INTERACTION = T.StructType(
     [T.StructField(k, T.StringType()) for k in "gna gseq alt alp alg rgn ity sty sut tid gid trn tseq".split()]
     + [T.StructField(k, T.IntegerType()) for k in "brl pst pen isc".split()]
     + [T.StructField(k, T.DoubleType()) for k in "pcs sac suc sen sue kdv den".split()]
     + [T.StructField("itb", T.BooleanType())]
 )
+# Columns of the stored results.
 RESULTS = T.StructType(
     [T.StructField("transcript_id", T.StringType(), False), T.StructField("mirna_id", T.StringType(), False)]
     + [T.StructField(c, T.FloatType()) for c in ("binding_dG", "Kd")]
@@ -115,8 +119,9 @@ def write_results(rows: DataFrame, path: str, order: list[str] | None = None) ->
 
 
 def write_interactions(rows: DataFrame, path: str) -> None:
-    """JSON lines with doubles rounded to two places, one folder a transcript and seed."""
-    rounded = rows.select(*(F.round(c, 2).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
+    """JSON lines with doubles rounded to two places, accessibilities (sac, suc) to four, one folder a transcript and seed."""
+    digits = {"sac": 4, "suc": 4}
+    rounded = rows.select(*(F.round(c, digits.get(c, 2)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
     rounded.withColumn("seed", F.substring("gseq", 2, 7)).write.mode("overwrite").partitionBy("trn", "seed").json(path)
 
 
@@ -128,3 +133,129 @@ def missing_outputs(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFr
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n): rows of each table, in one plan."""
     return reduce(DataFrame.unionByName, (t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()))
+
+
+# The stored relations besides results.
+TRANSCRIPTS = T.StructType([T.StructField("transcript_id", T.StringType(), False)] + [T.StructField(c, T.StringType()) for c in ("gene_name", "category", "enst_id")])
+MIRNAS = T.StructType([T.StructField("mirna_id", T.StringType(), False), T.StructField("name", T.StringType())])
+
+
+def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """rows with the schema's columns and types, in its order; a row without a required value is an error, other columns go."""
+    checked = []
+    for f in schema.fields:
+        value = F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)
+        if not f.nullable:
+            value = F.coalesce(value, F.raise_error(F.lit(f"{f.name} is required")).cast(f.dataType))
+        checked.append(value.alias(f.name))
+    return rows.select(*checked)
+
+
+def clean_start(rows: DataFrame, path: str) -> None:
+    """Write rows as the only content of a path."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def write_by_category(rows: DataFrame, path: str, category: str) -> None:
+    """Sequences of a panel as Parquet, one folder a category."""
+    rows.repartition(category).write.mode("overwrite").partitionBy(category).parquet(path)
+
+
+def write_by_prefix(rows: DataFrame, path: str, name: str = "name", letters: int = 2) -> None:
+    """FASTA records as text lines, one folder for each first ``letters`` letters of their name."""
+    record = F.concat(F.lit(">"), F.col(name), F.lit("\n"), seq.fasta_wrapped("sequence"))
+    rows.select(record.alias("value"), F.upper(F.substring(name, 1, letters)).alias("prefix")).write.mode("overwrite").partitionBy("prefix").text(path)
+
+
+def write_guides(rows: DataFrame, path: str) -> None:
+    """Guides (guide_id, sequence) as JSON lines by first letter and seed."""
+    rows.withColumns({"g1": F.substring("sequence", 1, 1), "seed": seq.region("sequence", 2, 8)}).write.mode("overwrite").partitionBy("g1", "seed").json(path)
+
+
+def guides_with_seed(spark: SparkSession, path: str, seed: str) -> DataFrame:
+    """The stored guides of one seed: partition pruning reads their folders alone."""
+    return spark.read.json(path).where(F.col("seed") == seed)
+
+
+def stored_interactions(spark: SparkSession, path: str, transcript: str, seed: str, max_kd: float | None = None, region_mask: int | None = None) -> DataFrame:
+    """The interactions of one transcript and seed, read from their folder alone, filtered by affinity and region."""
+    rows = spark.read.schema(T.StructType([*INTERACTION.fields, T.StructField("seed", T.StringType())])).json(path)
+    rows = rows.where((F.col("trn") == transcript) & (F.col("seed") == seed))
+    rows = rows if max_kd is None else rows.where(F.col("kdv") <= max_kd)
+    return rows if region_mask is None else rows.where(seq.in_region("rgn", F.lit(region_mask)))
+
+
+def stale(spark: SparkSession, path: str, before: str) -> DataFrame:
+    """Files of a path last written before a time: what an update would delete."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("modificationTime").alias("written"), "length")
+    return files.where(F.col("written") < F.lit(before).cast("timestamp"))
+
+
+def reporters(spark: SparkSession, path: str) -> DataFrame:
+    """Reporter records: the five fields of their header, and the sequence."""
+    rows = fasta(spark, path)
+    field = lambda i: F.get(F.split("header", r"\|"), F.lit(i))
+    return rows.select(field(0).alias("name"), field(1).alias("gene"), field(2).alias("guide"), field(3).alias("site"), field(4).alias("value"), seq.rna("sequence").alias("sequence"))
+
+
+def kmer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """k-mers with the count in their header; records without a number go."""
+    rows = fasta(spark, path, first_line_only=True).select(seq.rna("sequence").alias("kmer"), F.trim("header").try_cast("long").alias("n"))
+    return rows.where(F.col("n").isNotNull() & (F.col("kmer") != ""))
+
+
+def primary_transcripts(spark: SparkSession, path: str, separator: str = r"\s+") -> DataFrame:
+    """Records whose header fields are split at a given pattern: id, name, and the remaining fields."""
+    parts = F.split("header", separator)
+    return fasta(spark, path).select(F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("name"), F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))).alias("fields"), seq.rna("sequence").alias("sequence"))
+
+
+def mean_length(reads_: DataFrame) -> DataFrame:
+    return reads_.agg(F.count("*").alias("n"), F.avg(F.length("sequence")).alias("mean_length"))
+
+
+def genomic_slice(chromosomes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (id, chrom, start, end; 1-based, both counted) with their letters from chromosomes (chrom, sequence)."""
+    return ranges.join(chromosomes, "chrom").select("id", "chrom", "start", "end", F.substring(F.col("sequence"), F.col("start"), F.col("end") - F.col("start") + 1).alias("letters"))
+
+
+def design_file(spark: SparkSession, path: str) -> DataFrame:
+    """(key, values) of lines such as ``key: a, b``; blank lines and comments go, a key given twice keeps its last line."""
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value").rlike(r"^[^#\s][^:=]*[:=]"))
+    parts = lines.select("line", F.trim(F.regexp_extract("value", r"^([^:=]+)[:=]", 1)).alias("key"), F.regexp_extract("value", r"^[^:=]+[:=](.*)$", 1).alias("rest"))
+    values = F.filter(F.transform(F.split("rest", "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    return parts.groupBy("key").agg(F.max_by(values, "line").alias("values"))
+
+
+def sequence_index(guides_: DataFrame) -> DataFrame:
+    """(sequence, names): every name of each sequence, as several guides may share one."""
+    return guides_.groupBy("sequence").agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def factor_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """A stored factor; with ``rows``, an error where it has another number of rows."""
+    found = spark.read.parquet(path)
+    if rows is not None and found.count() != rows:
+        raise ValueError(f"{path} should have {rows} rows")
+    return found
+
+
+def fetched(requests: DataFrame, fetch: Callable[[dict], dict | None]) -> DataFrame:
+    """Answers of a remote service as (request, answer, error) JSON rows, one session a partition.
+
+    ``fetch`` makes one request; what it raises becomes the row's error, so one failed
+    request loses nothing else.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for request in frame["request"]:
+                try:
+                    answer = fetch(json.loads(request))
+                    out.append((request, None if answer is None else json.dumps(answer), None))
+                except Exception as error:
+                    out.append((request, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(out, columns=["request", "answer", "error"])
+
+    return requests.select(F.to_json(F.struct(*requests.columns)).alias("request")).mapInPandas(each, "request string, answer string, error string")
