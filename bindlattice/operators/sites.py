@@ -145,8 +145,9 @@ def parse_blocks(texts: DataFrame, column: str) -> DataFrame:
     energies from its second; blocks of fewer lines, and those without a position or
     an energy, go.  The block itself is kept as interaction_string.
     """
-    blocks = texts.select("*", F.posexplode(F.split(F.trim(column), "(?=5'-)")).alias("block_pos", "block")).where(F.trim("block") != "")
-    lines = blocks.withColumn("_lines", F.split(F.trim("block"), "\n")).where(F.size("_lines") >= 2).withColumns({"_one": F.get("_lines", F.lit(0)), "_two": F.get("_lines", F.lit(1))})
+    bare = lambda c: F.trim(F.col(c), F.lit(" \t\r\n"))
+    blocks = texts.select("*", F.posexplode(F.split(bare(column), "(?=5'-)")).alias("block_pos", "block")).where(bare("block") != "")
+    lines = blocks.withColumn("_lines", F.split(bare("block"), "\n")).where(F.size("_lines") >= 2).withColumns({"_one": F.get("_lines", F.lit(0)), "_two": F.get("_lines", F.lit(1))})
     first = lambda pattern: F.nullif(F.regexp_extract("_one", pattern, 1), F.lit(""))
     second = lambda pattern: F.nullif(F.regexp_extract("_two", pattern, 1), F.lit(""))
     number = lambda pattern: F.regexp_replace(second(pattern), ",", "").try_cast("double")
@@ -154,6 +155,6 @@ def parse_blocks(texts: DataFrame, column: str) -> DataFrame:
         *texts.columns, "block_pos", first(r"\[(\d+)\.\.\d+\]").try_cast("long").alias("position_start"), first(r"\[\d+\.\.(\d+)\]").try_cast("long").alias("position_end"),
         first(r"\((\w+)\)").alias("region"), first(r"target site:\s*(\S+)").alias("seed_type"), second(r"bridge:\s*(\d+)").try_cast("int").alias("bridge"),
         number(r"phastcons:\s*(-?[\d.]+)").alias("phastcons"), number(r"dG:\s*(-?[\d.]+)").alias("dg"), number(r"Kd:\s*([\d,]+)").alias("kd"),
-        F.contains(F.col("block"), F.lit("TarBase")).alias("validated"), F.trim("block").alias("interaction_string"),
+        F.contains(F.col("block"), F.lit("TarBase")).alias("validated"), bare("block").alias("interaction_string"),
     )
     return out.where("dg is not null and position_start is not null")

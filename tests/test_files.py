@@ -64,3 +64,36 @@ def test_design(spark):
     assert kept.count() > 0 and kept.join(found, "grip").groupBy("grip").agg(F.countDistinct("transcript_id").alias("n")).where("n < 2").count() == 0
     made = design.antisense_candidates(spark.createDataFrame([("g", "ACGU", "GGC")], "grip string, seed4 string, supp3 string"), ["AAAAA"])
     assert 0 < made.count() <= 1024 and made.where("length(antisense) <> 21").count() == 0
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    import pytest
+    from bindlattice.sources import files
+
+    (tmp_path / "k.fa").write_text(">12\nACGT\n>x\nAAAA\n")
+    assert [tuple(r) for r in files.kmer_counts(spark, str(tmp_path / "k.fa")).collect()] == [("ACGU", 12)]
+    (tmp_path / "d.txt").write_text("# c\nkeys: a, b\nmax = 3\n\nkeys: c\n")
+    assert {r["key"]: r["values"] for r in files.design_file(spark, str(tmp_path / "d.txt")).collect()} == {"keys": ["c"], "max": ["3"]}
+    chromosomes = spark.createDataFrame([("1", "ACGUACGU")], "chrom string, sequence string")
+    ranges = spark.createDataFrame([(7, "1", 3, 5)], "id long, chrom string, start int, end int")
+    assert files.genomic_slice(chromosomes, ranges).first()["letters"] == "GUA"
+    guides = spark.createDataFrame([("g", "UGAGGUAGUAGG")], "guide_id string, sequence string")
+    files.write_guides(guides, str(tmp_path / "guides"))
+    assert files.guides_with_seed(spark, str(tmp_path / "guides"), "GAGGUAG").first()["guide_id"] == "g"
+    hits = spark.createDataFrame([("T", "UGAGGUAG", "CDS", 12.345, 0.12345), ("T", "UGAGGUAG", "3UTR", 99.0, 0.5)], "trn string, gseq string, rgn string, kdv double, sac double")
+    files.write_interactions(hits, str(tmp_path / "hits"))
+    got = files.stored_interactions(spark, str(tmp_path / "hits"), "T", "GAGGUAG", 50.0, 2).collect()
+    assert [(r["kdv"], r["sac"]) for r in got] == [(12.35, 0.1235)] or [(r["kdv"], r["sac"]) for r in got] == [(12.35, 0.1234)]
+    assert files.stale(spark, str(tmp_path / "hits"), "2001-01-01").count() == 0
+    asked = files.fetched(spark.createDataFrame([(1,), (2,)], "n long"), lambda r: {"twice": 2 * r["n"]} if r["n"] == 1 else 1 / 0)
+    assert {(r["answer"], (r["error"] or "")[:4]) for r in asked.collect()} == {('{"twice": 2}', ""), (None, "Zero")}
+    with pytest.raises(Exception, match="required"):
+        files.conformed(spark.createDataFrame([(None, "n")], "mirna_id string, name string"), files.MIRNAS).collect()
+
+
+def test_settings_of_a_request(spark):
+    from bindlattice import settings
+
+    f = settings.Filters.of_request({"minSeed": None, "maxKd": 0, "UTR5": False})
+    assert (f.min_seed, f.max_kd, f.utr5, f.cds) == ("6mer", 1500.0, False, True) and f.check() == settings.ScanError.OK
+    assert f.but(cds=False, utr3=False).check() == settings.ScanError.NO_REGION and settings.Filters(min_seed="9mer").check() == settings.ScanError.BAD_SEED

@@ -125,3 +125,52 @@ def test_factorisation_runs_to_its_tolerance(spark):
     for r in (0, 1):
         w, h, errors = brute(factor._start(np.arange(40), r, 2, v.mean()), factor._start(np.arange(7) + 7_777_777, r, 2, v.mean()).T)
         assert len(runs[r]) == len(errors) and np.allclose(hs[r], h, rtol=1e-5) and np.allclose(side[:, 2 * r : 2 * r + 2], w, rtol=1e-5)
+
+
+def test_scan_keeps_uncovered_sites(spark):
+    from bindlattice.operators import scan
+
+    guide = "UGAGGUAGUAGGUUGUAUAGUU"
+    target = "A" * 20 + "AACUAUACAACC" + "CUACUACCUCA" + "A" * 20
+    guides, transcripts = spark.createDataFrame([("g", guide)], "guide_id string, sequence string"), spark.createDataFrame([("t", target)], "transcript_id string, sequence string")
+    rows = scan.scan(guides, transcripts).collect()
+    assert {(r["seed_class"], r["supp_class"]) for r in rows if r["seed_offset"] == 0} == {("A1-7mer", "5mer")}
+    # Hits of letters 3-6 and 4-7 lie one and two letters before the plain hit, which covers them.
+    assert {r["seed_offset"] for r in rows} == {0} and all(1 <= r["bridge"] <= 15 and len(r["window"]) == 31 for r in rows)
+
+
+def test_structures(spark):
+    from bindlattice.operators import structure
+
+    frame = spark.createDataFrame([(1, "((..((...))..))", "GGAAGGAAACCAACC"), (2, "(((...)))(...)", "GGGAAACCCGAAAC"), (3, "....", "AAAA")], "id long, structure string, sequence string")
+    assert {r["id"]: r["shape"] for r in structure.shapes(frame).collect()} == {1: "()", 2: "()()", 3: ""}
+    assert {(r["id"], r["first"], r["last"]) for r in structure.loops(frame).where("hairpin").collect()} == {(1, 6, 8), (2, 3, 5), (2, 10, 12)}
+    assert {(r["i"], r["left"], r["right"]) for r in structure.interiors(frame.where("id = 1")).collect()} == {(0, 0, 0), (1, 2, 2), (4, 0, 0)}
+    assert {r["type"] for r in structure.pair_types(frame).collect()} == {")"}
+    r = spark.range(1).select(structure.accessible(F.lit("((....))")).alias("a"), structure.accessible(F.lit("..(")).alias("b"), structure.is_shape(F.lit("(()")).alias("c"), structure.is_shape(F.lit(")(")).alias("d"), structure.is_shape(F.lit("(.)")).alias("e")).first()
+    assert tuple(r) == (True, False, False, False, True)
+
+
+def test_exact_percentiles_and_top_residuals(spark):
+    rng = np.random.default_rng(5)
+    values = np.round(rng.exponential(5, 3000), 2)
+    frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    got = matrix.order_statistics(frame, "v", [0.0, 0.5, 0.95, 1.0], bins=8, most=20)
+    assert np.allclose(got, np.quantile(values, [0.0, 0.5, 0.95, 1.0]))
+    pairs = spark.createDataFrame([(1, "a", 9.0), (2, "a", 1.0), (3, "b", 2.0)], "row_id long, col_id string, w double")
+    found = {(r["col_id"], r["rn"]): (r["row_id"], r["v"]) for r in matrix.top_residual(pairs, 2).collect()}
+    assert found == {("a", 1): (1, 5.666667), ("a", 2): (2, matrix.FLOOR), ("b", 1): (3, 1.333333), ("b", 2): (1, matrix.FLOOR)}
+
+
+def test_as_of_carries_values_over_bins(spark):
+    events = spark.createDataFrame([(1, 5, "x"), (1, 70_000, "y"), (2, 3, None)], "k int, at long, v string")
+    probes = spark.createDataFrame([(1, 4, 1), (1, 6, 2), (1, 69_999, 3), (1, 500_000, 4), (2, 9, 5), (3, 9, 6)], "k int, at long, probe long")
+    assert {r["probe"]: r["v"] for r in joins.as_of(events, probes, "k", "at", "v", "probe").collect()} == {1: None, 2: "x", 3: "x", 4: "y", 5: None, 6: None}
+    spans = spark.createDataFrame([(1, 5, 8, 7.0)], "k int, start long, end long, v double")
+    assert {r["probe"]: r["v"] for r in joins.point_in_interval(spans, probes, "k", "at", "v", "probe", -1.0).collect()} == {1: -1.0, 2: 7.0, 3: -1.0, 4: -1.0, 5: -1.0, 6: -1.0}
+
+
+def test_blocks_read_their_own_lines(spark):
+    text = "5'-AC-3' X [12..42] (CDS) target site: 6mer\n|| bridge: 6 dG: -3.5 Kd: 10\n3'-GG-5' m\n5'-AC-3' X [1..2] no second line"
+    rows = site.parse_blocks(spark.createDataFrame([(text,), ("5'-A-3' X\n[1..9] (CDS) dG: -1.0",)], "t string"), "t").collect()
+    assert [(r["position_start"], r["kd"], r["interaction_string"].count("\n")) for r in rows] == [(12, 10.0, 2)]
