@@ -67,6 +67,7 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     path = f"{shared_folder(spark)}/bindlattice-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     atexit.register(_remove, spark, path.rpartition("/")[0])
+    trim()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +80,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
 def give_back() -> None:
     """Return the memory that a task freed to the system; workers live on between tasks."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Return free memory to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

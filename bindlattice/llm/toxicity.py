@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindlattice.llm import textkit
-from bindlattice.llm.common import arrow_map, batch, quoted, read, stage
+from bindlattice.llm.common import arrow_map, batch, give_back, quoted, read, stage
 from bindlattice.llm.fit import Constant, Logistic, Mean, held_out_third, labelled_sample
 from bindlattice.llm.quality import Trees
 
@@ -292,7 +292,11 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     known, _ = labelled_sample(short, labels, "toxic", held_out_third(F.col("doc_id")), sample)
     got = stage(known.select("doc_id", "label", "text"), "sample").toArrow().sort_by("doc_id")
     texts, label = got.column("text").to_pylist(), got.column("label").to_pylist()
-    return fit([t for t, y in zip(texts, label, strict=True) if y == 1], [t for t, y in zip(texts, label, strict=True) if y == 0])
+    del got
+    model = fit([t for t, y in zip(texts, label, strict=True) if y == 1], [t for t, y in zip(texts, label, strict=True) if y == 0])
+    del texts
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
