@@ -8,8 +8,11 @@ from dataclasses import dataclass, replace
 from enum import IntEnum
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from bindlattice.operators import scan as scanning
+from bindlattice.functions import sequence as seq
+from bindlattice.operators import joins
+from bindlattice.operators import site_scan as scanning
 from bindlattice.operators import sites as site
 
 # Names of environment variables.
@@ -70,12 +73,45 @@ def environment() -> dict[str, str]:
     return {name: os.environ[name] for name in VARIABLES if os.environ.get(name)}
 
 
-def scan(guides: DataFrame, transcripts: DataFrame, filters: Filters = Filters()) -> DataFrame:
-    """Sites of guides in transcripts under the filters that need no annotation; an error code where they contradict themselves."""
+def annotated(sites: DataFrame, coding: DataFrame | None = None, unpaired: DataFrame | None = None, conserved: DataFrame | None = None) -> DataFrame:
+    """Sites of a scan with region, seed_acc, supp_acc and conservation.
+
+    coding: transcript_id, cds_start, cds_end (places, both counted); unpaired: transcript_id
+    and an array ``p``, for each place how likely it pairs; conserved: transcript_id, start,
+    end, value, half-open.  Conservation is 31 times the mean over the window, rounded, and
+    the mean is -1 where no value lies in it.  What is not given lets every site pass: all
+    regions, accessibility 1, conservation -1 (no score).  Transcripts without a row in a
+    given table have no region, no accessibility and no conserved place.
+    """
+    start, end, g13 = F.col("g2") - (site.WINDOW - 2), F.col("g2") + 1, F.col("g2") - 7 - F.col("bridge")
+    out = sites.withColumn("supp_type", F.col("supp_class"))
+    if coding is None:
+        out = out.withColumn("region", F.lit("5UTR and CDS and 3UTR"))
+    else:
+        bounds = coding.select("transcript_id", "cds_start", "cds_end")
+        label = F.when(F.col("cds_start").isNull(), "").otherwise(seq.region_label(start, end, F.col("cds_start"), F.col("cds_end")))
+        out = out.join(bounds, "transcript_id", "left").withColumn("region", label).drop("cds_start", "cds_end")
+    if unpaired is None:
+        out = out.withColumns({"seed_acc": F.lit(1.0), "supp_acc": F.lit(1.0)})
+    else:
+        least = lambda b: F.coalesce(1 - F.array_min(F.slice("p", b + 1, F.lit(4))), F.lit(0.0))
+        out = out.join(unpaired.select("transcript_id", "p"), "transcript_id", "left").withColumns({"seed_acc": least(F.col("g2") - 3), "supp_acc": least(g13 - 3)}).drop("p")
+    if conserved is None:
+        return out.withColumn("conservation", F.lit(-1))
+    # A window is asked once, however many sites share it.
+    asked = out.select("transcript_id", "g2").distinct().withColumns({"q_start": start.cast("long"), "q_end": (end + 1).cast("long"), "probe": F.struct("transcript_id", "g2")})
+    mean = joins.overlap_mean(conserved, asked, "transcript_id", "probe", "value", 4 * site.WINDOW)
+    score = mean.select("probe.transcript_id", "probe.g2", F.round(site.WINDOW * F.col("mean")).cast("int").alias("conservation"))
+    return out.join(score, ["transcript_id", "g2"])
+
+
+def scan(guides: DataFrame, transcripts: DataFrame, filters: Filters = Filters(), coding: DataFrame | None = None, unpaired: DataFrame | None = None, conserved: DataFrame | None = None) -> DataFrame:
+    """Sites of guides in transcripts that pass every filter; an error code where the filters contradict themselves.
+
+    See ``annotated`` for the tables that region, accessibility and conservation are read from.
+    """
     error = filters.check()
     if error:
         raise ValueError(f"{int(error)}: {error.name}")
-    found = scanning.scan(guides, transcripts, max_kd=filters.max_kd)
-    if filters.min_seed != "seedless":
-        found = found.where((found["seed_class"] != "seedless") & (found["seed_class"].substr(-4, 4) >= filters.min_seed))
-    return found.where("supp_class <> 'suppless'") if filters.supp_paired else found
+    found = scanning.scan_sites(guides, transcripts, max_kd=filters.max_kd)
+    return annotated(found, coding, unpaired, conserved).where(filters.condition()).drop("supp_type")
