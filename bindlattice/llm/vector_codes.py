@@ -141,7 +141,7 @@ def _sums(batches: Iterator[pa.RecordBatch], trees: Broadcast, width: int) -> It
     parts, entries, size = len(searches), len(searches[0].entries), width // len(searches)
     counts, sums = np.zeros((parts, entries), np.int64), np.zeros((parts, entries, 2 * size), np.int64)
     for b in batches:
-        vectors = _matrix(b.column(0), width).reshape(-1, parts, size)
+        vectors = _matrix(b.column(0), width).reshape(b.num_rows, parts, size)
         for p, search in enumerate(searches):
             found, _ = search.nearest(vectors[:, p])
             counts[p] += np.bincount(found, minlength=entries)
@@ -180,7 +180,7 @@ def _codes(batches: Iterator[pa.RecordBatch], trees: Broadcast, width: int) -> I
     parts, size = len(searches), width // len(searches)
     digits = max(2, len(f"{len(searches[0].entries) - 1:x}"))
     for b in batches:
-        vectors = _matrix(b.column(b.schema.get_field_index("vector")), width).reshape(-1, parts, size)
+        vectors = _matrix(b.column(b.schema.get_field_index("vector")), width).reshape(b.num_rows, parts, size)
         found = [search.nearest(vectors[:, p]) for p, search in enumerate(searches)]
         error = [min(sum(map(int, each)), _LONG) for each in zip(*(away.tolist() for _, away in found), strict=True)]
         code = ["".join(f"{i:0{digits}x}" for i in each) for each in zip(*(at.tolist() for at, _ in found), strict=True)]
