@@ -57,6 +57,40 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+_records: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(folders: list[str]) -> Iterator[None]:
+    """Inside, the folders of what is staged are added to a list."""
+    _records.append(folders)
+    try:
+        yield
+    finally:
+        _records.pop()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, which goes when the application ends, or before by ``release``."""
+    folder = f"{shared_folder(spark)}/bindlattice-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    if _records:
+        _records[-1].append(folder)
+    return folder
+
+
+def release(spark: SparkSession, folders: list[str], kept: DataFrame) -> None:
+    """Remove recorded folders that ``kept`` does not read, and let Spark drop the shuffles of plans that are gone."""
+    files = kept.inputFiles() if folders else []
+    read = [f for f in folders if any(f.rpartition("/")[2] in file for file in files)]
+    for folder in set(folders) - set(read):
+        _remove(spark, folder)
+    folders[:] = read
+    gc.collect()
+    with contextlib.suppress(Exception):
+        spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -64,9 +98,8 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     files survive lost executors and go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/bindlattice-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    atexit.register(_remove, spark, path.rpartition("/")[0])
     trim()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,9 +22,7 @@ empty table gives no rows; texts of any length are encoded whole.
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -38,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindlattice.llm import textkit
-from bindlattice.llm.common import _remove, arrow_map, batch, quoted, read, shared_folder, stage
+from bindlattice.llm.common import arrow_map, batch, new_folder, quoted, read, stage
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -299,8 +297,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 def tokens_of(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row, read back from files in the shared folder."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/bindlattice-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = new_folder(spark)
     write_token_files(docs, f"{path}/tokens")
     return read_token_files(spark, f"{path}/tokens", digest=True)
 

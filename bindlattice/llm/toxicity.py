@@ -1,30 +1,38 @@
 """Toxicity by compression distance: two zstandard dictionaries, window lengths, calibration.
 
-Fit (driver, from at most SAMPLE_DOCS labelled rows of each class, of texts of at
-most SAMPLE_BYTES bytes)
-    A window is WINDOW words, a new one every STEP words.  The ordinary dictionary
-    is trained on windows of ordinary texts.  The toxic dictionary must know what
-    toxic texts add to the language that both share, so both hold the dictionary of
-    the language, trained on one half of the ordinary windows, and end in a part
-    that is trained on its own class.  Both parts start from all windows of their
-    class, and are trained anew in ROUNDS rounds: on what the compressors tell
-    apart.  A round takes the toxic windows whose difference of compressed lengths
-    is beyond almost all ordinary ones, and, for the other part, the ordinary
-    windows that look most toxic; of each window it keeps the words without which
-    the difference shrinks most.  Rounds alternate between two halves of the texts:
-    what one half taught is tried on the other, so what only one text has, goes.
-    The two neighbouring rounds that tell unseen texts apart best make the parts.
-    Toxic texts that still look like most ordinary ones get another turn of their
-    own, of TURNS at most, so that no language is lost behind a larger one.
+Texts are lower-cased, and the first START bytes of every word are written in capitals,
+so that a compressor tells how a word starts from what it holds.  A window is WINDOW
+words, a new one every STEP words.
+
+Fit (tasks, from at most SAMPLE_DOCS labelled rows of each class, of texts of at most
+SAMPLE_BYTES bytes)
+    Both dictionaries hold the language that the classes share, that is windows of one
+    half of the ordinary texts, and end in a part that is trained on their own class by
+    zstandard's trainer: the ordinary part on windows of the other half of the ordinary
+    texts, the toxic part on windows of the toxic ones.  Both parts start from the words
+    that the language compresses worst, and are trained anew in rounds on what the
+    compressors tell apart.  A round takes the windows of each toxic text whose difference
+    of compressed lengths is beyond almost all ordinary ones, and, for the other part, the
+    ordinary windows that look most toxic; of each window it keeps the words without which
+    the difference shrinks most.  Rounds alternate between two halves of the texts: what
+    one half taught is tried on the other, so what only one text has, goes.  The two
+    neighbouring rounds that tell unseen texts apart best make the parts.  Toxic texts that
+    still look like most ordinary ones get another turn of their own, which is kept if it
+    leaves fewer of them.  RESTARTS tasks do this, each from another draw of the halves;
+    the one that tells unseen texts apart best is the model.
 Score (executors, every text whole)
-    Each window is compressed with either dictionary.  A document is described by
-    how many of its windows reach each difference of the two lengths, plain and as
-    a share of its windows; boosted trees and a logistic
-    model, calibrated on the sample, hold these against thresholds and give the score.
+    Each window is compressed with either dictionary.  A document is described by how many
+    of its windows reach each difference of the two lengths, plain and as a share of its
+    windows.  The thresholds on these counts are calibrated on the sample by boosted trees
+    and a logistic model, whose mean is the score.
+
+``Bounds`` holds what bounds the fit besides the sample: bytes of the dictionaries, windows
+that train, rounds and turns.  None of them bounds what is scored.
 
 Defined results: null, empty and wordless texts get the score of a text without
 windows; a text of fewer than WINDOW words is one window; a sample with one class
-only scores all by its label, without any label 0.5; a null doc_id is not held out
+only scores all by its label, without any label 0.5; few toxic texts train like many, a
+single one on all that there is; a null doc_id is not held out
 and never trains; every row gives one row, repeats included; of a doc_id on several
 rows one text trains; columns other than id and text are not read; texts of any
 length are scored whole, a slice at a time.
@@ -33,7 +41,9 @@ length are scored whole, a slice at a time.
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -49,26 +59,56 @@ from bindlattice.llm.quality import Trees
 
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 20_000
 THRESHOLD = 0.7
-WINDOW, STEP = 8, 4
-#: Bytes of the dictionary of the language, and of each class's part at the start and later.
-LANGUAGE_BYTES, FIRST_BYTES, PART_BYTES = 1 << 19, 4096, 2048
-#: Bytes of a later part to each toxic text of the sample, so that few texts are not learnt by heart, and the least.
-BYTES_TO_TEXT, LEAST_BYTES = 4, 512
-ROUNDS, TURNS = 6, 4
-#: Share of ordinary texts that a toxic text must look more toxic than, and texts that are worth another turn.
-UNTOLD, LEAST_TEXTS = 0.97, 20
-#: Share of ordinary windows below the difference beyond which a round takes windows, for its first rounds and the last ones.
-BEYOND = (0.998, 0.996, 0.994, 0.99)
-#: Bytes by which the difference must shrink without a word.
-LEAST_DROP = 3
-TRAIN_WINDOWS = 100_000
-#: Windows of one text that the first parts are trained on, and that a round takes.
-TEXT_WINDOWS, TELLING_WINDOWS = 64, 8
+WINDOW, STEP, START = 8, 4, 4
+RESTARTS = 3
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What bounds the fit besides the sample."""
+
+    #: Bytes of the shared language, and of each class's part at the start and later.
+    language_bytes: int = 1 << 19
+    first_bytes: int = 4096
+    part_bytes: int = 2048
+    #: Bytes of a later part to each toxic text of the sample, so that few texts are not learnt by heart, and the least.
+    bytes_to_text: int = 4
+    least_bytes: int = 512
+    rounds: int = 6
+    turns: int = 3
+    #: Share of ordinary texts that a toxic text must look more toxic than.
+    untold: float = 0.97
+    #: Share of ordinary windows below the difference beyond which a round takes windows, for its first rounds and the later ones.
+    beyond: tuple[float, ...] = (0.98, 0.98, 0.99)
+    #: Bytes by which the difference must shrink without a word.
+    least_drop: int = 3
+    #: Bytes of the words that the first parts are trained on, at least; shorter ones no compressor finds.
+    least_word: int = 5
+    #: Windows of the language and of the ordinary half at most, windows that the first parts take words from, and of one text there and in a round.
+    language_windows: int = 100_000
+    first_windows: int = 20_000
+    text_windows: int = 64
+    telling_windows: int = 4
+
+
 #: Matches are sought up to eight bytes before a window's end.
 STRATEGY = zstandard.STRATEGY_BTLAZY2
 #: Differences that are told apart.
 LEAST, MOST = -4, 20
 _SHARES = slice(1 - LEAST, 8 - LEAST)
+_CAPITAL = np.arange(256, dtype=np.uint8)
+_CAPITAL[0x61:0x7B] -= 32
+
+
+def prepared(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of some texts in lower case with word starts in capitals, (offset, length) of their windows, and windows before each text."""
+    raw = textkit.lower_bytes(raw)
+    start, end, before = textkit.words(raw, offsets)
+    for k in range(START):
+        at = start + k
+        at = at[at < end]
+        raw[at] = _CAPITAL[raw[at]]
+    return raw, *windows(start, end, before)
 
 
 def windows(start: np.ndarray, end: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,12 +159,9 @@ class Windows:
     """Distinct windows of some texts in one buffer."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        raw, offsets = textkit.buffers(pa.array(texts, pa.string()))
-        raw = textkit.lower_bytes(raw)
-        start, end, before = textkit.words(raw, offsets)
-        spans, till = windows(start, end, before)
+        raw, spans, till = prepared(*textkit.buffers(pa.array(texts, pa.string())))
         self.raw = raw.tobytes()
-        self.names = textkit.word_hashes(raw, spans[:, 0], spans.sum(axis=1))
+        self.names = textkit.word_hashes(raw, spans[:, 0], spans.sum(axis=1), lower=False)
         self.names, first = np.unique(self.names, return_index=True)
         self.spans, self.text = spans[first], np.searchsorted(till, first, "right")
 
@@ -156,30 +193,19 @@ class Dictionaries:
     def differences(self, raw: bytes, spans: np.ndarray) -> np.ndarray:
         return self.ordinary.lengths(raw, spans) - self.toxic.lengths(raw, spans)
 
-    def telling(self, held: Windows, rows: np.ndarray, differences: np.ndarray) -> list[bytes]:
-        """The words of windows without which the difference shrinks most."""
-        without, words_of, sizes = [], [], []
-        for window in held.some(rows):
-            words = window.split()
-            words_of += words
-            sizes.append(len(words))
-            without += [b" ".join(words[:i] + words[i + 1 :]) for i in range(len(words))]
-        if not without:
+    def telling(self, held: Windows, rows: np.ndarray, differences: np.ndarray, least: int) -> list[bytes]:
+        """The words of windows without which the difference shrinks most, by ``least`` bytes or more."""
+        words, drop, first, sizes = _without_each_word(held.some(rows), self.differences, differences[rows])
+        if not words:
             return []
-        lengths = np.fromiter(map(len, without), np.int64, len(without))
-        left = self.differences(b"".join(without), np.stack((np.cumsum(lengths) - lengths, lengths), axis=1))
-        sizes = np.array(sizes)
-        first = np.cumsum(sizes) - sizes
-        drop = np.repeat(differences[rows], sizes) - left
         most = np.repeat(np.maximum.reduceat(drop, first), sizes)
-        return [words_of[i] for i in np.flatnonzero((drop == most) & (drop >= LEAST_DROP))]
+        return [words[i] for i in np.flatnonzero((drop == most) & (drop >= least))]
 
     def features(self, column: pa.Array) -> Iterator[np.ndarray]:
         """For each difference how many windows reach it, as a logarithm, whether any does, and for some their share."""
         raw, offsets = textkit.buffers(column)
         for i, j in textkit.slices(offsets):
-            part, at = textkit.lower_bytes(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
-            spans, till = windows(*textkit.words(part, at))
+            part, spans, till = prepared(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             value = np.clip(self.differences(part.tobytes(), spans), LEAST, MOST) - LEAST
             for k in range(j - i):
                 n = till[k + 1] - till[k]
@@ -189,6 +215,26 @@ class Dictionaries:
                 yield np.concatenate((np.log1p(reached), np.minimum(reached, 1), [size], np.log1p(some) * size / 8, some / max(n, 1) * 10))
 
 
+def _without_each_word(found: list[bytes], measure: Callable[[bytes, np.ndarray], np.ndarray], whole: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of windows, by how much each window's measure shrinks without the word, and each window's first word and number of words."""
+    without, words_of, sizes = [], [], []
+    for window in found:
+        words = window.split()
+        words_of += words
+        sizes.append(len(words))
+        without += [b" ".join(words[:i] + words[i + 1 :]) for i in range(len(words))]
+    lengths = np.fromiter(map(len, without), np.int64, len(without))
+    left = measure(b"".join(without), np.stack((np.cumsum(lengths) - lengths, lengths), axis=1)) if without else np.zeros(0, np.int64)
+    sizes = np.array(sizes, np.int64)
+    return words_of, np.repeat(whole, sizes) - left, np.cumsum(sizes) - sizes, sizes
+
+
+def _unheard(language: Compressor, held: Windows, rows: np.ndarray, least_word: int) -> list[bytes]:
+    """Words that cost the language's compressor as many bytes as they have, or more."""
+    words, cost, _, _ = _without_each_word(held.some(rows), language.lengths, language.lengths(held.raw, held.spans[rows]))
+    return [w for w, c in zip(words, cost.tolist(), strict=True) if c >= len(w) >= least_word]
+
+
 def _joined(pieces: list[bytes], order: np.random.Generator) -> list[bytes]:
     shuffled = [pieces[i] for i in order.permutation(len(pieces))]
     return [b" " + b" ".join(shuffled[i : i + WINDOW]) + b" " for i in range(0, len(shuffled), WINDOW)]
@@ -201,13 +247,19 @@ def _means(value: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return there, (np.bincount(text, np.clip(value, 0, 8).astype(np.float64)) / np.maximum(size, 1))[there]
 
 
-def _taught(language: bytes, held: list[bytes], plain: Windows, odd: Windows, rng: np.random.Generator) -> list[bytes]:
-    """Parts (ordinary, toxic) that go before what is held: those of the two neighbouring rounds that tell unseen texts apart best."""
+def _taught(language: bytes, held: list[bytes], plain: Windows, odd: Windows, rng: np.random.Generator, bounds: Bounds) -> tuple[list[bytes], float]:
+    """Parts (ordinary, toxic) that go before what is held, those of the two neighbouring rounds that tell unseen texts apart best, and how well: the mean share of ordinary texts that a toxic one looks more toxic than."""
     halves = [[w.part(w.text % 2 == k) for k in (0, 1)] for w in (plain, odd)]
-    later = min(PART_BYTES, max(LEAST_BYTES, BYTES_TO_TEXT * len(np.unique(odd.text))))
-    parts = [_trained(w[1].some(w[1].foremost(rng.permutation(len(w[1].names)), TEXT_WINDOWS)[:TRAIN_WINDOWS]), FIRST_BYTES) for w in halves]
+    # Where a class has one text, both halves are all of it.
+    halves = [pair if all(len(h.names) for h in pair) else [w, w] for pair, w in zip(halves, (plain, odd), strict=True)]
+    later = min(bounds.part_bytes, max(bounds.least_bytes, bounds.bytes_to_text * len(np.unique(odd.text))))
+    known = Compressor(language + held[1])
+    parts = []
+    for w in halves:
+        rows = w[1].foremost(rng.permutation(len(w[1].names)), bounds.text_windows)[: bounds.first_windows]
+        parts.append(_trained(_joined(_unheard(known, w[1], rows, bounds.least_word), rng), bounds.first_bytes))
     best, most, before = parts, -1.0, [b"", b""]
-    for r in range(ROUNDS + 1):
+    for r in range(bounds.rounds + 1):
         here, there = halves[1][r % 2], halves[0][r % 2]
         found = Dictionaries(language, *(p + h for p, h in zip(parts, held, strict=True)))
         own, other = found.differences(here.raw, here.spans), found.differences(there.raw, there.spans)
@@ -217,48 +269,65 @@ def _taught(language: bytes, held: list[bytes], plain: Windows, odd: Windows, rn
         apart = float(np.searchsorted(low, _means(own, here.text)[1]).mean() / len(low))
         if apart > most and r > 0:
             best, most = [a + b for a, b in zip(before, parts, strict=True)] if r > 1 else parts, apart
-        if r == ROUNDS:
+        if r == bounds.rounds:
             break
-        least = np.quantile(other, BEYOND[min(r, len(BEYOND) - 1)])
+        least = np.quantile(other, bounds.beyond[min(r, len(bounds.beyond) - 1)])
         ranked = np.argsort(-own, kind="stable")
-        beyond = here.foremost(ranked[own[ranked] > least], TELLING_WINDOWS)
-        likest = there.foremost(np.argsort(-other, kind="stable"), TELLING_WINDOWS)[: max(len(beyond), 200)]
-        pieces = found.telling(here, beyond, own)
+        beyond = here.foremost(ranked[own[ranked] > least], bounds.telling_windows)
+        likest = there.foremost(np.argsort(-other, kind="stable"), bounds.telling_windows)[: max(len(beyond), 200)]
+        pieces = found.telling(here, beyond, own, bounds.least_drop)
         if not pieces:
             break
-        before, parts = parts, [_trained(_joined(p, rng), later) for p in (found.telling(there, likest, other), pieces)]
-    return best
+        before, parts = parts, [_trained(_joined(p, rng), later) for p in (found.telling(there, likest, other, bounds.least_drop), pieces)]
+    return best, most
 
 
-def train(toxic: list[str | None], ordinary: list[str | None]) -> Dictionaries:
-    rng = np.random.default_rng(1)
+def train(toxic: list[str | None], ordinary: list[str | None], seed: int = 1, bounds: Bounds = Bounds()) -> tuple[Dictionaries, float]:
+    """Dictionaries from one draw of the halves, and how well they tell unseen texts apart."""
+    rng = np.random.default_rng(seed)
     plain, odd = Windows(ordinary), Windows(toxic)
     odd.keep(np.flatnonzero(~np.isin(odd.names, plain.names)))
     order = rng.permutation(len(plain.names))
-    half = min(TRAIN_WINDOWS, len(order) // 2)
-    language = b" ".join(plain.some(order[:half]))[:LANGUAGE_BYTES]
-    plain.keep(order[half : 2 * half])
-    held, left = [b"", b""], odd
-    for _ in range(TURNS):
-        if len(np.unique(left.text)) < LEAST_TEXTS:
+    half = min(bounds.language_windows, len(order) // 2)
+    language = b" ".join(plain.some(order[:half]))[: bounds.language_bytes]
+    plain.keep(np.sort(order[half : 2 * half]))
+    held, apart, left, untold = [b"", b""], -1.0, odd, len(toxic) + 1
+    for _ in range(bounds.turns):
+        if not len(left.names):
             break
-        held = [p + h for p, h in zip(_taught(language, held, plain, left, rng), held, strict=True)]
-        found = Dictionaries(language, *held)
-        high = np.quantile(_means(found.differences(plain.raw, plain.spans), plain.text)[1], UNTOLD)
+        parts, told = _taught(language, held, plain, left, rng, bounds)
+        tried = [p + h for p, h in zip(parts, held, strict=True)]
+        found = Dictionaries(language, *tried)
+        plain_means = _means(found.differences(plain.raw, plain.spans), plain.text)[1]
         texts, means = _means(found.differences(odd.raw, odd.spans), odd.text)
-        left = odd.part(np.isin(odd.text, texts[means <= high]))
-    return Dictionaries(language, *held)
+        still = texts[means <= (np.quantile(plain_means, bounds.untold) if len(plain_means) else 0.0)]
+        if len(still) >= untold:
+            break
+        held, apart, untold = tried, max(apart, told), len(still)
+        left = odd.part(np.isin(odd.text, still))
+    return Dictionaries(language, *held), apart
 
 
-def fit(toxic: list[str | None], ordinary: list[str | None]) -> tuple[Dictionaries, object]:
-    """The dictionaries, and trees that turn a text's differences into its score; each text of the sample counts once."""
+def fit(toxic: list[str | None], ordinary: list[str | None], seed: int = 1, bounds: Bounds = Bounds()) -> tuple[Dictionaries, object, float]:
+    """Dictionaries, the models that turn a text's differences into its score, and how well the dictionaries tell unseen texts apart; each text of the sample counts once."""
     if not len(toxic) or not len(ordinary):
-        return Dictionaries(b"", b"", b""), Constant(1.0 if len(toxic) else 0.0 if len(ordinary) else 0.5)
-    found = train(toxic, ordinary)
+        return Dictionaries(b"", b"", b""), Constant(1.0 if len(toxic) else 0.0 if len(ordinary) else 0.5), 0.0
+    found, apart = train(toxic, ordinary, seed, bounds)
     x = np.array(list(found.features(pa.array([*ordinary, *toxic], pa.string()))))
     y = np.repeat([0.0, 1.0], [len(ordinary), len(toxic)])
     same = np.ones(len(y))
-    return found, Mean([Logistic(x, y, same), Trees(x, y, same)])
+    return found, Mean([Logistic(x, y, same), Trees(x, y, same)]), apart
+
+
+def _fit_group(sample: pa.Table, bounds: Bounds) -> pa.Table:
+    """One restart: the sample's texts in, the pickled model out."""
+    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    seed = sample.column("restart")[0].as_py()
+    texts, label = sample.column("text").to_pylist(), sample.column("label").to_pylist()
+    *model, apart = fit([t for t, y in zip(texts, label, strict=True) if y == 1], [t for t, y in zip(texts, label, strict=True) if y == 0], seed, bounds)
+    del texts
+    give_back()
+    return pa.table({"restart": pa.array([seed], pa.int32()), "apart": pa.array([apart]), "model": pa.array([pickle.dumps(tuple(model))], pa.binary())})
 
 
 def _scores(texts: pa.Array, found: Dictionaries, model: object) -> np.ndarray:
@@ -280,26 +349,30 @@ def _ordinary_rows(batches: Iterator[pa.RecordBatch], text: int, found: Dictiona
             yield b.filter(pa.array(_scores(b.column(text), found, model) < THRESHOLD))
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> tuple[Dictionaries, object]:
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, restarts: int = RESTARTS, bounds: Bounds = Bounds()) -> tuple[Dictionaries, object]:
     """Dictionaries and model of the labelled rows that are not held out.
 
-    At most ``sample`` labelled rows of each class train, of texts of at most
-    ``sample_bytes`` bytes each, so at most 2 * sample * sample_bytes bytes come to
-    the driver.
+    At most ``sample`` labelled rows of each class train, of texts of at most ``sample_bytes``
+    bytes each, so each of the ``restarts`` tasks gets at most 2 * sample * sample_bytes bytes;
+    the driver gets models only, of about a megabyte each.
     """
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes)
     known, _ = labelled_sample(short, labels, "toxic", held_out_third(F.col("doc_id")), sample)
-    got = stage(known.select("doc_id", "label", "text"), "sample").toArrow().sort_by("doc_id")
-    texts, label = got.column("text").to_pylist(), got.column("label").to_pylist()
-    del got
-    model = fit([t for t, y in zip(texts, label, strict=True) if y == 1], [t for t, y in zip(texts, label, strict=True) if y == 0])
-    del texts
-    give_back()
-    return model
+    known = stage(known.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")), "sample")
+    each = known.withColumn("restart", F.explode(F.sequence(F.lit(1), F.lit(restarts))))
+
+    def fitted(group: pa.Table) -> pa.Table:
+        return _fit_group(group, bounds)
+
+    tried = each.groupBy("restart").applyInArrow(fitted, "restart int, apart double, model binary")
+    found = sorted(tried.collect(), key=lambda r: (-r["apart"], r["restart"]))
+    if not found:
+        return fit([], [])[:2]
+    return pickle.loads(found[0]["model"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: object) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; ``bounds`` are those of ``learned``."""
     found, model = learned(docs, labels, id_col, text_col, **bounds)
     doc_id = quoted(id_col).cast("long")
@@ -307,7 +380,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return arrow_map(asked, partial(_score, found=found, model=model), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def ordinary_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+def ordinary_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: object) -> DataFrame:
     """The rows of docs, with all their columns, that are not called toxic; ids play no part in the decision."""
     found, model = learned(docs, labels, id_col, text_col, **bounds)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))

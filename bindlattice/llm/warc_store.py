@@ -28,13 +28,10 @@ kept whole; an empty table gives an empty archive; other columns are not read.
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindlattice.llm.common import _remove, quoted, read, shared_folder, stage
+from bindlattice.llm.common import new_folder, quoted, read, stage
 
 LEAST_BYTES = 1000
 #: Partial rows of one payload, at most, and records of one payload in one share, about.
@@ -149,8 +146,7 @@ def export_warc(spark: SparkSession, path: str, to: str) -> None:
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/bindlattice-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = new_folder(spark)
     write_archive(read(spark, sf_dir, "pages"), f"{path}/archive")
     return read_archive(spark, f"{path}/archive").drop("target_uri")
 

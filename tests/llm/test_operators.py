@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
@@ -599,7 +600,7 @@ def test_each_dictionary_is_needed():
     rng = np.random.default_rng(6)
     plain = [f"w{i}x{i % 7}" for i in range(400)]
     text = lambda bad: " ".join([*rng.choice(plain, 20), "abominable" if bad else str(rng.choice(plain)), *rng.choice(plain, 20)])
-    found, model = toxicity.fit([text(True) for _ in range(120)], [text(False) for _ in range(240)])
+    found, model, _ = toxicity.fit([text(True) for _ in range(120)], [text(False) for _ in range(240)])
     fresh = pa.array([text(i < 60) for i in range(180)])
     right = lambda f: ((model.predict(np.array(list(f.features(fresh)))) >= toxicity.THRESHOLD) == (np.arange(180) < 60)).mean()
     assert right(found) > 0.95
@@ -607,3 +608,42 @@ def test_each_dictionary_is_needed():
         broken = toxicity.Dictionaries(b"", found.ordinary.content, found.toxic.content)
         setattr(broken, side, toxicity.Compressor(b""))
         assert right(broken) < 0.8
+    # The toxic class's own part alone, behind the language that both hold, makes toxic texts known.
+    shared = len(os.path.commonprefix([found.ordinary.content, found.toxic.content]))
+    assert 0 < shared < len(found.toxic.content)
+    bare = toxicity.Dictionaries(b"", found.ordinary.content, found.toxic.content[:shared])
+    assert model.predict(np.array(list(bare.features(fresh.slice(0, 60))))).max() < toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 15, 100])
+def test_few_toxic_texts_train(n):
+    rng = np.random.default_rng(n)
+    plain = [f"w{i}x{i % 7}" for i in range(400)]
+    bad = ["abominable", "dreadfulness", "horrendous"]
+
+    def text(toxic):
+        words = [str(w) for w in rng.choice(plain, 60)]
+        for i in rng.choice(60, 6, replace=False) if toxic else ():
+            words[i] = str(rng.choice(bad))
+        return " ".join(words)
+
+    found, model, _ = toxicity.fit([text(True) for _ in range(n)], [text(False) for _ in range(300)])
+    called = lambda texts: model.predict(np.array(list(found.features(pa.array(texts))))) >= toxicity.THRESHOLD
+    assert called([text(False) for _ in range(200)]).mean() <= 0.01
+    if n >= 5:
+        assert called([text(True) for _ in range(50)]).mean() >= 0.9
+
+
+def test_toxicity_of_long_texts_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    plain = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join([*rng.choice(plain, 30), "dreadfulness" if i % 4 == 0 else str(rng.choice(plain)), *rng.choice(plain, 10)])) for i in range(300)]
+    long = " ".join(rng.choice(plain, 200_000))
+    rows += [(1000, long), (1001, long[:500_000] + " dreadfulness" * 8 + long[500_000:]), (1002, long), (1002, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "held_out", "restart", "label", "model")})
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, known).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] in (1000, 1002)}) == 1
+    assert sum(r["predicted"] != int(r["doc_id"] % 4 == 0) for r in got if r["doc_id"] < 300) <= 6
+    again = toxicity.score_toxicity(docs.repartition(7), known).collect()
+    assert sorted((r["doc_id"], r["score"]) for r in got) == sorted((r["doc_id"], r["score"]) for r in again)
