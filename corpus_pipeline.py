@@ -9,16 +9,20 @@ treated like any other.
 Defined results: null and empty texts are judged as texts without words, stay one by
 one (they are nobody's copy) and hold no benchmark item; the mix takes only what
 holds words; an empty table gives empty tables.
+
+A stage's result is to be written before the next stage starts, as ``run`` does: what a
+stage staged on its way is removed when the next one starts, unless that reads it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindlattice.llm.common import read, small, stage
+from bindlattice.llm.common import read, recorded, release, small, stage
 from bindlattice.llm.decontaminate import contained_items
 from bindlattice.llm.mixing import mixed_rows
 from bindlattice.llm.near_dedup import near_duplicates
@@ -26,6 +30,22 @@ from bindlattice.llm.token_files import tokens_of
 from bindlattice.llm.toxicity import ordinary_rows
 
 
+#: Folders that the stage before staged.
+_left: list[str] = []
+
+
+def _stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first gives back the disk of the one before."""
+
+    @wraps(step)
+    def work(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left, docs)
+        with recorded(_left):
+            return step(spark, docs, sf_dir)
+
+    return work
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs, written with a key of its own for each row, and the key's name, which no other column has."""
     key = "_row"
@@ -40,11 +60,13 @@ def _without(keyed: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
     return keyed.join(ids, key, "left_anti").drop(key)
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     return ordinary_rows(docs, read(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a similarity of 0.8 or more stays, the one with the least doc_id."""
     keyed, key = _keyed(docs)
@@ -56,17 +78,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(keyed, key, members.join(first.select("doc_id"), "doc_id", "left_anti"))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item to 0.8 or more go."""
     keyed, key = _keyed(docs)
     return _without(keyed, key, contained_items(keyed, read(spark, sf_dir, "benchmark"), id_col=key))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, each as often as it takes it, in shuffled shards."""
     return mixed_rows(docs)
 
 
+@_stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Starts, lengths and checksums of the token files of what is left."""
     return tokens_of(docs)
@@ -87,6 +112,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the table documents, each stage written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    behind: list[str] = []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        made: list[str] = []
+        with recorded(made):
+            docs = stage(step(spark, docs, sf_dir), name)
+        release(spark, behind, docs)
+        behind = made
     return STAGES[-1][1](spark, docs, sf_dir)
