@@ -61,13 +61,16 @@ _records: list[list[str]] = []
 
 
 @contextlib.contextmanager
-def recorded(folders: list[str]) -> Iterator[None]:
-    """Inside, the folders of what is staged are added to a list."""
-    _records.append(folders)
+def recorded() -> Iterator[list[str]]:
+    """The folders of what is staged inside; those that are still listed at the end go on to the list around this one."""
+    own: list[str] = []
+    _records.append(own)
     try:
-        yield
+        yield own
     finally:
         _records.pop()
+        if _records:
+            _records[-1].extend(own)
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -80,12 +83,16 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession, folders: list[str], kept: DataFrame) -> None:
-    """Remove recorded folders that ``kept`` does not read, and let Spark drop the shuffles of plans that are gone."""
+    """Remove the folders that ``kept`` does not read from the list and the disk."""
     files = kept.inputFiles() if folders else []
     read = [f for f in folders if any(f.rpartition("/")[2] in file for file in files)]
     for folder in set(folders) - set(read):
         _remove(spark, folder)
     folders[:] = read
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark find the plans that are gone, whose shuffle files go then."""
     gc.collect()
     with contextlib.suppress(Exception):
         spark.sparkContext._jvm.System.gc()
