@@ -10,8 +10,8 @@ Defined results: null and empty texts are judged as texts without words, stay on
 one (they are nobody's copy) and hold no benchmark item; the mix takes only what
 holds words; an empty table gives empty tables.
 
-A stage's result is to be written before the next stage starts, as ``run`` does: what a
-stage staged on its way is removed when the next one starts, unless that reads it.
+A stage removes what it staged on its way as soon as its result does not read it, and
+``run`` removes a stage's result when the next one is written.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindlattice.llm.common import read, recorded, release, small, stage
+from bindlattice.llm.common import drop_shuffles, read, recorded, release, small, stage
 from bindlattice.llm.decontaminate import contained_items
 from bindlattice.llm.mixing import mixed_rows
 from bindlattice.llm.near_dedup import near_duplicates
@@ -30,18 +30,16 @@ from bindlattice.llm.token_files import tokens_of
 from bindlattice.llm.toxicity import ordinary_rows
 
 
-#: Folders that the stage before staged.
-_left: list[str] = []
-
-
 def _stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first gives back the disk of the one before."""
+    """A stage that gives back disk: shuffles of plans that are gone, and folders that its result does not read."""
 
     @wraps(step)
     def work(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left, docs)
-        with recorded(_left):
-            return step(spark, docs, sf_dir)
+        drop_shuffles(spark)
+        with recorded() as folders:
+            result = step(spark, docs, sf_dir)
+            release(spark, folders, result)
+        return result
 
     return work
 
@@ -114,9 +112,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     behind: list[str] = []
     for name, step in STAGES[:-1]:
-        made: list[str] = []
-        with recorded(made):
+        with recorded() as folders:
             docs = stage(step(spark, docs, sf_dir), name)
+            behind += folders
+            folders.clear()
         release(spark, behind, docs)
-        behind = made
     return STAGES[-1][1](spark, docs, sf_dir)
