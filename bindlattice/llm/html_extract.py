@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 Each page is parsed into a DOM once.  What the page's own tags set apart (head, nav,
-header, footer, aside, form, script, style and the like) is left out; no class, id or
-role counts.  Every block of the rest gets the composite density
+header, footer, aside, form, script, style and the like) is left out.  So is a block whose
+class or id says so in a word of its own (comments, cookie-notice, sidebar and the like),
+but not where it holds an article, a main or a first heading without such a name, or, on a page without these,
+half of the page's text: wrappers are called after what they wrap.  Every block of the rest gets the composite density
 
     C/T * log(C/LC * T/LT) / log(ln(C/nLC * LC + LCb/Cb * C + e))
 
@@ -10,11 +12,11 @@ with C characters, T tags, LC characters and LT tags in links, nLC = C - LC, and
 LCb, Cb those of the body.  Formatting tags (b, i, span, ...) count as tags, and their
 text as that of the block around them.  A block's density sum adds the densities of
 its child blocks; sums of article and main elements weigh LANDMARK times as much.
-The subtree of the largest sum is the article.  The least density on its path to the
-body is the threshold: outside the article, a block with at least two child blocks
-joins it if its density and its density sum reach the threshold (not where an
-article or main element was chosen); inside, boxes of boxes (not lists or tables)
-of less than a quarter of it, as reader comments and menus are, go.
+The subtree of the largest sum is the article, and all of it stays; article elements
+beside a chosen one are parts of the same text.  The least density on its path to the
+body is the threshold: a block outside with at least two child blocks joins the article
+if its density and its density sum reach the threshold (not where an article or main
+element was chosen).
 
 Defined results: a null or empty html, or one without text, gives the text "" and
 n_chars 0; every row of the input gives one row, repeats included; ties go to the
@@ -37,10 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from bindlattice.llm.common import arrow_map, batch, quoted, read
 
 #: Weight of the density sums of elements that are the article by their tag.
-LANDMARK = 8.0
+LANDMARK = 32.0
 _LANDMARKS = frozenset(("article", "main"))
-#: Share of the threshold under which boxes of boxes inside the article go.
-SPARSE = 0.25
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
@@ -74,8 +74,24 @@ _IN_HEAD = frozenset("html head base basefont bgsound link meta title noframes n
 _APART = frozenset(
     "head nav footer aside form script style textarea title xmp iframe noembed noframes noscript template button select option datalist svg canvas object embed dialog menu input audio video".split()
 )
-#: Boxes that may be sparse and still belong to the article.
-_LISTS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre details p".split())
+# Words by which a class or an id sets a block apart, and words that may follow them.
+_NAMED = frozenset(
+    "comments comment respond replies disqus cookie cookies consent sidebar advert advertisement ad ads banner promo sponsored newsletter subscribe share social related breadcrumb breadcrumbs menu navbar".split()
+)
+_FOLLOWS = frozenset("section list area box block container wrap wrapper widget banner notice bar unit slot thread form popup modal links nav message".split())
+_NAMES = re.compile(r"""\s(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
+
+
+def _named_apart(tag: str) -> bool:
+    """Whether a class or id of a tag is one of the words, alone or before one that may follow."""
+    if "=" not in tag:
+        return False
+    for names in _NAMES.findall(tag):
+        for name in "".join(names).lower().split():
+            first, *more = re.split("[-_]", name)
+            if first in _NAMED and (not more or len(more) == 1 and (more[0] in _FOLLOWS or more[0].isdigit())):
+                return True
+    return False
 
 
 def _tags(source: str) -> Iterator[tuple[int, int, str]]:
@@ -126,8 +142,11 @@ class _Page:
 
     def __init__(self) -> None:
         self.parent, self.tag, self.chars, self.tags, self.link_chars, self.link_tags, self.pieces = [-1], ["#root"], [0], [0], [0], [0], []
+        self.named: list[int] = []
 
-    def add(self, parent: int, tag: str, in_link: bool) -> int:
+    def add(self, parent: int, tag: str, in_link: bool, named: bool) -> int:
+        if named:
+            self.named.append(len(self.tag))
         self.parent.append(parent), self.tag.append(tag), self.chars.append(0), self.tags.append(0)
         self.link_chars.append(0), self.link_tags.append(0)
         self.count(parent, in_link)
@@ -228,7 +247,7 @@ def _parse(source: str) -> _Page:
             if tag in _INLINE:
                 page.count(node, link)
             else:
-                node = page.add(node, tag, link)
+                node = page.add(node, tag, link, _named_apart(source[start:end]))
         if source[end - 2] != "/" or tag in _LANDMARKS or tag in _CLOSES_P or tag in _INLINE or tag == "body":
             opened.push((node, tag, link, article or tag in _LANDMARKS))
     text(source[at:])
@@ -259,31 +278,52 @@ def _densities(page: _Page) -> tuple[int, list[float], list[float]]:
     return body, density, total
 
 
+def _set_apart(page: _Page) -> list[bool]:
+    """Blocks that their names set apart; these count no more."""
+    parent, n = page.parent, len(page.tag)
+    gone = [False] * n
+    if not page.named:
+        return gone
+    chars, holds = list(page.chars), [tag in _LANDMARKS or tag == "h1" for tag in page.tag]
+    for i in page.named:
+        holds[i] = False  # a comment may be an article of its own
+    for i in range(n - 1, 0, -1):
+        chars[parent[i]] += chars[i]
+        holds[parent[i]] = holds[parent[i]] or holds[i]
+    for i in page.named:
+        # Where the page says what its article is, a block without it can be as long as it likes.
+        gone[i] = not holds[i] and (holds[0] or 2 * chars[i] < chars[0])
+    for i in range(1, n):
+        gone[i] = gone[i] or gone[parent[i]]
+        if gone[i]:
+            page.chars[i] = page.tags[i] = page.link_chars[i] = page.link_tags[i] = 0
+    return gone
+
+
 def _content(page: _Page) -> list[bool]:
     """Which blocks are content."""
     parent, n = page.parent, len(page.tag)
+    gone = _set_apart(page)
     body, density, total = _densities(page)
-    inside, children, height = [False] * n, [0] * n, [0] * n
+    inside, children = [False] * n, [0] * n
     inside[body] = True
     for i in range(body + 1, n):
         inside[i] = inside[parent[i]]
     for i in range(n - 1, 0, -1):
         children[parent[i]] += 1
-        height[parent[i]] = max(height[parent[i]], height[i] + 1)
     best = max((i for i in range(n) if inside[i]), key=lambda i: (total[i], -i))
     threshold, i, path = density[best], best, {best}
     while i != body:
         i = parent[i]
         path.add(i)
         threshold = min(threshold, density[i])
-    marked, gone, landmark = [False] * n, [False] * n, [False] * n
+    marked, landmark = [False] * n, [False] * n
     for i in range(n):
         landmark[i] = page.tag[i] in _LANDMARKS or i > 0 and landmark[parent[i]]
-        marked[i] = i == best or i > 0 and marked[parent[i]]
+        beside = page.tag[i] == page.tag[best] == "article" and parent[i] == parent[best]
+        marked[i] = i == best or beside or i > 0 and marked[parent[i]]
         if inside[i] and i not in path and not marked[i] and not landmark[best] and children[i] > 1:
             marked[i] = min(density[i], total[i]) >= threshold > 0
-        sparse = i != best and height[i] > 1 and page.tag[i] not in _LISTS and density[i] < SPARSE * threshold
-        gone[i] = i > 0 and (gone[parent[i]] or marked[parent[i]] and sparse)
     return [m and not g for m, g in zip(marked, gone, strict=True)]
 
 

@@ -2,10 +2,11 @@
 
 Vectors are turned into integers floor(256 * x) and packed: each input partition
 becomes shards of at most SHARD rows, the queries become blocks of at most BLOCK
-rows, both written to the shared folder and numbered.  A tile is a shard sent to a
-block under the key (block, shard); it is one matrix product, of which the k best
-candidates a query are kept by partial selection.  The tiles' lists of a block are
-merged by a tree, FAN lists a node, level by level.  A task holds one tile, or two
+rows, both written to the shared folder and numbered.  A tile is a block, of which
+there are far fewer, sent to a shard; GROUP blocks share a key with one copy of the
+shard.  A tile is one matrix product, of which the k best candidates a query are kept by
+partial selection.  The tiles' lists of a block are merged by a tree, FAN lists a node,
+level by level.  A task holds one tile, or two
 lists of one block, at a time; nothing is broadcast.
 
 Defined results: a vector that is null, or holds a null, nan or infinity, takes no
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from bindlattice.llm.common import arrow_map, batch, quoted, read, stage
 
-SHARD, BLOCK = 8192, 2048
+SHARD, BLOCK, GROUP = 8192, 2048, 16
 SCALE = 256
 _TOP = float(1 << 62)
 #: Lists that one node of the merging tree takes in.
@@ -170,12 +171,14 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     shards, _ = _numbered(arrow_map(sound.select("id", "vector"), partial(_pack, most=SHARD), _PACKED), "shards")
     asked = sound.where("asks").select("id", "vector").dropDuplicates(["id"])
     blocks, counts = _numbered(arrow_map(asked, partial(_pack, most=BLOCK), _PACKED), "blocks")
-    # Every shard is sent once to each block of its width, under the block's key.
-    per_width = F.coalesce(*(F.when(F.col("width") == w, F.lit(n)) for w, n in counts.items()), F.lit(0))
-    sent = shards.withColumn("blocks", per_width).where("blocks > 0").select("width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.col("number").alias("shard"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
+    sizes = {r["width"]: r["n"] for r in shards.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    # Every block is sent to every shard of its width, and a shard once to each GROUP of blocks, so a key holds GROUP tiles at most.
+    of_width = lambda counts: F.coalesce(*(F.when(F.col("width") == w, F.lit(n)) for w, n in counts.items()), F.lit(0))
+    each = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    sent = shards.select("width", F.col("number").alias("shard"), each(F.ceil(of_width(counts) / GROUP)).alias("group"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
+    asks = blocks.select("width", each(of_width(sizes)).alias("shard"), F.floor(F.col("number") / GROUP).alias("group"), F.col("number").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    tiles = asks.join(sent.hint("merge"), ["width", "shard", "group"])
     block_key = F.xxhash64("width", "block")
-    asks = blocks.select("width", F.col("number").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    tiles = sent.join(asks, ["width", "block"]).repartition(tasks, "width", "block", "shard")
     lists = arrow_map(tiles.select("width", block_key.alias("block"), "q_ids", "q_vectors", "c_ids", "c_vectors"), partial(_search, k=k), _LISTS)
     lists = stage(lists.withColumn("place", F.monotonically_increasing_id()), "lists")
     most = lists.groupBy("block").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]

@@ -429,6 +429,33 @@ def test_density_decides_without_names(around, box):
     assert html_extract.main_text(page) == f"Title {said} Theory {said} {said} Short. a b"
 
 
+_SAYS = "<h2>Comments</h2><p>First reader says this is a fine text.</p><p>Second reader does not agree.</p>"
+_COOKIES = "We use cookies and other means to make this page work. " * 60
+
+
+@pytest.mark.parametrize(
+    ("before", "inside", "after", "more"),
+    [
+        ("", "<div><div><p>Fig.</p></div></div>", "", " Fig."),
+        ("", f"<section class='comments'>{_SAYS}</section>", "", ""),
+        ("", f'<section class="Comments open"><div><div>{_SAYS}</div></div></section>', "", ""),
+        ("", f"<div id=comments-section>{_SAYS}</div>", "", ""),
+        ("", "", f"<div class='comments'>{_SAYS}</div>", ""),
+        (f"<div class='cookie-notice'><p>{_COOKIES}</p><p>More.</p></div>", "", "", ""),
+        (f"<div><p>{_COOKIES}</p></div>", "", "", ""),
+        ("", "", "<article><h2>More</h2><p>Another short one.</p></article>", " More Another short one."),
+        ("<div class='ad'>Buy this.</div>", "<p class='commentary'>Not a comment.</p>", "<div class=sidebar-widget>Other words.</div>", " Not a comment."),
+    ],
+)
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_articles_stay_whole_and_alone(before, inside, after, more, box):
+    if box == "div" and (_COOKIES in before and "class" not in before or "<article>" in after):
+        pytest.skip("nothing tells a nameless notice, or a second text, from the first")
+    html = f"<body><nav><a href=/>Home</a></nav>{before}<{box}><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>{inside}</{box}>{after}<footer>End</footer></body>"
+    said = " ".join(PROSE.split())
+    assert html_extract.main_text(html) == f"Title {said} {said}{more}"
+
+
 @pytest.mark.parametrize("html", ["<a " * 30_000, "<div><p>" * 10_000, "<b>" * 6000 + "</i>" * 6000, "<!" * 50_000, '<a "' * 20_000 + ">", "<table>" + "<tr><td>" * 10_000])
 def test_parsing_takes_linear_time(html):
     began = time.perf_counter()
@@ -499,7 +526,8 @@ def test_containment_counts_rows_by_themselves(spark):
 
 
 def test_top_k_over_many_tiles(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "FAN", 2)
+    for name, n in (("FAN", 2), ("GROUP", 2), ("SHARD", 16), ("BLOCK", 5)):
+        monkeypatch.setattr(topk_search, name, n)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)], "x") for i in range(300)] + [(10, [9.0, 9.0, 9.0], "x")] * 3
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string").repartition(9)
