@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
-from bindlattice.operators import site_scan
+from bindlattice.operators import seed_words, site_scan
 from bindlattice.operators import sites as site
 from bindlattice.operators.fold import STACK
 from bindlattice.plans.site_queries import _strands
@@ -117,3 +117,23 @@ def filtered_site_scan(spark, d):
     filters = settings.Filters(min_seed="5mer", max_kd=20_000.0, utr5=False, conserved=4)
     found = settings.scan(_guides(spark, d), transcripts, filters, coding, unpaired, conserved)
     return found.select("guide_id", "transcript_id", F.col("site").cast("long").alias("site"), "seed_class", "region", "conservation", F.round("kd", 3).alias("kd"))
+
+
+# Every alignment of a seed on nine letters, held against every pair of a guide and a target.
+_CORE = " OR ".join("(" + " AND ".join(f"ok[{k + i}]" for i in range(4)) + ")" for k in range(1, 4))
+NINE = f"""{LONGEST}, g AS (SELECT p_brand AS guide_id, reverse(translate(s, 'ACGU', 'UGCA'))[2:8] AS seed FROM longest),
+t AS (SELECT key AS transcript_id, s AS ts FROM strands),
+places AS (SELECT transcript_id, pos, reverse(ts[pos + 1:pos + 9]) AS word FROM (SELECT *, unnest(range(0, length(ts) - 8)) AS pos FROM t)),
+ways(way, bulged) AS (VALUES {", ".join(f"('{at}', {bulged})" for at, bulged in seed_words.alignments())}),
+held AS (SELECT seed, word, bulged,
+  list_transform(range(1, 8), lambda i: way[i:i] <> '-' AND seed[i:i] || word[coalesce(try_cast(way[i:i] AS INTEGER), 0) + 1:coalesce(try_cast(way[i:i] AS INTEGER), 0) + 1] IN ('AU', 'UA', 'GC', 'CG')) AS ok
+  FROM (SELECT DISTINCT seed FROM g), (SELECT DISTINCT word FROM places), ways),
+bound AS (SELECT DISTINCT seed, word FROM held WHERE {_CORE} OR (len(list_filter(ok, lambda b: b)) >= 6 AND 7 - len(list_filter(ok, lambda b: b)) + CASE WHEN bulged THEN 1 ELSE 0 END = 1))"""
+
+
+@query(f"WITH {NINE} SELECT guide_id, transcript_id, count(*) AS n, min(pos) AS first FROM places JOIN bound USING (word) JOIN g USING (seed) GROUP BY guide_id, transcript_id")
+def bulged_seed_sites(spark, d):
+    """Places that the seeds of the guides bind with one bulge at most, by guide and transcript."""
+    transcripts = _strands(spark, d).select(F.col("key").alias("transcript_id"), F.col("s").alias("sequence"))
+    found = seed_words.seed_sites(_guides(spark, d), transcripts)
+    return found.groupBy("guide_id", "transcript_id").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
