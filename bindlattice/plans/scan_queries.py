@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
-from bindlattice.operators import seed_words, site_scan
+from bindlattice.operators import design_search, seed_words, site_scan
 from bindlattice.operators import sites as site
 from bindlattice.operators.fold import STACK
 from bindlattice.plans.site_queries import _strands
@@ -46,9 +46,8 @@ _AT = "(32 - {0} + CASE WHEN lst = 4 AND {0} > 6 OR lst = 5 AND {0} > 5 THEN 1 W
 _PAIRS = "list_transform(list_filter(range({0}, {1} + 1), lambda i: k{2}[i - {0} + 1:i - {0} + 1] IN ('W', 'G') AND (k{2}[i - {0}:i - {0}] IN ('W', 'G') OR k{2}[i - {0} + 2:i - {0} + 2] IN ('W', 'G'))), lambda i: {{'g': i, 't': {3}, 'p': gs[i:i] || win[{3}:{3}]}})"
 _ENERGY = f"CAST(coalesce(list_sum(list_transform(range(2, CAST(len({{0}}) AS BIGINT) + 1), lambda n: CASE WHEN {{0}}[n].g - {{0}}[n - 1].g = 1 AND {{0}}[n - 1].t - {{0}}[n].t = 1 THEN MAP {{{{{_STACKS}}}}}[{{0}}[n - 1].p || {{0}}[n].p] ELSE 170 + 20 * (({{0}}[n].g - {{0}}[n - 1].g - 1) + ({{0}}[n - 1].t - {{0}}[n].t - 1)) END)), 0) AS BIGINT)"
 
-WHOLE = f"""{LONGEST}, g AS (SELECT p_brand AS guide_id, reverse(translate(s, 'ACGU', 'UGCA'))[1:22] AS gs FROM longest),
-t AS (SELECT key AS transcript_id, s || reverse(s) || s AS ts FROM strands),
-f AS (SELECT guide_id, reverse(translate(gs[2:8], 'ACGU', 'UGCA')) AS rc, gs FROM g),
+# Over guides g(guide_id, gs) and transcripts t(transcript_id, ts).
+_SCAN = f"""f AS (SELECT guide_id, reverse(translate(gs[2:8], 'ACGU', 'UGCA')) AS rc, gs FROM g),
 four AS (SELECT DISTINCT ts[pos + 1:pos + 4] AS word FROM (SELECT ts, unnest(range(0, length(ts) - 3)) AS pos FROM t)),
 wanted AS (
   SELECT guide_id, k AS lst, reverse(translate(gs[2 + k:5 + k], 'ACGU', 'UGCA')) AS word FROM g, range(3) r(k)
@@ -79,6 +78,9 @@ classed AS (SELECT *, CASE WHEN hi IS NULL THEN 'seedless' WHEN lo = 2 OR hi - l
   CASE WHEN translate(k2, 'G', 'W') = 'WWWWW' THEN '5mer' WHEN translate(k2, 'G', 'W') LIKE 'WWWW%' THEN '4mer' WHEN translate(k2, 'G', 'W') LIKE '%WWWW' THEN 'offset-4mer' ELSE 'suppless' END AS supp_class FROM ended),
 best AS (SELECT *, row_number() OVER (PARTITION BY guide_id, transcript_id, site ORDER BY energy, rank, lst, po, bridge DESC) AS rn FROM classed
   WHERE (seed_class <> 'seedless' OR supp_class <> 'suppless') AND (rank < 8 OR k1 NOT LIKE '%WWWW%'))"""
+WHOLE = f"""{LONGEST}, g AS (SELECT p_brand AS guide_id, reverse(translate(s, 'ACGU', 'UGCA'))[1:22] AS gs FROM longest),
+t AS (SELECT key AS transcript_id, s || reverse(s) || s AS ts FROM strands),
+{_SCAN}"""
 _PENALTY = f"coalesce(list_sum(list_transform(range(lo, hi + 1), lambda i: CASE k1[i - 1:i - 1] WHEN 'G' THEN {list(site.WOBBLE)}[i - 1] WHEN 'x' THEN {list(site.MISMATCH)}[i - 1] WHEN '-' THEN {list(site.DELETION)}[i - 1] ELSE 0.0 END + CASE WHEN lst = 6 AND i = 4 AND i < hi THEN {site.BULGE[2]} ELSE 0.0 END)), 0.0)"
 _STRENGTH = "(0.25 * greatest(-e1, 0) / 100.0 + 0.75 * greatest(-e2, 0) / 100.0)"
 
@@ -137,3 +139,28 @@ def bulged_seed_sites(spark, d):
     transcripts = _strands(spark, d).select(F.col("key").alias("transcript_id"), F.col("s").alias("sequence"))
     found = seed_words.seed_sites(_guides(spark, d), transcripts)
     return found.groupBy("guide_id", "transcript_id").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
+
+
+_REQUIRED, _EXCLUDED = ("Brand#1", "Brand#3", "Brand#5"), ("Brand#7", "Brand#9")
+_REQUIRED_KD, _EXCLUDED_KD = 20_000.0, 1_500.0
+_LETTERS = "(VALUES ('A'), ('C'), ('G'), ('U'))"
+DESIGN = f"""{LONGEST}, t AS (SELECT p_brand AS transcript_id, s || reverse(s) || s AS ts FROM longest WHERE p_brand IN {_REQUIRED + _EXCLUDED}),
+w3 AS (SELECT transcript_id, pos, ts[pos + 1:pos + 4] AS w FROM (SELECT *, unnest(range(0, length(ts) - 3)) AS pos FROM t)),
+w5 AS (SELECT transcript_id, pos, ts[pos + 1:pos + 3] AS w FROM (SELECT *, unnest(range(0, length(ts) - 2)) AS pos FROM t)),
+grips AS (SELECT x.w AS a, y.w AS b FROM w3 x JOIN w5 y ON x.transcript_id = y.transcript_id AND x.pos - y.pos - 7 BETWEEN 3 AND 15 WHERE x.transcript_id IN {_REQUIRED} GROUP BY x.w, y.w HAVING count(DISTINCT x.transcript_id) = (SELECT count(*) FROM t WHERE transcript_id IN {_REQUIRED})),
+made AS (SELECT a || '/' || b AS grip, 'C' || reverse(translate(a, 'ACGU', 'UGCA')) || p.l || q.l || r.l || 'UUAA' || reverse(translate(b, 'ACGU', 'UGCA')) || u.l || v.l || 'AAUU' AS gs
+  FROM grips, {_LETTERS} p(l), {_LETTERS} q(l), {_LETTERS} r(l), {_LETTERS} u(l), {_LETTERS} v(l)),
+g AS (SELECT grip || ' ' || gs AS guide_id, grip, gs FROM made WHERE gs NOT LIKE '%GGG%' AND gs NOT LIKE '%CCC%' AND length(regexp_replace(gs, '[^GC]', '', 'g'))::DOUBLE / length(gs) BETWEEN 0.3 AND 0.7),
+{_SCAN}"""
+
+
+@query(f"""WITH {DESIGN}, valued AS (SELECT guide_id, transcript_id, rank, seed_class, supp_class, CASE WHEN seed_class = 'seedless' THEN 1e9 / CASE WHEN {_STRENGTH} > 0 THEN {_STRENGTH} ELSE 1 END ELSE MAP {{{_KD}}}[seed_class] * pow(2, {_PENALTY}) END AS kd FROM best WHERE rn = 1),
+covers AS (SELECT guide_id FROM valued WHERE kd <= {_REQUIRED_KD} AND transcript_id IN {_REQUIRED} GROUP BY guide_id HAVING count(DISTINCT transcript_id) = (SELECT count(*) FROM t WHERE transcript_id IN {_REQUIRED})),
+barred AS (SELECT DISTINCT guide_id FROM valued WHERE kd <= {_EXCLUDED_KD} AND transcript_id IN {_EXCLUDED} AND rank IN (0, 2, 4, 6) AND seed_class <> 'seedless' AND supp_class <> 'suppless')
+SELECT grip, count(*) AS n, min(gs) AS first FROM g WHERE guide_id IN (SELECT guide_id FROM covers) AND guide_id NOT IN (SELECT guide_id FROM barred) GROUP BY grip""")
+def design_search_sites(spark, d):
+    """How many strings made for each grip bind the longest strands of three brands and of none of two others."""
+    strands = _longest(spark, d).select(F.col("p_brand").alias("transcript_id"), F.concat("s", F.reverse("s"), "s").alias("sequence"))
+    required, excluded = (strands.where(F.col("transcript_id").isin(*names)) for names in (_REQUIRED, _EXCLUDED))
+    found = design_search.search(required, excluded, _REQUIRED_KD, _EXCLUDED_KD, ["GGG", "CCC"])
+    return found.groupBy("grip").agg(F.count("*").alias("n"), F.min("sequence").alias("first"))

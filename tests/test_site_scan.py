@@ -183,3 +183,30 @@ def test_filters_of_a_scan(spark, strands):
     assert at(seeds) == at(r for r in every if r["seed_class"][-4:] in ("6mer", "7mer") and r["supp_class"] != "suppless")
     with pytest.raises(ValueError):
         settings.scan(g, t, settings.Filters(min_seed="9mer"))
+
+
+def test_search_of_guides(spark):
+    from bindlattice.operators import design, design_search
+
+    rng = np.random.default_rng(21)
+    letters = lambda n: "".join(rng.choice(list("ACGU"), n))
+    guides = {f"g{i}": letters(21) for i in range(25)}
+    texts = {f"t{i}": letters(400) for i in range(5)}
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} string, sequence string")
+    required, excluded = {k: texts[k] for k in ("t0", "t1", "t2", "t3")}, {"t4": texts["t4"]}
+    scanned = {(g, t): plain_scan(a, b).values() for g, a in guides.items() for t, b in texts.items()}
+    covers = {g for g in guides if all(any(r[8] <= 3000 for r in scanned[g, t]) for t in required)}
+    barred = {g for g in guides if any(r[8] <= 3e5 and r[0].endswith("+supp") and r[7] != "seedless" and r[5] != "suppless" for r in scanned[g, "t4"])}
+    assert 0 < len(covers) < len(guides) and 0 < len(barred) < len(guides)
+    found = design_search.covering(frame(guides, "guide_id"), frame(required, "transcript_id"), 3000.0)
+    assert {r["guide_id"] for r in found.collect()} == covers
+    assert {r["guide_id"] for r in design_search.binds_any(frame(guides, "guide_id"), frame(excluded, "transcript_id"), 3e5).collect()} == barred
+    assert design_search.covering(frame(guides, "guide_id"), frame(texts, "transcript_id").limit(0), 1.0).count() == len(guides)
+    # Two short transcripts: every kept string has the letters of a grip that both have.
+    both = {"a": "GAUUACAGGCAUGCAAUCGUAGCAUUACGAUUACAGCAUGGCAU", "b": "CCGAUUACAGAACAUCGUAGCAUUAACGAUUACAGCAUGACUUU"}
+    made = design_search.candidates(frame(both, "transcript_id"), ["GGG", "CCC"]).collect()
+    grips = {r["grip"] for r in design.required_grips(design.grips(frame(both, "transcript_id"), 4, 3, 15).select("grip", "transcript_id"), frame(both, "transcript_id")).collect()}
+    assert made and {r["grip"] for r in made} <= grips
+    for r in made[:50]:
+        w3, w5 = r["grip"].split("/")
+        assert r["sequence"][1:5] == reverse_complement(w3) and r["sequence"][12:15] == reverse_complement(w5) and len(r["sequence"]) == 21
