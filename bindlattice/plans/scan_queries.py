@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
-from bindlattice.operators import design_search, seed_words, site_scan
+from bindlattice.operators import design_search, locate, seed_words, site_scan
 from bindlattice.operators import sites as site
 from bindlattice.operators.fold import STACK
-from bindlattice.plans.site_queries import _strands
+from bindlattice.plans.site_queries import STRANDS, _strands
 from bindlattice.plans.structure_queries import LONGEST, _longest
+from bindlattice.plans.surrogate import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,3 +165,18 @@ def design_search_sites(spark, d):
     required, excluded = (strands.where(F.col("transcript_id").isin(*names)) for names in (_REQUIRED, _EXCLUDED))
     found = design_search.search(required, excluded, _REQUIRED_KD, _EXCLUDED_KD, ["GGG", "CCC"])
     return found.groupBy("grip").agg(F.count("*").alias("n"), F.min("sequence").alias("first"))
+
+
+@query(f"""WITH {STRANDS}, named AS (SELECT p_brand, key, s FROM strands JOIN part ON p_partkey = key),
+genome AS (SELECT p_brand AS chromosome, string_agg(s, '' ORDER BY key) AS letters FROM named GROUP BY p_brand)
+SELECT key AS piece, chromosome, CAST(instr(letters, s[5:24]) - 1 AS BIGINT) AS pos, CAST(instr(letters, s[5:24]) - 1 + 1000 * length(chromosome) AS BIGINT) AS genome_pos
+FROM named, genome WHERE instr(letters, s[5:24]) > 0""")
+def located_pieces(spark, d):
+    """The first place of twenty letters of every strand in each chromosome; a chromosome is a brand's strands one after the other."""
+    brands = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("chromosome"))
+    named = _strands(spark, d).join(brands, "key")
+    number = F.row_number().over(Window.partitionBy("chromosome").orderBy("key")) - 1
+    chunks = named.select("chromosome", number.cast("long").alias("number"), F.col("s").alias("letters"))
+    pieces = named.select(F.col("key").alias("piece"), F.substring("s", 5, 20).alias("letters"))
+    genes = brands.select("chromosome").distinct().withColumn("offset", F.length("chromosome").cast("long") * 1000)
+    return locate.shifted(locate.first_places(pieces, chunks), genes).select("piece", "chromosome", "pos", "genome_pos")
