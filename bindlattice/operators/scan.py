@@ -1,4 +1,4 @@
-"""The scan of guides against transcripts: site lists by class, band join, classes and affinities."""
+"""The scan of guides against transcripts for seeds with supplements alone; site_scan has all classes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
 from bindlattice.operators import sites as site
-from bindlattice.operators.joins import band_join
+from bindlattice.operators.joins import band_join, small
 
 #: Guide letters (from, to) of the seed lists and of the supplementary lists, by offset.
 SEED_SLICES = ((2, 5), (3, 6), (4, 7))
@@ -17,7 +17,7 @@ SUPP_SLICES = ((13, 16), (14, 17))
 def _hits(words: DataFrame, guides: DataFrame, variants: Column, offset: int) -> DataFrame:
     """(guide_id, transcript_id, pos, offset) where a transcript holds one of the guide's words."""
     wanted = guides.select("guide_id", F.explode(variants).alias("word"))
-    return words.join(wanted, "word").select("guide_id", "transcript_id", "pos", F.lit(offset).alias("offset")).distinct()
+    return words.join(small(wanted), "word").select("guide_id", "transcript_id", "pos", F.lit(offset).alias("offset")).distinct()
 
 
 def seed_sites(words: DataFrame, guides: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
-from bindlattice.operators.joins import band_join
+from bindlattice.operators.joins import band_join, small
 
 # Dissociation constants by seed class.
 CLASS_KD = {
@@ -87,8 +87,8 @@ def candidate_sites(guides: DataFrame, transcripts: DataFrame) -> DataFrame:
     words = transcripts.select("transcript_id", F.posexplode(seq.kmers("sequence", 4)).alias("pos", "word"))
     seeds = guides.select("guide_id", seq.reverse_complement(seq.region("sequence", 2, 5)).alias("word"))
     supps = guides.select("guide_id", F.explode(seq.complements_with_wobbles(seq.region("sequence", 13, 16))).alias("word"))
-    seed_sites = words.join(seeds, "word").select("guide_id", "transcript_id", (F.col("pos") + 3).alias("g2"))
-    supp_sites = words.join(supps, "word").select("guide_id", "transcript_id", (F.col("pos") + 3).alias("g13")).distinct()
+    seed_sites = words.join(small(seeds), "word").select("guide_id", "transcript_id", (F.col("pos") + 3).alias("g2"))
+    supp_sites = words.join(small(supps), "word").select("guide_id", "transcript_id", (F.col("pos") + 3).alias("g13")).distinct()
     # Bridge: g8 - g13 - 1 with g8 = g2 - 6.
     pairs = band_join(seed_sites, supp_sites, ["guide_id", "transcript_id"], "g2", "g13", LEAST_BRIDGE + 7, MOST_BRIDGE + 7)
     placed = pairs.join(transcripts, "transcript_id").where("g2 - 29 >= 0 and g2 + 1 < length(sequence)")

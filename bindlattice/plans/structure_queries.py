@@ -265,3 +265,17 @@ def generated_kmers(spark, d):
     from bindlattice.operators import design
 
     return design.all_kmers(spark, 4, ["AA", "GU"])
+
+
+# Stems of part keys with unpaired letters on either side between an outer and an inner run of pairs.
+_STEM = "repeat('(', 2 + key % 3) || repeat('.', key % 4) || '((' || repeat('.', 3 + key % 5) || '))' || repeat('.', (key // 4) % 3) || repeat(')', 2 + key % 3)"
+
+
+@query("""WITH k AS (SELECT p_partkey AS key FROM part)
+SELECT key AS id, CAST(i AS BIGINT) AS i, CAST(CASE WHEN i = 1 + key % 3 THEN key % 4 ELSE 0 END AS BIGINT) AS "left", CAST(CASE WHEN i = 1 + key % 3 THEN (key // 4) % 3 ELSE 0 END AS BIGINT) AS "right"
+FROM k, range(0, 8) r(i) WHERE i <= 1 + key % 3 OR i = 2 + key % 3 + key % 4""")
+def bulged_interiors(spark, d):
+    """Pairs that close another one, in stems with bulges and interior loops of every size up to 3 by 2."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"))
+    stems = rows.select(F.col("key").alias("id"), F.expr(_STEM.replace("//", "DIV").replace("key % 3)", "CAST(key % 3 AS INT))")).alias("structure"))
+    return structure.interiors(stems).select("id", *(F.col(c).cast("long").alias(c) for c in ("i", "left", "right")))
