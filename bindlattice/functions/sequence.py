@@ -210,3 +210,15 @@ def power_set(c: str | Column) -> Column:
 
 def contains_all(c: str | Column, wanted: Column) -> Column:
     return F.size(F.array_except(wanted, _col(c))) == 0
+
+
+def integers_in(c: str | Column) -> Column:
+    """All runs of digits of a text as numbers, in order; none for null, nulls for those beyond a long."""
+    found = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(r"(\d+)"), 1)
+    return F.transform(found, lambda x: x.try_cast("long"))
+
+
+def decimals_in(c: str | Column) -> Column:
+    """All numbers of a text, with a sign and a fraction if they have them, in order; none for null."""
+    found = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
+    return F.transform(found, lambda x: x.try_cast("double"))

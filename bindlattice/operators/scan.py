@@ -67,3 +67,29 @@ def scan(guides: DataFrame, transcripts: DataFrame, least_bridge: int = site.LEA
     placed = placed.withColumn("supp_class", supp_class(F.concat(*map(supp_kind, range(13, 18))))).withColumn("seed_class", site.seed_class(F.col("kinds"), F.substring("window", site.WINDOW, 1)))
     done = placed.withColumn("kd", site.kd(F.col("seed_class"), F.col("kinds"))).drop("_t", "_g")
     return done if max_kd is None else done.where(F.col("kd") <= max_kd)
+
+
+#: Bounds of the older scan on the letters between those opposite guide letters 9 and 12.
+OLDER_LEAST, OLDER_MOST = 3, 15
+
+
+def older_scan(guides: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(guide_id, transcript_id, seed, supp, bridge) of the older scan, one row a seed hit.
+
+    Seeds are exact hits of letters 2-5, supplements exact hits of 13-16 without wobbles, and
+    the bridge runs from letter 9 to letter 12.  A seed takes the first supplement in reach
+    (supp is its place), or stands alone (supp is null) with a bridge of 3; the 31-letter
+    window must lie in the transcript.
+    """
+    words = transcripts.select("transcript_id", F.length("sequence").alias("size"), F.posexplode(seq.kmers("sequence", 4)).alias("pos", "word"))
+    place = ["guide_id", "transcript_id"]
+
+    def hits(first: int, name: str) -> DataFrame:
+        wanted = guides.select("guide_id", seq.reverse_complement(seq.region("sequence", first, first + 3)).alias("word")).where("length(word) = 4")
+        return words.join(small(wanted), "word").select(*place, "size", F.col("pos").alias(name))
+
+    seeds = hits(2, "seed").where(f"seed + 3 - {site.WINDOW - 2} >= 0 and seed + 4 < size").drop("size")
+    pairs = band_join(seeds, hits(13, "supp").drop("size"), place, "seed", "supp", OLDER_LEAST + 8, OLDER_MOST + 8)
+    first = pairs.groupBy(*place, "seed").agg(F.min("supp").alias("supp"))
+    bridge = F.coalesce(F.col("seed") - F.col("supp") - 8, F.lit(OLDER_LEAST))
+    return seeds.join(first, [*place, "seed"], "left").select(*place, "seed", "supp", bridge.alias("bridge"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
-from bindlattice.operators import design_search, locate, seed_words, site_scan
+from bindlattice.operators import design_search, locate, scan, seed_words, site_scan
 from bindlattice.operators import sites as site
 from bindlattice.operators.fold import STACK
 from bindlattice.plans.site_queries import STRANDS, _strands
@@ -180,3 +180,29 @@ def located_pieces(spark, d):
     pieces = named.select(F.col("key").alias("piece"), F.substring("s", 5, 20).alias("letters"))
     genes = brands.select("chromosome").distinct().withColumn("offset", F.length("chromosome").cast("long") * 1000)
     return locate.shifted(locate.first_places(pieces, chunks), genes).select("piece", "chromosome", "pos", "genome_pos")
+
+
+@query(f"""WITH {LONGEST}, g AS (SELECT p_brand AS guide_id, reverse(translate(s, 'ACGU', 'UGCA'))[1:22] AS gs FROM longest),
+t AS (SELECT key AS transcript_id, s || reverse(s) || s AS ts FROM strands),
+w AS (SELECT transcript_id, length(ts) AS size, pos, ts[pos + 1:pos + 4] AS word FROM (SELECT *, unnest(range(0, length(ts) - 3)) AS pos FROM t)),
+a AS (SELECT guide_id, transcript_id, pos AS seed FROM w JOIN g ON word = reverse(translate(gs[2:5], 'ACGU', 'UGCA')) WHERE pos >= 26 AND pos + 4 < size),
+b AS (SELECT guide_id, transcript_id, pos AS supp FROM w JOIN g ON word = reverse(translate(gs[13:16], 'ACGU', 'UGCA'))),
+p AS (SELECT a.guide_id, a.transcript_id, seed, min(supp) AS supp FROM a LEFT JOIN b ON a.guide_id = b.guide_id AND a.transcript_id = b.transcript_id AND seed - 4 - (supp + 4) > 2 AND seed - 4 - (supp + 4) <= 15 GROUP BY ALL)
+SELECT guide_id, transcript_id, seed, supp, coalesce(seed - 4 - (supp + 4), 3) AS bridge FROM p""")
+def older_site_scan(spark, d):
+    found = scan.older_scan(_guides(spark, d), _transcripts(spark, d))
+    return found.select("guide_id", "transcript_id", *(F.col(c).cast("long").alias(c) for c in ("seed", "supp", "bridge")))
+
+
+_LINE = "o_orderpriority || ' [' || o_custkey || '..' || o_orderkey || '] dG: -' || (o_orderkey % 40) || '.' || (10 + o_custkey % 80)"
+
+
+@query(f"""WITH l AS (SELECT o_orderkey AS k, {_LINE} AS line FROM orders),
+n AS (SELECT k, list_transform(regexp_extract_all(line, '\\d+'), lambda x: CAST(x AS BIGINT)) AS whole, list_transform(regexp_extract_all(line, '-?\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE)) AS parts FROM l)
+SELECT k, CAST(len(whole) AS BIGINT) AS n, whole[2] AS "start", CAST(list_sum(whole) AS BIGINT) AS total, round(parts[-1], 6) AS energy FROM n""")
+def numbers_of_lines(spark, d):
+    """Whole numbers and decimals of lines of text, by their order."""
+    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr(f"concat({_LINE.replace(' || ', ', ')})").alias("line"))
+    found = lines.select("k", seq.integers_in("line").alias("whole"), seq.decimals_in("line").alias("parts"))
+    total = F.aggregate("whole", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("k", F.size("whole").cast("long").alias("n"), F.get("whole", F.lit(1)).alias("start"), total.alias("total"), F.round(F.element_at("parts", -1), 6).alias("energy"))
