@@ -206,3 +206,14 @@ def numbers_of_lines(spark, d):
     found = lines.select("k", seq.integers_in("line").alias("whole"), seq.decimals_in("line").alias("parts"))
     total = F.aggregate("whole", F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select("k", F.size("whole").cast("long").alias("n"), F.get("whole", F.lit(1)).alias("start"), total.alias("total"), F.round(F.element_at("parts", -1), 6).alias("energy"))
+
+
+@query(f"""WITH {WHOLE}, valued AS (SELECT guide_id, transcript_id, site, energy, CASE WHEN seed_class = 'seedless' THEN 1e9 / CASE WHEN {_STRENGTH} > 0 THEN {_STRENGTH} ELSE 1 END ELSE MAP {{{_KD}}}[seed_class] * pow(2, {_PENALTY}) END AS kd FROM best WHERE rn = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY guide_id ORDER BY round(kd, 4), energy, transcript_id, site) AS place FROM valued)
+SELECT guide_id, CAST(place AS INTEGER) AS place, transcript_id, site, round(kd, 3) AS kd, energy / 100.0 AS energy FROM ranked WHERE place <= 10""")
+def strongest_sites(spark, d):
+    """The ten sites of each guide of least kd, by energy where that is equal."""
+    found = site_scan.scan_sites(_guides(spark, d), _transcripts(spark, d))
+    order = Window.partitionBy("guide_id").orderBy(F.round("kd", 4), "energy", "transcript_id", "site")
+    ranked = found.withColumn("place", F.row_number().over(order)).where("place <= 10")
+    return ranked.select("guide_id", F.col("place").cast("int").alias("place"), "transcript_id", F.col("site").cast("long").alias("site"), F.round("kd", 3).alias("kd"), "energy")
