@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bindlattice.functions import sequence as seq
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, low: int, high: int) -> DataFrame:
     """Pairs with equal keys and low <= left_pos - right_pos <= high.
@@ -21,6 +23,43 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str,
     return binned.join(spread, [*keys, "_bin"]).where(gap.between(low, high)).drop("_bin")
 
 
+def alike(rows: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """Keys whose rows hold the same strings: (key, text) of each key, and (text, column, n) of each string once.
+
+    ``text`` is the least of the keys alike and ``n`` their number.  A key of several rows
+    has all their strings, as often as it holds them.  Null keys and null strings go.
+    """
+    held = rows.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(column)).alias("_strings"))
+    texts = held.groupBy("_strings").agg(F.min(key).alias("text"), F.count("*").alias("n"))
+    return held.join(texts, "_strings").select(key, "text"), texts.select("text", F.explode("_strings").alias(column), "n")
+
+
+#: Places of a string that are cut at once.
+CHUNK = 512
+
+
+def word_pairs(rows: DataFrame, key: str, column: str, k3: int, k5: int, low: int, high: int) -> DataFrame:
+    """(key, p3, w3, p5, w5): words of k3 and k5 letters of a key with low <= p3 - p5 <= high; low must not be negative.
+
+    Pairs of one row are cut from its string, a chunk at a time, and nothing is joined;
+    keys of several rows, whose pairs may reach from one to another, go by a band join.
+    """
+    rows = rows.where(F.col(key).isNotNull()).select(key, column)
+    several = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    reach = high + k3
+    starts = F.when(F.length(column) > 0, F.sequence(F.lit(0), F.length(column) - 1, F.lit(CHUNK)))
+    cut = rows.join(several, key, "left_anti").select(key, column, F.explode(starts).alias("_start"))
+    cut = cut.select(key, "_start", F.substring(F.col(column), F.col("_start") + 1, F.lit(CHUNK + max(reach, k5))).alias("_letters"))
+    each = cut.select(key, "_start", "_letters", F.explode(F.sequence(F.lit(0), F.least(F.length("_letters"), F.lit(CHUNK)) - 1)).alias("_i"))
+    each = each.select(key, (F.col("_start") + F.col("_i")).alias("p5"), F.substring(F.col("_letters"), F.col("_i") + 1, F.lit(max(reach, k5))).alias("_seen"))
+    near = each.select(key, "p5", F.substring("_seen", 1, k5).alias("w5"), "_seen", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_gap"))
+    near = near.select(key, (F.col("p5") + F.col("_gap")).alias("p3"), F.substring(F.col("_seen"), F.col("_gap") + 1, F.lit(k3)).alias("w3"), "p5", "w5")
+    near = near.where((F.length("w3") == k3) & (F.length("w5") == k5))
+    words = lambda k, pos, word: rows.join(several, key, "left_semi").select(key, F.posexplode(seq.kmers(column, k)).alias(pos, word))
+    across = band_join(words(k3, "p3", "w3"), words(k5, "p5", "w5"), [key], "p3", "p5", low, high)
+    return near.unionByName(across.select(*near.columns))
+
+
 def overlap_join(intervals: DataFrame, queries: DataFrame, key: str, width: int) -> DataFrame:
     """Pairs of half-open intervals (start, end) and queries (q_start, q_end) that overlap, once each.
 

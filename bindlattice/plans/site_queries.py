@@ -94,9 +94,11 @@ GRIP = STRANDS + ", k AS (SELECT key, pos, s[pos + 1:pos + 4] AS w FROM (SELECT
 
 @query(f"WITH {GRIP} SELECT a.w || '/' || b.w AS grip, count(*) AS n, count(DISTINCT a.key) AS strands FROM k a JOIN k b ON a.key = b.key AND a.pos - b.pos BETWEEN 7 AND 12 GROUP BY 1 HAVING count(DISTINCT a.key) >= 3")
 def grip_map(spark, d):
-    words = _strands(spark, d).select("key", F.posexplode(seq.kmers("s", 4)).alias("pos", "w"))
-    pairs = joins.band_join(words.withColumnsRenamed({"pos": "p3", "w": "w3"}), words.withColumnsRenamed({"pos": "p5", "w": "w5"}), ["key"], "p3", "p5", 7, 12)
-    return pairs.groupBy(F.concat("w3", F.lit("/"), "w5").alias("grip")).agg(F.count("*").alias("n"), F.countDistinct("key").alias("strands")).where("strands >= 3")
+    # Equal strings are cut once and count for all their keys.
+    texts = joins.alike(_strands(spark, d), "key", "s")[1]
+    pairs = joins.word_pairs(texts.select(F.struct("text", "n").alias("t"), "s"), "t", "s", 4, 4, 7, 12)
+    held = pairs.groupBy("t", F.concat("w3", F.lit("/"), "w5").alias("grip")).agg(F.count("*").alias("times"))
+    return held.groupBy("grip").agg(F.sum(F.col("times") * F.col("t.n")).alias("n"), F.sum("t.n").alias("strands")).where("strands >= 3")
 
 
 @query(f"WITH {SIGNAL} SELECT a.key, a.pos AS p, b.pos AS q FROM signal a JOIN signal b ON a.key = b.key AND a.pos - b.pos BETWEEN 1 AND 15 WHERE a.value > 50 AND b.value < 20")
