@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
-from bindlattice.operators.joins import band_join, in_all
+from bindlattice.operators.joins import in_all, word_pairs
 
 
 def grips(transcripts: DataFrame, k3: int, k5: int, most: int, least: int = 3) -> DataFrame:
@@ -14,10 +14,9 @@ def grips(transcripts: DataFrame, k3: int, k5: int, most: int, least: int = 3) -
 
     distance = (pos3p - (7 - k3)) - (pos5p + k5) - 1.
     """
-    words = lambda k, pos, word: transcripts.select("transcript_id", F.posexplode(seq.kmers("sequence", k)).alias(pos, word))
     shift = 7 - k3 + k5 + 1
-    pairs = band_join(words(k3, "pos3p", "w3"), words(k5, "pos5p", "w5"), ["transcript_id"], "pos3p", "pos5p", least + shift, most + shift)
-    return pairs.select(F.concat("w3", F.lit("/"), "w5").alias("grip"), "transcript_id", "pos3p", "pos5p", (F.col("pos3p") - F.col("pos5p") - shift).alias("bridge"))
+    pairs = word_pairs(transcripts, "transcript_id", "sequence", k3, k5, least + shift, most + shift)
+    return pairs.select(F.concat("w3", F.lit("/"), "w5").alias("grip"), "transcript_id", F.col("p3").alias("pos3p"), F.col("p5").alias("pos5p"), (F.col("p3") - F.col("p5") - shift).alias("bridge"))
 
 
 def required_grips(found: DataFrame, required: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

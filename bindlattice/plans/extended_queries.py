@@ -49,8 +49,11 @@ GRIPS = f"{STRANDS}, k AS (SELECT key, pos, s[pos + 1:pos + 4] AS w FROM (SELECT
 def _grips(spark, d) -> DataFrame:
     """(grip, transcript_id): grips of the parts of each size, which stands for a transcript."""
     sizes = table(spark, d, "part").select(F.col("p_partkey").alias("transcript_id"), F.col("p_size").alias("grp"))
-    found = design.grips(_strands(spark, d).select(F.col("key").alias("transcript_id"), F.col("s").alias("sequence")), 4, 4, 10)
-    return found.join(sizes, "transcript_id").select("grip", F.col("grp").alias("transcript_id")).distinct()
+    # Grips of equal strings are cut once and meet each size of their parts once.
+    members, texts = joins.alike(_strands(spark, d), "key", "s")
+    groups = members.join(sizes, F.col("key") == F.col("transcript_id")).select(F.col("text").alias("transcript_id"), "grp").distinct()
+    found = design.grips(texts.select(F.col("text").alias("transcript_id"), F.col("s").alias("sequence")), 4, 4, 10)
+    return found.select("grip", "transcript_id").distinct().join(groups, "transcript_id").select("grip", F.col("grp").alias("transcript_id")).distinct()
 
 
 @query(f"WITH {GRIPS}, q AS (SELECT DISTINCT grip, grp FROM grips), r AS (SELECT grip FROM q WHERE grp <= 4 GROUP BY grip HAVING count(*) = (SELECT count(DISTINCT grp) FROM q WHERE grp <= 4)), x AS (SELECT grip FROM q WHERE grp > 30 AND grip IN (SELECT grip FROM r) GROUP BY grip HAVING count(*) = (SELECT count(DISTINCT grp) FROM q WHERE grp > 30)) SELECT grip FROM r WHERE grip NOT IN (SELECT grip FROM x)")
