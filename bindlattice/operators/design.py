@@ -60,7 +60,8 @@ def antisense_candidates(grip_words: DataFrame, excluded: list[str], least_gc: f
 
     Five free letters are the base-4 digits of 0 to 1023.
     """
-    free = grip_words.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(1023)))).withColumn("f", seq.from_base4("n", 5))
+    letters = all_kmers(grip_words.sparkSession, 5).withColumnRenamed("kmer", "f")
+    free = grip_words.crossJoin(F.broadcast(letters))
     text = F.concat(F.lit("C"), "seed4", F.substring("f", 1, 3), F.lit("UUAA"), "supp3", F.substring("f", 4, 2), F.lit("AAUU"))
     made = free.select("grip", text.alias("antisense"))
     return made.where(seq.gc_fraction("antisense").between(least_gc, most_gc)).where(" and ".join(f"instr(antisense, '{x}') = 0" for x in excluded) or "true")
