@@ -64,7 +64,11 @@ def places(pieces: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def first_places(pieces: DataFrame, chunks: DataFrame) -> DataFrame:
     """(piece, chromosome, pos): the first place of each piece in each chromosome that holds it."""
-    return places(pieces, chunks).groupBy("piece", "chromosome").agg(F.min("pos").alias("pos"))
+    # Equal pieces are looked up once.
+    each = pieces.select(F.col("letters").alias("piece"), "letters").distinct()
+    first = places(each, chunks).groupBy("piece", "chromosome").agg(F.min("pos").alias("pos"))
+    met = pieces.join(first.withColumnRenamed("piece", "letters"), "letters").select("piece", "chromosome", "pos")
+    return met.groupBy("piece", "chromosome").agg(F.min("pos").alias("pos"))
 
 
 def shifted(found: DataFrame, genes: DataFrame) -> DataFrame:
