@@ -30,14 +30,14 @@ pair with nothing; repeated ids count as rows of one guide or transcript.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindlattice.functions import sequence as seq
 from bindlattice.operators import sites as site
 from bindlattice.operators.fold import INTERIOR, STACK
 from bindlattice.operators.graph import checkpointed
-from bindlattice.operators.joins import band_join, small
+from bindlattice.operators.joins import alike, band_join, small
 
 #: Lists of words: the three seed lists, one-default, bulge opposite letter 6 and 5, inserted letter, supplements.
 SPECIAL, DELETE_6, DELETE_5, INSERT, SUPP = 3, 4, 5, 6, 7
@@ -329,12 +329,7 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"kd": kd, "interaction_type": interaction, "site_type": site_label(label, kinds, inserted, first, last, _a1())})
 
 
-def scan_sites(guides: DataFrame, transcripts: DataFrame, max_kd: float | None = None) -> DataFrame:
-    """The site of least energy at each place of every guide (guide_id, sequence) in every transcript (transcript_id, sequence).
-
-    guide_id, transcript_id, site (place of the seed part), kind, g2 (place opposite guide letter 2),
-    bridge, window (its 31 letters), kinds, seed_class, supp_class, interaction_type, site_type, energy (kcal/mol) and kd.
-    """
+def _scanned(guides: DataFrame, transcripts: DataFrame) -> DataFrame:
     hits = checkpointed(word_hits(guides, transcripts))
     found = classed(with_energy(candidates(hits)))
     binds = (F.col("seed_class") != "seedless") | (F.col("supp_class") != "suppless")
@@ -343,8 +338,42 @@ def scan_sites(guides: DataFrame, transcripts: DataFrame, max_kd: float | None =
     order = F.struct("energy", "rank", "list", "supp_offset", (-F.col("bridge")).alias("place"), "guide", "g2", "bridge", "window", "kinds", "seed_class", "supp_class", "first", "last", "seed_energy", "supp_energy")
     best = found.groupBy(*_PLACE, "site").agg(F.min(F.when((F.col("energy") < 0) & binds & seedless, order)).alias("b")).where("b is not null")
     sites = named(best.select(*_PLACE, "site", "b.*").withColumn("kind", _at_name(F.col("rank"))))
-    done = sites.select(*_PLACE, "site", "kind", "g2", "bridge", "window", "kinds", "seed_class", "supp_class", "interaction_type", "site_type", (F.col("energy") / 100).alias("energy"), "kd")
-    return done if max_kd is None else done.where(F.col("kd") <= max_kd)
+    return sites.select(*_PLACE, "site", "kind", "g2", "bridge", "window", "kinds", "seed_class", "supp_class", "interaction_type", "site_type", (F.col("energy") / 100).alias("energy"), "kd")
+
+
+def _by_text(guides: DataFrame, transcripts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sites of transcripts with equal letters, found once under the least id of them, and (transcript_id, text) of all transcripts."""
+    members, texts = alike(transcripts, "transcript_id", "sequence")
+    return _scanned(guides, texts.select(F.col("text").alias("transcript_id"), "sequence")), members
+
+
+def _of_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Sites by text for every transcript of the text."""
+    return found.withColumnRenamed("transcript_id", "text").join(members, "text").select(*found.columns)
+
+
+def scan_sites(guides: DataFrame, transcripts: DataFrame, max_kd: float | None = None) -> DataFrame:
+    """The site of least energy at each place of every guide (guide_id, sequence) in every transcript (transcript_id, sequence).
+
+    guide_id, transcript_id, site (place of the seed part), kind, g2 (place opposite guide letter 2),
+    bridge, window (its 31 letters), kinds, seed_class, supp_class, interaction_type, site_type, energy (kcal/mol) and kd.
+    Transcripts with equal letters are scanned once.
+    """
+    found, members = _by_text(guides, transcripts)
+    return _of_members(found if max_kd is None else found.where(F.col("kd") <= max_kd), members)
+
+
+def strongest(guides: DataFrame, transcripts: DataFrame, k: int) -> DataFrame:
+    """The k sites of each guide of least kd (to four decimals), then energy, transcript_id and site, with their ``place`` from 1.
+
+    A text stands under the least id of its transcripts, so a site that k sites of texts
+    come before has k sites before it in each of its transcripts: only the first k by text
+    go on to the transcripts.
+    """
+    found, members = _by_text(guides, transcripts)
+    place = F.row_number().over(Window.partitionBy("guide_id").orderBy(F.round("kd", 4), "energy", "transcript_id", "site"))
+    first = found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return _of_members(first, members).withColumn("place", place).where(F.col("place") <= k)
 
 
 def _at_name(rank: Column) -> Column:

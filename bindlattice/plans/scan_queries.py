@@ -213,7 +213,5 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY guide_id ORDER BY round(kd,
 SELECT guide_id, CAST(place AS INTEGER) AS place, transcript_id, site, round(kd, 3) AS kd, energy / 100.0 AS energy FROM ranked WHERE place <= 10""")
 def strongest_sites(spark, d):
     """The ten sites of each guide of least kd, by energy where that is equal."""
-    found = site_scan.scan_sites(_guides(spark, d), _transcripts(spark, d))
-    order = Window.partitionBy("guide_id").orderBy(F.round("kd", 4), "energy", "transcript_id", "site")
-    ranked = found.withColumn("place", F.row_number().over(order)).where("place <= 10")
+    ranked = site_scan.strongest(_guides(spark, d), _transcripts(spark, d), 10)
     return ranked.select("guide_id", F.col("place").cast("int").alias("place"), "transcript_id", F.col("site").cast("long").alias("site"), F.round("kd", 3).alias("kd"), "energy")

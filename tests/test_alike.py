@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from bindlattice.operators import design, joins, locate
+from bindlattice.operators import design, joins, locate, site_scan
 from bindlattice.plans import extended_queries
 from bindlattice.plans.catalogue import QUERIES
 
@@ -68,3 +68,19 @@ def test_equal_pieces_are_looked_up_once(spark, monkeypatch):
     monkeypatch.setattr(locate, "places", lambda p, c: asked.append(p.count()) or places(p, c))
     assert {tuple(r) for r in locate.first_places(pieces, chunks).collect()} == {(1, "x", 0), (2, "x", 0), (3, "x", 0), (3, "y", 2)}
     assert asked == [5]
+
+
+def test_transcripts_of_equal_letters_are_scanned_once(spark, monkeypatch):
+    letters = "GGACCAUGCAUUUACGAACUACCUCAUGCUAACUACCUCAGGAUUACAUCGAUCGGA" * 2
+    guides = spark.createDataFrame([("g", "UGAGGUAGUAGGUUGUAUAGUU"), ("h", "UAGCAGCACGUAAAUAUUGGCG")], "guide_id string, sequence string")
+    rows = [(i, letters[i % 3 :]) for i in range(9)] + [(9, letters), (9, letters[5:])]
+    transcripts = spark.createDataFrame(rows, "transcript_id long, sequence string")
+    scanned, whole = [], site_scan.word_hits
+    monkeypatch.setattr(site_scan, "word_hits", lambda g, t: scanned.append(t.count()) or whole(g, t))
+    found = site_scan.scan_sites(guides, transcripts).collect()
+    assert scanned == [5] and len({r["transcript_id"] for r in found}) == 10
+    alone = site_scan._scanned(guides, transcripts).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, alone))
+    order = lambda r: (round(r["kd"], 4), r["energy"], r["transcript_id"], r["site"])
+    plain = [(g, i + 1, r["transcript_id"], r["site"]) for g in "gh" for i, r in enumerate(sorted((r for r in alone if r["guide_id"] == g), key=order)[:7])]
+    assert sorted(tuple(r) for r in site_scan.strongest(guides, transcripts, 7).select("guide_id", "place", "transcript_id", "site").collect()) == plain
