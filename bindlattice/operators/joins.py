@@ -31,7 +31,7 @@ def alike(rows: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]
     """
     held = rows.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(column)).alias("_strings"))
     texts = held.groupBy("_strings").agg(F.min(key).alias("text"), F.count("*").alias("n"))
-    return held.join(texts, "_strings").select(key, "text"), texts.select("text", F.explode("_strings").alias(column), "n")
+    return held.join(texts.hint("merge"), "_strings").select(key, "text"), texts.select("text", F.explode("_strings").alias(column), "n")
 
 
 #: Places of a string that are cut at once.

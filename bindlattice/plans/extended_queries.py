@@ -51,7 +51,7 @@ def _grips(spark, d) -> DataFrame:
     sizes = table(spark, d, "part").select(F.col("p_partkey").alias("transcript_id"), F.col("p_size").alias("grp"))
     # Grips of equal strings are cut once and meet each size of their parts once.
     members, texts = joins.alike(_strands(spark, d), "key", "s")
-    groups = members.join(sizes, F.col("key") == F.col("transcript_id")).select(F.col("text").alias("transcript_id"), "grp").distinct()
+    groups = members.join(sizes.hint("merge"), F.col("key") == F.col("transcript_id")).select(F.col("text").alias("transcript_id"), "grp").distinct()
     found = design.grips(texts.select(F.col("text").alias("transcript_id"), F.col("s").alias("sequence")), 4, 4, 10)
     return found.select("grip", "transcript_id").distinct().join(groups, "transcript_id").select("grip", F.col("grp").alias("transcript_id")).distinct()
 

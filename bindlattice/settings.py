@@ -81,7 +81,8 @@ def annotated(sites: DataFrame, coding: DataFrame | None = None, unpaired: DataF
     end, value, half-open.  Conservation is 31 times the mean over the window, rounded, and
     the mean is -1 where no value lies in it.  What is not given lets every site pass: all
     regions, accessibility 1, conservation -1 (no score).  Transcripts without a row in a
-    given table have no region, no accessibility and no conserved place.
+    given table have no region, no accessibility and no conserved place.  The given tables
+    have a row a transcript or more, so none is broadcast, however small its files are.
     """
     start, end, g13 = F.col("g2") - (site.WINDOW - 2), F.col("g2") + 1, F.col("g2") - 7 - F.col("bridge")
     out = sites.withColumn("supp_type", F.col("supp_class"))
@@ -90,17 +91,17 @@ def annotated(sites: DataFrame, coding: DataFrame | None = None, unpaired: DataF
     else:
         bounds = coding.select("transcript_id", "cds_start", "cds_end")
         label = F.when(F.col("cds_start").isNull(), "").otherwise(seq.region_label(start, end, F.col("cds_start"), F.col("cds_end")))
-        out = out.join(bounds, "transcript_id", "left").withColumn("region", label).drop("cds_start", "cds_end")
+        out = out.join(bounds.hint("merge"), "transcript_id", "left").withColumn("region", label).drop("cds_start", "cds_end")
     if unpaired is None:
         out = out.withColumns({"seed_acc": F.lit(1.0), "supp_acc": F.lit(1.0)})
     else:
         least = lambda b: F.coalesce(1 - F.array_min(F.slice("p", b + 1, F.lit(4))), F.lit(0.0))
-        out = out.join(unpaired.select("transcript_id", "p"), "transcript_id", "left").withColumns({"seed_acc": least(F.col("g2") - 3), "supp_acc": least(g13 - 3)}).drop("p")
+        out = out.join(unpaired.select("transcript_id", "p").hint("merge"), "transcript_id", "left").withColumns({"seed_acc": least(F.col("g2") - 3), "supp_acc": least(g13 - 3)}).drop("p")
     if conserved is None:
         return out.withColumn("conservation", F.lit(-1))
     # A window is asked once, however many sites share it.
     asked = out.select("transcript_id", "g2").distinct().withColumns({"q_start": start.cast("long"), "q_end": (end + 1).cast("long"), "probe": F.struct("transcript_id", "g2")})
-    mean = joins.overlap_mean(conserved, asked, "transcript_id", "probe", "value", 4 * site.WINDOW)
+    mean = joins.overlap_mean(conserved.hint("merge"), asked, "transcript_id", "probe", "value", 4 * site.WINDOW)
     score = mean.select("probe.transcript_id", "probe.g2", F.round(site.WINDOW * F.col("mean")).cast("int").alias("conservation"))
     return out.join(score, ["transcript_id", "g2"])
 

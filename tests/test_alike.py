@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from bindlattice import settings
 from bindlattice.operators import design, joins, locate, site_scan
 from bindlattice.plans import extended_queries
 from bindlattice.plans.catalogue import QUERIES
@@ -84,3 +85,15 @@ def test_transcripts_of_equal_letters_are_scanned_once(spark, monkeypatch):
     order = lambda r: (round(r["kd"], 4), r["energy"], r["transcript_id"], r["site"])
     plain = [(g, i + 1, r["transcript_id"], r["site"]) for g in "gh" for i, r in enumerate(sorted((r for r in alone if r["guide_id"] == g), key=order)[:7])]
     assert sorted(tuple(r) for r in site_scan.strongest(guides, transcripts, 7).select("guide_id", "place", "transcript_id", "site").collect()) == plain
+
+
+def test_tables_of_transcripts_are_not_broadcast(spark):
+    found = spark.createDataFrame([(1, 40, 4, "7mer", "4mer")], "transcript_id long, g2 int, bridge int, seed_class string, supp_class string")
+    coding = spark.createDataFrame([(1, 5, 90)], "transcript_id long, cds_start int, cds_end int")
+    unpaired = spark.createDataFrame([(1, [0.5] * 80)], "transcript_id long, p array<double>")
+    conserved = spark.createDataFrame([(1, 0, 80, 0.5)], "transcript_id long, start long, end long, value double")
+    done = settings.annotated(found, coding, unpaired, conserved)
+    plan = done._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and done.first()["conservation"] == 16
+    sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(sides) <= 2  # the windows that were asked, back to their sites
