@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +40,35 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Rows of a block of vectors; a task multiplies two blocks.
-BLOCK = 2048
+#: Rows of a block of vectors, more where there are many; a task works on two blocks, BYTES each at most, PIECE rows of either at a time.
+BLOCK, BYTES, PIECE = 2048, 2**24, 1024
+
+
+def _most(rows: DataFrame, values: int = 1) -> int:
+    """How many blocks rows (id, vector, ...) need.
+
+    What is sent grows with rows times blocks, so blocks grow to an eighth of the rows, as
+    long as their vectors, and a row's ``values`` results, stay within BYTES.
+    """
+    n, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    room = BYTES // (8 * max(width or 1, values, 1) + 64)
+    return max(1, -(-n // max(BLOCK, min(room, -(-n // 8)))))
 
 
 def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (id, vector, ...) dealt to blocks of about BLOCK: as the left and as the right side of every pair of blocks."""
-    blocks = max(1, -(-rows.count() // BLOCK))
+    """rows (id, vector, ...) dealt to blocks: as the left and as the right side of every pair of blocks."""
+    blocks = _most(rows)
     own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     return rows.withColumns({"row": own, "side": F.lit(0)}).withColumn("col", every), rows.withColumns({"col": own, "side": F.lit(1)}).withColumn("row", every)
 
 
+def _block_pairs(rows: DataFrame, values: int = 1) -> DataFrame:
+    """rows (id, vector, ...) dealt to blocks (own), once for each pair of blocks (row <= col) that theirs is in."""
+    blocks = _most(rows, values)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.withColumns({"row": F.least("own", "_with"), "col": F.greatest("own", "_with")}).drop("_with")
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
 
@@ -58,32 +78,86 @@ def _split(tile: pa.Table) -> tuple[pa.Table, pa.Table]:
     return tile.filter(pa.array(side == 0)), tile.filter(pa.array(side == 1))
 
 
+def _ends(tile: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
+    """The two blocks of a tile of _block_pairs, and whether they are one."""
+    row, col = tile.column("row")[0].as_py(), tile.column("col")[0].as_py()
+    own = tile.column("own").to_numpy()
+    return tile.filter(pa.array(own == row)), tile.filter(pa.array(own == col)), row == col
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of vectors of one length, without nulls, as a matrix."""
+    return np.asarray(pa.compute.list_flatten(column).to_numpy(), np.float64).reshape(len(column), -1)
+
+
+def _pieces(a: int, b: int) -> Iterator[tuple[slice, slice]]:
+    for i in range(0, a, PIECE):
+        for j in range(0, b, PIECE):
+            yield slice(i, min(i + PIECE, a)), slice(j, min(j + PIECE, b))
+
+
+def _dots(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, gaps: bool = False) -> np.ndarray:
+    """Inner products, or squared distances, of rows i of x with rows j of y, each alike wherever its rows lie."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 65536):
+        p, q = x[i[at : at + 65536]], y[j[at : at + 65536]]
+        p, q = (p - q, p - q) if gaps else (p, q)
+        out[at : at + 65536] = np.einsum("ij,ij->i", p, q)
+    return out
+
+
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows; those that a difference of products would blur are worked out apart."""
+    if x.shape[1] <= 8:
+        return np.sqrt(sum((x[:, None, d] - y[None, :, d]) ** 2 for d in range(x.shape[1])))
+    sizes = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :]
+    square = sizes - 2 * (x @ y.T)
+    i, j = np.nonzero(square <= 1e-5 * sizes)
+    square[i, j] = _dots(x, y, i, j, gaps=True)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _first(ids: np.ndarray, others: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest values of each id; ties go to smaller others."""
+    order = np.lexsort((others, -value, ids))
+    ids, others, value = ids[order], others[order], value[order]
+    start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    rank = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids))))
+    return ids[rank < k], others[rank < k], value[rank < k]
+
+
 def knn(vectors: DataFrame, k: int) -> DataFrame:
     """The k nearest other rows of each row by cosine (id, vector of one length; zero vectors have no neighbours), exact.
 
-    Rows are dealt to blocks by their number; each pair of blocks is one key and one
-    matrix product, which keeps k neighbours a row, so what is shuffled on is k rows
-    for each row and block.
+    Rows are dealt to blocks by their number; each pair of blocks is one key, taken once for
+    both, and keeps k neighbours a row, so what is shuffled on is k rows for each row and block.
+    Products of whole pieces only tell who can be among the k; those are worked out one by
+    one, so that equal vectors tie wherever they lie.
     """
     size = F.sqrt(dot("vector", "vector"))
-    unit = vectors.withColumn("size", size).where("size > 0").select("id", F.transform("vector", lambda x: x.cast("double") / F.col("size")).alias("vector"))
-    left, right = _blocks(unit)
+    real = vectors.withColumn("size", size).where("size > 0").select("id", "vector")
 
     def nearest(tile: pa.Table) -> pa.Table:
-        mine, theirs = _split(tile)
-        ids, others = mine.column("id").to_numpy(), theirs.column("id").to_numpy()
-        if not len(ids) or not len(others):
-            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        by = np.argsort(others, kind="stable")
-        cosine = _matrix(mine.column("vector")) @ _matrix(theirs.column("vector"))[by].T
-        others = others[by]
-        cosine[ids[:, None] == others[None, :]] = -np.inf
-        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(cosine, best, axis=1)
-        real = np.isfinite(found)
-        return pa.table({"id": pa.array(np.repeat(ids, real.sum(axis=1))), "other": pa.array(others[best[real]]), "cosine": pa.array(found[real])})
-
-    pairs = left.unionByName(right).groupBy("row", "col").applyInArrow(nearest, "id long, other long, cosine double")
+        mine, theirs, one = _ends(tile)
+        sides = []
+        for part in (mine, theirs):
+            v = _flat(part.column("vector"))
+            sides.append((part.column("id").to_numpy(), v / np.sqrt(_dots(v, v, np.arange(len(v)), np.arange(len(v))))[:, None]))
+        (ids, x), (others, y) = sides
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for p, q in _pieces(len(x), len(y)):
+            cosine = x[p] @ y[q].T
+            cosine[np.isnan(cosine) | (ids[p, None] == others[None, q])] = -np.inf
+            for axis in (1,) if one else (1, 0):
+                least = np.partition(cosine, -k, axis=axis).take([-k], axis=axis) if cosine.shape[axis] > k else -np.inf
+                i, j = np.nonzero((cosine >= least - 1e-9) & (cosine > -np.inf))
+                value = _dots(x[p], y[q], i, j)
+                a, b = ids[p][i], others[q][j]
+                found.append(_first(*((a, b) if axis else (b, a)), value, k))
+        a, b, value = _first(*map(np.concatenate, zip(*found, strict=True)), k)
+        return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(value, pa.float64())})
+
+    pairs = _block_pairs(real).groupBy("row", "col").applyInArrow(nearest, "id long, other long, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
     return pairs.withColumn("rn", rank.cast("long")).where(F.col("rn") <= k)
 
@@ -143,33 +217,52 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inner") / F.col("m") - gamma * F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
+def _label_sums(gap: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """Sums of a row's distances by label (numbers below k)."""
+    order = np.argsort(labels, kind="stable")
+    there, start = np.unique(labels[order], return_index=True)
+    out = np.zeros((len(gap), k))
+    if len(there):
+        out[:, there] = np.add.reduceat(gap[:, order], start, axis=1)
+    return out
+
+
 def silhouette(points: DataFrame) -> DataFrame:
     """Mean euclidean silhouette of (id, vector, label), exact; single members score 0.
 
-    Each pair of blocks is one task that sums its distances by row and label.
+    Each pair of blocks is one task that sums its distances by row and label, for both of them.
     """
-    left, right = _blocks(points.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("label").cast("long").alias("label")))
+    rows = points.select("id", "vector", F.col("label").cast("long").alias("label"))
+    known = rows.select("label").distinct().count()
 
     def summed(tile: pa.Table) -> pa.Table:
-        mine, theirs = _split(tile)
-        ids, others = mine.column("id").to_numpy(), theirs.column("id").to_numpy()
-        labels, which = np.unique(theirs.column("label").to_numpy(), return_inverse=True)
-        if not len(ids) or not len(others):
-            return pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("label", pa.int64()), ("theirs", pa.int64()), ("gap", pa.float64()), ("n", pa.int64()))})
-        x, y = _matrix(mine.column("vector")), _matrix(theirs.column("vector"))
-        gap = np.empty((len(ids), len(others)))
-        for i in range(0, len(ids), 64):
-            gap[i : i + 64] = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-        other = (ids[:, None] != others[None, :]).astype(np.float64)
-        member = np.eye(len(labels))[which]
-        total, n = (gap * other) @ member, other @ member
-        own = mine.column("label").to_numpy()
-        return pa.table({
-            "id": pa.array(np.repeat(ids, len(labels))), "label": pa.array(np.repeat(own, len(labels))), "theirs": pa.array(np.tile(labels, len(ids))),
-            "gap": pa.array(total.reshape(-1)), "n": pa.array(n.reshape(-1).astype(np.int64)),
-        })
-
-    sums = left.unionByName(right).groupBy("row", "col").applyInArrow(summed, "id long, label long, theirs long, gap double, n long")
+        mine, theirs, one = _ends(tile)
+        sides = []
+        for part in (mine, theirs):
+            names, which = np.unique(part.column("label").to_numpy(), return_inverse=True)
+            sides.append((part.column("id").to_numpy(), _flat(part.column("vector")), part.column("label").to_numpy(), names, which))
+        (ids, x, own, names, which), (others, y, far, theirs_names, theirs_which) = sides
+        total, back = np.zeros((len(ids), len(theirs_names))), np.zeros((len(others), len(names)))
+        same = np.zeros((len(ids), len(theirs_names)), np.int64)
+        for p, q in _pieces(len(x), len(y)):
+            gap = _gaps(x[p], y[q])
+            i, j = np.nonzero(ids[p, None] == others[None, q]) if one else (np.zeros(0, np.int64),) * 2
+            gap[i, j] = 0.0
+            np.add.at(same, (i + p.start, theirs_which[q][j]), 1)
+            total[p] += _label_sums(gap, theirs_which[q], len(theirs_names))
+            if not one:
+                back[q] += _label_sums(gap.T, which[p], len(names))
+
+        def table(ids, own, total, n, names):
+            return [np.repeat(ids, len(names)), np.repeat(own, len(names)), np.tile(names, len(ids)), total.reshape(-1), n.reshape(-1)]
+
+        out = [table(ids, own, total, np.bincount(theirs_which, minlength=len(theirs_names))[None, :] - same, theirs_names)]
+        if not one:
+            out.append(table(others, far, back, np.repeat(np.bincount(which, minlength=len(names))[None, :], len(others), axis=0), names))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "label", "theirs", "gap", "n"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
+
+    sums = _block_pairs(rows, known).groupBy("row", "col").applyInArrow(summed, "id long, label long, theirs long, gap double, n long")
     sums = sums.groupBy("id", "label", "theirs").agg((F.sum("gap") / F.when(F.sum("n") > 0, F.sum("n"))).alias("gap"))
     own = F.max(F.when(F.col("label") == F.col("theirs"), F.col("gap")))
     near = F.min(F.when(F.col("label") != F.col("theirs"), F.col("gap")))
