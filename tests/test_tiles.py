@@ -1,8 +1,11 @@
 """Tiles of vectors: what is sent, copies, and labels, against plain versions."""
 
+import os
+from urllib.parse import urlparse
+
 import numpy as np
 
-from bindlattice.operators import graph
+from bindlattice.operators import graph, spectral
 
 
 def copied(rng, distinct, copies, width):
@@ -47,3 +50,18 @@ def test_silhouette_of_copies(spark, monkeypatch):
         b = min(gap[i, label == c].mean() for c in set(label) if c != label[i])
         scores.append((b - gap[i, own].mean()) / max(b, gap[i, own].mean()) if own.any() else 0.0)
     assert np.isclose(graph.silhouette(frame).first()[0], np.mean(scores), atol=1e-8)
+
+
+def test_eigenvectors_leave_no_older_basis(spark, monkeypatch):
+    folders, real = [], graph.checkpointed
+
+    def kept(df):
+        out = real(df)
+        folders.append(os.path.dirname(urlparse(out.inputFiles()[0]).path))
+        return out
+
+    monkeypatch.setattr(spectral, "checkpointed", kept)
+    edges = spark.createDataFrame([(i, j, 1.0 + (i * j) % 3) for i in range(40) for j in range(i + 1, 40) if (i * 7 + j) % 4 == 0], "src long, dst long, weight double")
+    found, values = spectral.eigenvectors(edges, 3)
+    assert found.count() == 40 and len(values) == 3
+    assert [os.path.exists(f) for f in folders] == [False] * (len(folders) - 1) + [True]  # only the vectors stay
