@@ -154,12 +154,20 @@ def structure_graph(structures: DataFrame, most: int = 3) -> DataFrame:
     """Pairs of structures (key, id) of one key whose dot-brackets differ in at most ``most`` places.
 
     Equal-length strings within ``most`` places agree on one of ``most`` + 1 pieces,
-    so only structures that share a piece meet.
+    so only structures that share a piece meet, and they meet at the first one they share.
+    Equal structures of a key are held against others once; their ids come in at the end.
     """
+    rows = structures.where("structure is not null").select("key", "id", "structure").distinct()
+    every = rows.select("key", "structure").distinct()
     width = F.ceil(F.length("structure") / (most + 1))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("at"), F.substring(F.col("structure"), (i * width + 1).cast("int"), width.cast("int")).alias("piece")))
-    cut = structures.select("key", "id", "structure", F.explode(pieces).alias("p")).select("key", "id", "structure", "p.at", "p.piece")
-    other = cut.select("key", "at", "piece", F.col("id").alias("other"), F.col("structure").alias("theirs"))
+    piece = lambda c, i: F.substring(c, (i * width + 1).cast("int"), width.cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("at"), piece(F.col("structure"), i).alias("piece")))
+    cut = every.select("key", "structure", F.length("structure").alias("n"), F.explode(pieces).alias("p")).select("key", "n", "structure", "p.at", "p.piece")
+    other = cut.select("key", "n", "at", "piece", F.col("structure").alias("theirs"))
+    earlier = F.exists(F.sequence(F.lit(0), F.lit(most)), lambda i: (i < F.col("at")) & (piece(F.col("structure"), i) == piece(F.col("theirs"), i)))
     apart = F.size(F.filter(F.zip_with(F.split("structure", ""), F.split("theirs", ""), lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
-    met = cut.join(other, ["key", "at", "piece"]).where((F.col("id") < F.col("other")) & (F.length("structure") == F.length("theirs")))
-    return met.withColumn("apart", apart).where(F.col("apart") <= most).select("key", "id", "other", "apart").distinct()
+    met = cut.join(other, ["key", "n", "at", "piece"]).where("structure < theirs").withColumn("apart", apart).where(F.col("apart") <= most).where(~earlier)
+    ours, theirs = rows.select("key", "structure", F.col("id").alias("a")), rows.select("key", F.col("structure").alias("theirs"), F.col("id").alias("b"))
+    near = met.select("key", "structure", "theirs", "apart").join(ours, ["key", "structure"]).join(theirs, ["key", "theirs"]).where("a <> b")
+    same = ours.join(theirs.withColumnRenamed("theirs", "structure"), ["key", "structure"]).where("a < b")
+    return near.select("key", F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"), "apart").unionByName(same.select("key", F.col("a").alias("id"), F.col("b").alias("other"), F.lit(0).alias("apart")))

@@ -5,7 +5,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 
-from bindlattice.operators import graph, spectral
+from bindlattice.operators import fold, graph, spectral
 
 
 def copied(rng, distinct, copies, width):
@@ -65,3 +65,17 @@ def test_eigenvectors_leave_no_older_basis(spark, monkeypatch):
     found, values = spectral.eigenvectors(edges, 3)
     assert found.count() == 40 and len(values) == 3
     assert [os.path.exists(f) for f in folders] == [False] * (len(folders) - 1) + [True]  # only the vectors stay
+
+
+def test_structures_meet_once_for_all_their_copies(spark):
+    rng = np.random.default_rng(3)
+    base = ["".join(rng.choice(list("(.)"), 11)) for _ in range(6)]
+    texts = base * 4 + [b[:4] + "." + b[5:] for b in base] + ["", "", "(.", "))"]
+    frame = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(texts)], "key long, id long, structure string")
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    expected = [(k % 2, k, j, apart(texts[k], texts[j])) for j in range(len(texts)) for k in range(j) if k % 2 == j % 2 and len(texts[k]) == len(texts[j]) and apart(texts[k], texts[j]) <= 3]
+    found = fold.structure_graph(frame)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    # Strings are compared before their ids come in: no comparison follows a join on ids.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [key") >= 2
