@@ -5,7 +5,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 
-from bindlattice.operators import fold, graph, spectral
+from bindlattice.operators import density, fold, graph, spectral
 
 
 def copied(rng, distinct, copies, width):
@@ -79,3 +79,17 @@ def test_structures_meet_once_for_all_their_copies(spark):
     # Strings are compared before their ids come in: no comparison follows a join on ids.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [key") >= 2
+
+
+def test_nearest_points_are_sent_once_a_pair_of_blocks(spark, monkeypatch):
+    sent, real = [], graph._block_pairs
+    monkeypatch.setattr(density, "_block_pairs", lambda rows: sent.append(real(rows)) or sent[0])
+    x = np.random.default_rng(5).normal(0, 1, (20_000, 2)).round(2)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = {}
+    for r in density.nearest_others(frame, 4).where("id < 40").orderBy("id", "rn").collect():
+        got.setdefault(r["id"], []).append((r["other"], r["gap"]))
+    for i in range(40):
+        gap = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert got[i] == [(j, gap[j]) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (gap[j], j))[:4]]
+    assert sent[0].count() <= 9 * len(x)  # both sides by blocks of 2048 were 20
