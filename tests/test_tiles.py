@@ -93,3 +93,41 @@ def test_nearest_points_are_sent_once_a_pair_of_blocks(spark, monkeypatch):
         gap = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
         assert got[i] == [(j, gap[j]) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (gap[j], j))[:4]]
     assert sent[0].count() <= 9 * len(x)  # both sides by blocks of 2048 were 20
+
+
+def test_neighbours_held_do_not_grow_with_the_pieces(spark, monkeypatch):
+    # Before, a task held k rows of every piece until its end; now at most twice k a row and some room.
+    monkeypatch.setattr(graph, "PIECE", 16)
+    rng = np.random.default_rng(6)
+    values = rng.normal(0, 1, (64, 40_000))
+    best, most = graph._Best(64, 5), 0
+    for at in range(0, values.shape[1], 16):
+        piece = values[:, at : at + 16]
+        i, j = np.nonzero(piece >= best.least(slice(0, 64), piece)[:, None])
+        best.add(i, j + at, piece[i, j])
+        most = max(most, best.held)
+    assert most < 64 * 40_000 // 16
+    rows, others, value = best.all()
+    order = np.argsort(-values, axis=1)[:, :5]
+    assert others.reshape(64, 5).tolist() == order.tolist() and rows.tolist() == np.repeat(np.arange(64), 5).tolist()
+    assert np.array_equal(value.reshape(64, 5), np.take_along_axis(values, order, axis=1)) and np.array_equal(best.bar, value.reshape(64, 5)[:, -1])
+
+
+def test_silhouettes_leave_a_task_run_by_run(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    from bindlattice.operators import sweeps
+
+    sizes, real = [], PandasGroupedOpsMixin.applyInArrow
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", lambda self, f, schema: sizes.append(f) or real(self, f, schema))
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (60, 3))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    labels = spark.createDataFrame([(r, i, i % (r + 2)) for r in range(3) for i in range(60)], "run long, id long, label long")
+    got = {r["run"]: r["silhouette"] for r in sweeps.silhouettes(points, labels).collect()}
+    frame = lambda r: spark.createDataFrame([(i, x[i].tolist(), i % (r + 2)) for i in range(60)], "id long, vector array<double>, label long")
+    assert all(np.isclose(got[r], graph.silhouette(frame(r)).first()[0], atol=1e-9) for r in range(3))
+    import pyarrow as pa
+
+    some = pa.record_batch({"id": list(range(60)), "vector": x.tolist(), "labels": [[float(i % (r + 2)) for r in range(3)] for i in range(60)], "own": [0] * 60, "row": [0] * 60, "col": [0] * 60})
+    assert [len(b) for b in sizes[0](iter([some]))] == [60 * (r + 2) for r in range(3)]
